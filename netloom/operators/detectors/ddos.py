@@ -17,10 +17,11 @@ _WINDOW_DST = ["stream_id", "window_end_us", "dst_ip"]
 
 
 def signals(flows: DataFrame, cfg: DdosConfig = DdosConfig()) -> DataFrame:
-    """Flow rows with at least two volumetric signals, with the evidence columns.
+    """Flow rows that can reach ``cfg.min_signals``, with the evidence columns.
 
-    A flow needs a busy destination to reach two signals (the packet rate adds one
-    only). Idle destinations are dropped before the join.
+    The packet rate is worth one signal, a busy destination two each. So unless one
+    signal is enough, only flows to busy destinations matter, and idle destinations are
+    dropped before the join.
     """
     busy_sources = (F.col("flows_to_dst") > cfg.flows_to_dst) | (
         F.col("unique_src_count") > cfg.sources_to_dst
@@ -29,9 +30,15 @@ def signals(flows: DataFrame, cfg: DdosConfig = DdosConfig()) -> DataFrame:
         F.col("flows_to_dst") > cfg.burst_min_flows
     )
     busy = destination_load(flows).withColumns({"concentrated": busy_sources, "burst": bursting})
-    busy = busy.filter(F.col("concentrated") | F.col("burst"))
     pps = rate("fwd_packet_count") + rate("rev_packet_count")
-    candidates = flows.filter(F.col("dst_port") <= cfg.max_service_port).join(busy, _WINDOW_DST)
+    service = F.col("dst_port") <= cfg.max_service_port
+    if cfg.min_signals >= 2:
+        busy = busy.filter(F.col("concentrated") | F.col("burst"))
+        candidates = flows.filter(service).join(busy, _WINDOW_DST)
+    else:
+        candidates = flows.join(busy, _WINDOW_DST).withColumns(
+            {c: F.col(c) & service for c in ("concentrated", "burst")}
+        )
 
     def weight(cond: Column, points: int) -> Column:
         return F.when(cond, points).otherwise(0)
@@ -61,14 +68,14 @@ def detect_ddos(
     rows = signals(flows, cfg)
     by_model = F.lit(False)
     if scorer is not None:
-        firsts = rows.groupBy(*_WINDOW_DST).agg(
+        firsts = rows.filter(F.col("signals") >= 2).groupBy(*_WINDOW_DST).agg(
             F.min_by(F.struct(*[F.col(c) for c in flows.columns if c not in _WINDOW_DST]), "first_seq").alias("flow")
         )
         scored = scorer(firsts.select(*_WINDOW_DST, "flow.*")).select(
             *_WINDOW_DST, F.upper("predicted_class").contains("DDOS").alias("model_says_ddos")
         )
         rows = rows.join(scored, _WINDOW_DST, "left")
-        by_model = F.coalesce(F.col("model_says_ddos"), F.lit(False))
+        by_model = (F.col("signals") >= 2) & F.coalesce(F.col("model_says_ddos"), F.lit(False))
     rows = rows.withColumns(
         {"by_model": by_model, "signals": F.col("signals") + by_model.cast("int")}
     ).filter(F.col("signals") >= cfg.min_signals)
