@@ -22,10 +22,8 @@ def gather(verdicts: list[DataFrame]) -> DataFrame:
     ranked = [v.withColumn("rank", F.lit(i)) for i, v in enumerate(verdicts)]
     rows = reduce(DataFrame.unionByName, ranked)
     entries = F.array_agg(F.struct("rank", "result"))
-    # Structs holding maps have no order; ranks are small, so pick them one by one.
-    slots = [
-        F.filter(F.col("entries"), lambda e, i=i: e["rank"] == i) for i in range(len(verdicts))
-    ]
+    # Results hold maps and so have no order; put each detector's entry in its place.
+    slots = [_where("entries", "rank", i) for i in range(len(verdicts))]
     return (
         rows.groupBy(*FLOW_ID_COLUMNS)
         .agg(entries.alias("entries"))
@@ -33,6 +31,11 @@ def gather(verdicts: list[DataFrame]) -> DataFrame:
     )
 
 
+def _where(array: str, field: str, value) -> Column:
+    """Elements of a struct array whose ``field`` equals ``value``."""
+    return F.filter(array, lambda e: e[field] == F.lit(value))
+
+
 def _lookup(table: dict, key: Column) -> Column:
     pairs = [F.lit(x) for item in table.items() for x in item]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(0))
@@ -103,11 +106,12 @@ def fuse(
     empty = F.array().cast(f"array<{RESULT_TYPE.simpleString()}>")
     rows = rows.withColumn("results", F.coalesce("results", empty))
 
-    def having(status: str) -> Column:
-        return F.filter("results", lambda r: r["status"] == status)
-
     rows = rows.withColumns(
-        {"_errors": having("error"), "_fired": having("DETECTED"), "_signals": having("UNVALIDATED")}
+        {
+            "_errors": _where("results", "status", "error"),
+            "_fired": _where("results", "status", "DETECTED"),
+            "_signals": _where("results", "status", "UNVALIDATED"),
+        }
     )
     rows = rows.withColumn(
         "_pool", F.when(F.size("_fired") > 0, F.col("_fired")).otherwise(F.col("_signals"))
@@ -125,7 +129,7 @@ def fuse(
     outcomes = F.array(
         *[
             F.coalesce(
-                F.try_element_at(F.filter("results", lambda r, n=n: r["detector"] == n), F.lit(1)),
+                F.try_element_at(_where("results", "detector", n), F.lit(1)),
                 verdict(n, "NOT_DETECTED"),
             )
             for n in names

@@ -45,7 +45,8 @@ def verdicts(
     scorer: Callable[[DataFrame], DataFrame] | None = None,
 ) -> list[DataFrame]:
     """Verdict rows of the six detectors, in the order they are combined."""
-    queries = dns_queries(packets, flows.filter("dns_query_count > 0"), window, anchor_us)
+    named = flows.filter("protocol = 'UDP' AND dns_query_count > 0")
+    queries = materialize(dns_queries(packets, named, window, anchor_us), "dns-names")
     return [
         d.detect_ddos(flows, cfg.ddos, scorer),
         d.detect_beacon(flows, cfg.beacon),
