@@ -34,16 +34,24 @@ def flow_id(src_ip, dst_ip, src_port, dst_port, protocol) -> Column:
     )
 
 
+def characters(text: Column) -> Column:
+    """The characters (code points) of ``text``."""
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
+
 def char_entropy(text: Column) -> Column:
-    """Shannon entropy in bits over the characters of ``text``; 0 for an empty one."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
+    """Shannon entropy in bits over the characters of ``text``; 0 for an empty one.
+
+    For names and other short texts; ``functions.text.entropy_by_row`` is for long ones.
+    """
+    n = F.length(text).cast("double")
+    # A character's count is what removing it takes off the length.
     shares = F.transform(
-        F.array_distinct(chars),
-        lambda c: (n - F.size(F.array_remove(chars, c))) / n,
+        F.array_distinct(characters(text)),
+        lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n,
     )
     bits = F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
-    return F.when(F.size(chars) > 0, bits).otherwise(F.lit(0.0))
+    return F.when(F.length(text) > 0, bits).otherwise(F.lit(0.0))
 
 
 def starts_with_any(text: Column, prefixes) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.functions.columns import characters
+
 
 def entropy_by_row(rows: DataFrame, key: str, text: str) -> DataFrame:
     """Shannon entropy of ``text`` per ``key``.
@@ -12,8 +14,8 @@ def entropy_by_row(rows: DataFrame, key: str, text: str) -> DataFrame:
     Character counts are combined before the shuffle, so a text of any length sends one
     row per distinct character.
     """
-    chars = rows.select(key, F.explode_outer(F.split(text, "")).alias("ch"))
-    counts = chars.groupBy(key, "ch").agg(F.count_if(F.col("ch") != "").alias("n"))
+    chars = rows.select(key, F.explode_outer(characters(F.col(text))).alias("ch"))
+    counts = chars.groupBy(key, "ch").agg(F.count("ch").alias("n"))
     # H = log2(N) - sum(n * log2 n) / N
     n = F.col("n").cast("double")
     sums = counts.groupBy(key).agg(

@@ -9,6 +9,7 @@ from netloom.config import MICROS, DnsConfig
 from netloom.functions.columns import char_entropy, joined_reasons
 from netloom.operators.detectors.base import evidence, verdict, verdict_rows
 from netloom.operators.history import pair_history, running_history
+from netloom.session import materialize
 
 NAME = "DNSTunnelDetector"
 _PAIR = ["stream_id", "src_ip", "dst_ip"]
@@ -26,6 +27,7 @@ def query_history(flows: DataFrame, queries: DataFrame, cfg: DnsConfig = DnsConf
     sessions = running_history(
         dns.select(*_PAIR, "window_end_us").distinct(), _PAIR, {}, round(cfg.idle_s * MICROS)
     )
+    sessions = materialize(sessions, "dns-sessions")
     at = F.struct("window_end_us", "first_seq")
     firsts = (
         queries.join(sessions, [*_PAIR, "window_end_us"])
@@ -50,7 +52,7 @@ def query_history(flows: DataFrame, queries: DataFrame, cfg: DnsConfig = DnsConf
         .withColumnRenamed("session_start", "pair_session")
     )
     return pair_history(
-        rows,
+        materialize(rows, "dns-rows"),
         {
             "names": ("sum", "new_names"),
             "entropy_sum": ("sum", "new_entropy"),

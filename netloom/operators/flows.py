@@ -110,16 +110,21 @@ def build_flows(packets: DataFrame, cfg: WindowConfig, anchor_us: int | None = N
     base = (
         _gridded(packets, cfg, anchor_us)
         .withColumns({"k_first": first, "k_last": last})
-        .filter(F.col("k_first") <= F.col("k_last"))
         .select(
             "stream_id", "anchor_us", *FLOW_KEY, "seq", "ts_us", "a_to_b",
             F.col("length").cast("bigint").alias("length"),
             pane.cast("bigint").alias("pane"), "k_first", "k_last",
             has_query.alias("has_query"), hello.alias("hello"), has_sni.alias("has_sni"),
-            F.explode(
-                F.sequence(int_floor_div("k_first", size), int_floor_div("k_last", size))
+            # An outer explode keeps the condition out of the scan's filter, where every
+            # input expression would be repeated.
+            F.explode_outer(
+                F.when(
+                    F.col("k_first") <= F.col("k_last"),
+                    F.sequence(int_floor_div("k_first", size), int_floor_div("k_last", size)),
+                )
             ).alias("chunk"),
         )
+        .filter(F.col("chunk").isNotNull())
     )
     part = ["stream_id", "anchor_us", "chunk", *FLOW_KEY]
     arrivals = Window.partitionBy(*part).orderBy("seq")
@@ -227,8 +232,8 @@ def _copies(gridded: DataFrame, cfg: WindowConfig) -> DataFrame:
     first, last = window_span(cfg)
     return (
         gridded.withColumns({"_k1": first, "_k2": last})
-        .filter(F.col("_k1") <= F.col("_k2"))
-        .withColumn("_k", F.explode(F.sequence("_k1", "_k2")))
+        .withColumn("_k", F.explode_outer(F.when(F.col("_k1") <= F.col("_k2"), F.sequence("_k1", "_k2"))))
+        .filter(F.col("_k").isNotNull())
         .withColumn("window_end_us", F.col("anchor_us") + F.col("_k") * cfg.slide_us)
         .drop("_k", "_k1", "_k2")
     )

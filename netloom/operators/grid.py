@@ -205,21 +205,30 @@ def grid_segments(packets: DataFrame, cfg: WindowConfig, profile: DataFrame | No
 
 
 def segment_index(segments: DataFrame, cfg: WindowConfig) -> DataFrame:
-    """Segments by (stream, hour), so that packets find theirs with an equi-join."""
+    """Segments per (stream, hour) with the times they hold, so that packets find theirs
+    with an equi-join. Segments are more than a window apart, so an hour has few."""
+    by_time = Window.partitionBy("stream_id").orderBy("anchor_us")
     first = int_floor_div(f"anchor_us - {cfg.window_us}L", HOUR_US)
     last = int_floor_div("last_us", HOUR_US)
-    return (
-        segments.withColumn("hour", F.explode(F.sequence(first, last)))
-        .groupBy("stream_id", "hour")
-        .agg(F.array_sort(F.collect_list(F.struct("anchor_us", "last_us"))).alias("segments"))
+    return segments.select(
+        "stream_id",
+        F.explode(F.sequence(first, last)).alias("hour"),
+        "anchor_us",
+        "last_us",
+        F.when(F.lag("anchor_us").over(by_time).isNotNull(), F.col("anchor_us"))
+        .otherwise(F.col("anchor_us") - cfg.window_us)
+        .alias("from_us"),
     )
 
 
 def on_grid(packets: DataFrame, cfg: WindowConfig, anchor_us: int | None = None) -> DataFrame:
     """On-time packets with ``anchor_us`` and ``last_us`` of their grid segment.
 
-    With a fixed ``anchor_us`` (as a stream needs) no gap restarts the grid.
+    With a fixed ``anchor_us`` (as a stream needs) no gap restarts the grid. Packets that
+    already have a grid are returned as they are.
     """
+    if {"anchor_us", "last_us"} <= set(packets.columns):
+        return packets
     profile = materialize(time_profile(packets, cfg), "profile")
     kept = drop_late(packets, cfg, profile)
     if kept is not packets:
@@ -230,13 +239,11 @@ def on_grid(packets: DataFrame, cfg: WindowConfig, anchor_us: int | None = None)
         )
         return kept.join(materialize(segments, "grid"), "stream_id")
     index = materialize(segment_index(grid_segments(kept, cfg, profile), cfg), "grid")
-    found = kept.withColumn("hour", int_floor_div("ts_us", HOUR_US)).join(index, ["stream_id", "hour"])
-    begun = F.filter("segments", lambda s: s["anchor_us"] <= F.col("ts_us"))
-    pick = F.coalesce(F.try_element_at(begun, F.lit(-1)), F.col("segments")[0])
-    return found.withColumn("_segment", pick).select(
-        *packets.columns,
-        F.col("_segment.anchor_us").alias("anchor_us"),
-        F.col("_segment.last_us").alias("last_us"),
+    return (
+        kept.withColumn("hour", int_floor_div("ts_us", HOUR_US))
+        .join(index, ["stream_id", "hour"])
+        .filter(F.col("ts_us").between(F.col("from_us"), F.col("last_us")))
+        .select(*packets.columns, "anchor_us", "last_us")
     )
 
 

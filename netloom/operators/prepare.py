@@ -5,29 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.functions.columns import flow_id, starts_with_any
+from netloom.functions.columns import flow_id
 
-# Address prefixes that are dropped at ingestion.
-V4_LINK_LOCAL = ("169.254.",)
-V4_MULTICAST = ("224.", "239.")
-V4_MULTICAST_ALL = tuple(f"{n}." for n in range(224, 240))
+# Addresses dropped at ingestion. Link-local and multicast, IPv4 and IPv6.
+OUT_OF_SCOPE = r"^(169\.254\.|224\.|239\.|(?=[^:]*:)([fF][eE][89aAbB]|[fF][fF]))"
+# The same with all of 224.0.0.0/4.
+OUT_OF_SCOPE_ALL = r"^(169\.254\.|22[4-9]\.|23\d\.|(?=[^:]*:)([fF][eE][89aAbB]|[fF][fF]))"
 V4_BROADCAST = "255.255.255.255"
-V6_DROPPED = ("fe8", "fe9", "fea", "feb", "ff")
 
 FLOW_KEY = ["ip_a", "port_a", "ip_b", "port_b", "protocol"]
 
 
 def in_scope(src: Column, dst: Column, all_multicast: bool = False) -> Column:
     """True for unicast addresses that are not link-local."""
-    v4 = V4_LINK_LOCAL + (V4_MULTICAST_ALL if all_multicast else V4_MULTICAST)
-
-    def dropped(ip: Column) -> Column:
-        is_v6 = ip.contains(":")
-        return F.when(is_v6, starts_with_any(F.lower(ip), V6_DROPPED)).otherwise(
-            starts_with_any(ip, v4)
-        )
-
-    return ~(dropped(src) | dropped(dst) | (dst == V4_BROADCAST))
+    pattern = OUT_OF_SCOPE_ALL if all_multicast else OUT_OF_SCOPE
+    return ~(src.rlike(pattern) | dst.rlike(pattern) | (dst == V4_BROADCAST))
 
 
 def scope_filter(packets: DataFrame, all_multicast: bool = False) -> DataFrame:

@@ -12,7 +12,8 @@ from netloom.operators import detectors as d
 from netloom.operators.alerts import to_alerts
 from netloom.operators.flows import build_flows, dns_queries
 from netloom.operators.fusion import fuse, gather
-from netloom.operators.prepare import scope_filter
+from netloom.operators.grid import on_grid
+from netloom.operators.prepare import scope_filter, with_time_us
 from netloom.schema import DETECTORS
 from netloom.session import materialize
 
@@ -41,12 +42,11 @@ def verdicts(
     flows: DataFrame,
     window: WindowConfig,
     cfg: DetectionConfig,
-    anchor_us: int | None = None,
     scorer: Callable[[DataFrame], DataFrame] | None = None,
 ) -> list[DataFrame]:
     """Verdict rows of the six detectors, in the order they are combined."""
     named = flows.filter("protocol = 'UDP' AND dns_query_count > 0")
-    queries = materialize(dns_queries(packets, named, window, anchor_us), "dns-names")
+    queries = materialize(dns_queries(packets, named, window), "dns-names")
     return [
         d.detect_ddos(flows, cfg.ddos, scorer),
         d.detect_beacon(flows, cfg.beacon),
@@ -69,11 +69,13 @@ def detect(
     """Run all detectors over packets.
 
     Flows are written once to the shared folder: six detectors read them, each with its
-    own columns and filter. ``custom`` adds detectors by name, after the built-in ones.
+    own columns and filter. So are the verdicts, which are few, for the reports on them.
+    ``custom`` adds detectors by name, after the built-in ones.
     """
     packets = scope_filter(packets) if scope else packets
-    flows = materialize(build_flows(packets, window, anchor_us), "flows")
-    found = verdicts(packets, flows, window, cfg, anchor_us, scorer)
+    packets = on_grid(with_time_us(packets), window, anchor_us)
+    flows = materialize(build_flows(packets, window), "flows")
+    found = verdicts(packets, flows, window, cfg, scorer)
     custom = custom or {}
     found += [make(flows) for make in custom.values()]
-    return Detection(flows, gather(found), cfg, [*DETECTORS, *custom])
+    return Detection(flows, materialize(gather(found), "verdicts"), cfg, [*DETECTORS, *custom])

@@ -24,13 +24,13 @@ from netloom.operators import metrics as mt
 from netloom.operators import scaling as sc
 from netloom.operators import splits as sp
 from netloom.operators import stats as st
-from netloom.operators.grid import drop_late, grid_segments, window_ends
+from netloom.operators.grid import drop_late, grid_segments, on_grid, window_ends
 from netloom.operators.prepare import flow_eligible, scope_filter, with_flow_key, with_packet_flow_id
 from netloom.plans import oracle as o
 from netloom.plans.detection import Detection, detect
 from netloom.schema import FEATURES_13, FEATURES_16
 from netloom.session import materialize
-from netloom.sources.driver_tables import driver_packets, table
+from netloom.sources.driver_tables import driver_packets, ingested_packets, table
 from netloom.sources.manifest import blocked_paths
 
 WINDOW = WindowConfig(10, 1)
@@ -71,11 +71,11 @@ def ev(name: str, kind: str = "string", alias: str | None = None) -> Column:
 
 
 def _flows(spark: SparkSession, sf: str) -> DataFrame:
-    return fl.build_flows(driver_packets(spark, sf), WINDOW)
+    return fl.build_flows(ingested_packets(spark, sf), WINDOW)
 
 
 def _detect(spark: SparkSession, sf: str) -> Detection:
-    return detect(driver_packets(spark, sf), WINDOW, DRIVER_DETECTION)
+    return detect(ingested_packets(spark, sf), WINDOW, DRIVER_DETECTION)
 
 
 # --- packets -------------------------------------------------------------------------
@@ -177,7 +177,7 @@ def window_snapshot(spark, sf):
 @query("arrival_exact_flows", o.over_flows("""
 SELECT window_end_us, flow_id, packet_count, byte_count FROM fl"""))
 def arrival_exact_flows(spark, sf):
-    copies = fl.window_packets(driver_packets(spark, sf), WINDOW, "arrival_exact")
+    copies = fl.window_packets(ingested_packets(spark, sf), WINDOW, "arrival_exact")
     flows = fl.flows_from_window_packets(copies, WINDOW)
     return flows.select("window_end_us", "flow_id", "packet_count", "byte_count")
 
@@ -209,14 +209,14 @@ def flow_iat(spark, sf):
 SELECT window_end_us, s_ip || ':' || s_port || '-' || d_ip || ':' || d_port || '-' || protocol AS flow_id, seq, dns_query_name AS name
 FROM od WHERE rn > 1 AND dns_query_name <> ''"""))
 def flow_dns_queries(spark, sf):
-    packets = driver_packets(spark, sf)
+    packets = on_grid(ingested_packets(spark, sf), WINDOW)
     flows = fl.build_flows(packets, WINDOW)
     return fl.dns_queries(packets, flows, WINDOW).select("window_end_us", "flow_id", "seq", "name")
 
 
 @query("flow_tls", o.over_flows("SELECT window_end_us, flow_id, tls_sni FROM fl WHERE tls_client_hello"))
 def flow_tls(spark, sf):
-    packets = driver_packets(spark, sf)
+    packets = on_grid(ingested_packets(spark, sf), WINDOW)
     flows = fl.build_flows(packets, WINDOW)
     return fl.tls_details(packets, flows, WINDOW).select("window_end_us", "flow_id", "tls_sni")
 
@@ -234,7 +234,7 @@ SELECT e.window_end_us, coalesce(total_packets, 0) AS total_packets, coalesce(to
 FROM (SELECT unnest(range(a + 250000, m + 1, 250000)) AS window_end_us FROM g) e LEFT JOIN ({_TOTALS}) t USING (window_end_us)""",
     window=250_000, slide=250_000))
 def window_totals_gap_filled(spark, sf):
-    cfg, packets = WindowConfig(0.25, 0.25), driver_packets(spark, sf)
+    cfg, packets = WindowConfig(0.25, 0.25), ingested_packets(spark, sf)
     ends = window_ends(grid_segments(packets, cfg), cfg)
     totals = fl.window_totals(fl.build_flows(packets, cfg))
     return fl.with_empty_windows(totals, ends, cfg).select("window_end_us", "total_packets", "total_bytes", "flow_count")
@@ -243,7 +243,7 @@ def window_totals_gap_filled(spark, sf):
 @query("peak_rates", o.over_flows(
     f"SELECT max(total_packets) AS peak_packets, max(flow_count) AS peak_flows FROM ({_TOTALS}) t", window=1_000_000))
 def peak_rates(spark, sf):
-    totals = fl.window_totals(fl.build_flows(driver_packets(spark, sf), WindowConfig(1, 1)))
+    totals = fl.window_totals(fl.build_flows(ingested_packets(spark, sf), WindowConfig(1, 1)))
     return st.peak_rates(totals).drop("stream_id")
 
 
@@ -273,7 +273,7 @@ def features13(spark, sf):
 @query("native_dataset", o.over_flows(f"""
 SELECT {_F13}, 1 AS label FROM fr WHERE packet_count >= 3""", slide=2_000_000))
 def native_dataset(spark, sf):
-    flows = fl.build_flows(driver_packets(spark, sf), WindowConfig(10, 2))
+    flows = fl.build_flows(ingested_packets(spark, sf), WindowConfig(10, 2))
     return ft.native_dataset(flows, 1).select(*[r6(c) for c in FEATURES_13], "label")
 
 
@@ -314,7 +314,7 @@ def detect_c2(spark, sf):
 SELECT window_end_us, flow_id, status, round(score, 6) AS score, CASE WHEN status = 'DETECTED' THEN names END AS unique_queries,
   CASE WHEN status = 'DETECTED' THEN round(me, 6) END AS entropy, CASE WHEN status = 'DETECTED' THEN highs END AS high_entropy_queries, reason FROM dns""", o.DNS))
 def detect_dns(spark, sf):
-    packets = driver_packets(spark, sf)
+    packets = on_grid(ingested_packets(spark, sf), WINDOW)
     flows = materialize(fl.build_flows(packets, WINDOW).filter("protocol = 'UDP'"), "dns-flows")
     queries = materialize(fl.dns_queries(packets, flows, WINDOW), "dns-names")
     return dt.detect_dns(flows, queries, DRIVER_DETECTION.dns).select(

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from netloom.session import materialize
+
 _VIEW = """
 SELECT 'events' AS stream_id, seq, ts_us,
  CASE WHEN g=2 THEN '192.168.1.250' WHEN g=1 THEN concat('198.51.100.', CAST(u AS {STR}))
@@ -44,3 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def driver_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(packets_sql("spark", "{events}"), events=table(spark, sf_dir, "events"))
+
+
+def ingested_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same packets as a written packet table, which is what captures are decoded to.
+
+    Steps that read packets several times then prune columns instead of deriving them anew.
+    """
+    return materialize(driver_packets(spark, sf_dir), "packets")
