@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.config import MICROS, BeaconConfig
@@ -13,24 +13,35 @@ from netloom.operators.history import trailing_windows
 NAME = "C2BeaconingDetector"
 
 
-def beacon_scores(flows: DataFrame, cfg: BeaconConfig = BeaconConfig()) -> DataFrame:
-    """Flow rows that pass every gate, with ``cv``, ``windows_seen`` and ``confidence``."""
+def beacon_history(flows: DataFrame, cfg: BeaconConfig = BeaconConfig()) -> DataFrame:
+    """Flow rows with their active windows and time span in the trailing history.
+
+    Endpoints are fixed per flow id, so infrastructure flows leave before the history.
+    """
+    return trailing_windows(
+        flows.filter(~is_infrastructure(cfg)).select(
+            "stream_id", "window_end_us", "flow_id", "src_ip", "dst_ip", "src_port", "dst_port",
+            "packet_count", "byte_count", "iat_count", "iat_mean", "iat_std",
+        ),
+        round(cfg.history_s * MICROS),
+    )
+
+
+def is_infrastructure(cfg: BeaconConfig) -> Column:
     ports, ips = list(cfg.infra_ports), list(cfg.infra_ips)
-    infra = (
+    return (
         F.col("src_port").isin(ports) | F.col("dst_port").isin(ports)
         | F.col("src_ip").isin(ips) | F.col("dst_ip").isin(ips)
     )
+
+
+def beacon_scores(seen: DataFrame, cfg: BeaconConfig = BeaconConfig()) -> DataFrame:
+    """Rows of ``beacon_history`` that pass every gate, with ``cv`` and ``confidence``."""
     cv = F.when((F.col("iat_count") >= 2) & (F.col("iat_mean") > 0), F.col("iat_std") / F.col("iat_mean"))
-    # Endpoints are fixed per flow id, so infrastructure flows can leave before the history.
-    seen = trailing_windows(
-        flows.filter(~infra).select(
-            "stream_id", "window_end_us", "flow_id", "dst_ip", "dst_port", "packet_count", "byte_count",
-            cv.alias("cv"),
-        ),
-        round(cfg.history_s * MICROS),
-    ).withColumn("observation_span", seconds(F.col("observed_us")))
+    seen = seen.withColumns({"cv": cv, "observation_span": seconds(F.col("observed_us"))})
     passing = seen.filter(
-        (F.col("cv") <= cfg.max_cv)
+        ~is_infrastructure(cfg)
+        & (F.col("cv") <= cfg.max_cv)
         & (F.col("windows_seen") >= cfg.min_windows)
         & (F.col("observation_span") >= cfg.min_span_s)
         & (F.col("byte_count") / F.col("packet_count") < cfg.max_mean_packet)
@@ -43,7 +54,11 @@ def beacon_scores(flows: DataFrame, cfg: BeaconConfig = BeaconConfig()) -> DataF
 
 
 def detect_beacon(flows: DataFrame, cfg: BeaconConfig = BeaconConfig()) -> DataFrame:
-    rows = beacon_scores(flows, cfg).filter(F.col("confidence") >= cfg.min_confidence)
+    return judge_beacon(beacon_history(flows, cfg), cfg)
+
+
+def judge_beacon(seen: DataFrame, cfg: BeaconConfig = BeaconConfig()) -> DataFrame:
+    rows = beacon_scores(seen, cfg).filter(F.col("confidence") >= cfg.min_confidence)
     reason = joined_reasons(
         F.format_string("Highly regular timing (CV=%.3f)", "cv"),
         F.format_string("Sustained over %d windows (%.1fs)", "windows_seen", "observation_span"),

@@ -65,8 +65,12 @@ def query_history(flows: DataFrame, queries: DataFrame, cfg: DnsConfig = DnsConf
 
 
 def detect_dns(flows: DataFrame, queries: DataFrame, cfg: DnsConfig = DnsConfig()) -> DataFrame:
+    return judge_dns(query_history(flows, queries, cfg), cfg)
+
+
+def judge_dns(seen: DataFrame, cfg: DnsConfig = DnsConfig()) -> DataFrame:
     """DETECTED rows, and INSUFFICIENT_DATA rows for pairs with too few names so far."""
-    seen = query_history(flows, queries, cfg).withColumns(
+    seen = seen.withColumns(
         {
             "mean_entropy": F.try_divide("entropy_sum", "names"),
             "mean_length": F.try_divide("length_sum", "names"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.config import MICROS, ExfilConfig
@@ -18,10 +18,7 @@ def outbound_history(flows: DataFrame, cfg: ExfilConfig = ExfilConfig()) -> Data
 
     A pair's direction is fixed, so other pairs can be left out before the history.
     """
-    outward = starts_with_any(F.col("src_ip"), cfg.internal_prefixes) & ~starts_with_any(
-        F.col("dst_ip"), cfg.internal_prefixes
-    )
-    rows = flows.filter(outward).select(
+    rows = flows.filter(goes_outside(cfg)).select(
         "stream_id", "window_end_us", "flow_id", "src_ip", "dst_ip", "first_seq",
         "fwd_byte_count", "rev_byte_count", F.lit(1).cast("bigint").alias("one"),
     )
@@ -33,11 +30,22 @@ def outbound_history(flows: DataFrame, cfg: ExfilConfig = ExfilConfig()) -> Data
             "windows_active": ("sum", "one"),
         },
         round(cfg.idle_s * MICROS),
-    ).withColumn("ratio", F.col("fwd_max") / F.greatest(F.col("rev_max"), F.lit(1)))
+    )
+
+
+def goes_outside(cfg: ExfilConfig) -> Column:
+    return starts_with_any(F.col("src_ip"), cfg.internal_prefixes) & ~starts_with_any(
+        F.col("dst_ip"), cfg.internal_prefixes
+    )
 
 
 def detect_exfil(flows: DataFrame, cfg: ExfilConfig = ExfilConfig()) -> DataFrame:
-    rows = outbound_history(flows, cfg).filter(
+    return judge_exfil(outbound_history(flows, cfg), cfg)
+
+
+def judge_exfil(seen: DataFrame, cfg: ExfilConfig = ExfilConfig()) -> DataFrame:
+    seen = seen.withColumn("ratio", F.col("fwd_max") / F.greatest(F.col("rev_max"), F.lit(1)))
+    rows = seen.filter(
         (F.col("fwd_max") >= cfg.min_bytes)
         & (F.col("ratio") >= cfg.min_ratio)
         & (F.col("windows_active") >= cfg.min_windows)

@@ -36,7 +36,11 @@ def tls_history(flows: DataFrame, cfg: TlsConfig = TlsConfig()) -> DataFrame:
 
 
 def detect_tls(flows: DataFrame, cfg: TlsConfig = TlsConfig()) -> DataFrame:
-    rows = tls_history(flows, cfg).filter(
+    return judge_tls(tls_history(flows, cfg), cfg)
+
+
+def judge_tls(seen: DataFrame, cfg: TlsConfig = TlsConfig()) -> DataFrame:
+    rows = seen.filter(
         (F.col("hello_seen") == 1) & (F.col("sni_seen") == 0) & (F.col("windows_seen") >= cfg.min_windows)
     )
     reason = joined_reasons(
