@@ -121,13 +121,17 @@ def _gap_candidates(packets: DataFrame, profile: DataFrame, cfg: WindowConfig) -
     by_time = Window.partitionBy("stream_id").orderBy("bucket")
     far = by_time.rangeBetween(Window.unboundedPreceding, -(q + 1))
     near = by_time.rangeBetween(-q, -1)
+    ahead = by_time.rangeBetween(1, q + 1)
     reach = 2 * cfg.window_us - cfg.slide_us
     rows = profile.withColumns(
         {
             "far_us": F.max("max_us").over(far),
             "near": F.collect_list(F.struct("bucket", "min_seq", "max_seq", "first_us", "max_us")).over(near),
+            "ahead_seq": F.min("min_seq").over(ahead),
         }
     )
+    # An arrival that follows one from a later bucket does not advance the time.
+    rows = rows.filter(F.coalesce(F.col("ahead_seq") > F.col("min_seq"), F.lit(True)))
     earlier = F.filter("near", lambda b: b["min_seq"] < F.col("min_seq"))
     known = F.transform(
         earlier,
