@@ -15,6 +15,8 @@ from netloom.config import (
     BeaconConfig, DdosConfig, DetectionConfig, DnsConfig, ExfilConfig, ReconConfig, TlsConfig, WindowConfig,
 )
 from netloom.functions.columns import char_entropy
+from netloom.ml.score import flow_scorer
+from netloom.ml.train import fit, random_forest
 from netloom.operators import alerts as al
 from netloom.operators import datasets as ds
 from netloom.operators import detectors as dt
@@ -28,10 +30,12 @@ from netloom.operators.grid import drop_late, grid_segments, on_grid, window_end
 from netloom.operators.prepare import flow_eligible, scope_filter, with_flow_key, with_packet_flow_id
 from netloom.plans import oracle as o
 from netloom.plans.detection import Detection, detect
-from netloom.schema import FEATURES_13, FEATURES_16
-from netloom.session import materialize
+from netloom.schema import FEATURES_13, FEATURES_16, PACKET_SCHEMA
+from netloom.session import fresh_path, materialize
 from netloom.sources.driver_tables import driver_packets, ingested_packets, table
 from netloom.sources.manifest import blocked_paths
+from netloom.sources.packets import read_packets, stream_packets
+from netloom.streaming.live import start_detection, stream_flows, table_sink
 
 WINDOW = WindowConfig(10, 1)
 DRIVER_DETECTION = DetectionConfig(
@@ -692,6 +696,78 @@ def manifest_guard(spark, sf):
     return blocked_paths(pages, manifest, "url", blocked_dir="example").select("page_id", "url")
 
 
+# --- streams -------------------------------------------------------------------------
+
+# A stream closes a window once the watermark, newest time less the window and in whole
+# milliseconds, has passed it.
+_CLOSED = "window_end_us + 1 <= (SELECT m // 1000 * 1000 - 10000000 FROM g)"
+
+
+def _packet_stream(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    view = driver_packets(spark, sf).withColumn("ts", F.timestamp_micros("ts_us"))
+    cols = [
+        (F.col(f.name) if f.name in view.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in PACKET_SCHEMA.fields
+    ]
+    path = fresh_path(spark, "packet-stream")
+    view.select(*cols).write.parquet(path)
+    anchor = read_packets(spark, path).agg(F.min_by(F.unix_micros("ts"), "seq")).first()[0]
+    return stream_packets(spark, path), anchor
+
+
+@query("stream_flows", o.over_flows(f"""
+SELECT window_end_us, flow_id, packet_count, fwd_byte_count, rev_byte_count, iat_count, round(iat_mean * 1e6, 5) AS iat_mean_us, dns_query_count
+FROM fl WHERE {_CLOSED}"""))
+def stream_flows_query(spark, sf):
+    packets, anchor = _packet_stream(spark, sf)
+    flows = stream_flows(packets, WINDOW, anchor).select(
+        "window_end_us", "flow_id", "packet_count", "fwd_byte_count", "rev_byte_count", "iat_count",
+        F.round(F.col("iat_mean") * 1e6, 5).alias("iat_mean_us"), "dns_query_count",
+    )
+    out = fresh_path(spark, "stream-flows")
+    flows.writeStream.outputMode("append").format("parquet").option("path", out).option(
+        "checkpointLocation", fresh_path(spark, "stream-state")
+    ).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(flows.schema).parquet(out)
+
+
+@query("stream_alerts", o.over_fused(f"""
+SELECT window_end_us AS "timestamp", flow_id, threat_type AS threat_class, round(coalesce(confidence, score), 6) AS confidence, fusion_reason
+FROM fu WHERE threat_type <> 'BENIGN' AND {_CLOSED}"""))
+def stream_alerts(spark, sf):
+    packets, anchor = _packet_stream(spark, sf)
+    out = fresh_path(spark, "stream-alerts")
+    start_detection(
+        packets, WINDOW, DRIVER_DETECTION, fresh_path(spark, "stream-state"), table_sink(out), anchor
+    ).awaitTermination()
+    schema = "`timestamp` bigint, flow_id string, threat_class string, confidence double, fusion_reason string"
+    return spark.read.schema(schema).parquet(out).select(
+        "timestamp", "flow_id", "threat_class", r6("confidence"), "fusion_reason"
+    )
+
+
+# --- models (rows only: fitting has no SQL form) --------------------------------------
+
+
+@query("train_and_score")
+def train_and_score(spark, sf):
+    rows = labelled_lines(spark, sf).withColumn("label", (F.col("label") == 1).cast("int"))
+    split = sp.split_stratified(rows, "label", "flow_id")
+    model = fit(split.filter("split = 'train'"), _COLS, random_forest(10, 6, balanced=True))
+    made = model.predict(split.filter("split = 'test'"))
+    return made.select("flow_id", "label", "prediction", "predicted_class", r6("confidence"))
+
+
+@query("detect_ddos_with_model")
+def detect_ddos_with_model(spark, sf):
+    flows = materialize(_flows(spark, sf), "flows")
+    flooded = (F.col("dst_ip") == "10.0.0.80").cast("int").alias("label")
+    train = ft.features13(flows, keep=["dst_ip"]).select(*FEATURES_13, flooded)
+    model = fit(train, FEATURES_13, random_forest(5, 5))
+    made = dt.detect_ddos(flows, DRIVER_DETECTION.ddos, flow_scorer(model))
+    return made.select("window_end_us", "flow_id", r6("result.confidence", "confidence"), ev("reason"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

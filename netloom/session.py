@@ -41,6 +41,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[sc.applicationId]
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/netloom/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -49,6 +54,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/netloom/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -114,6 +114,9 @@ def stream_flows(
     return out.filter(F.col("window_end_us") > anchor_us).select(*FLOW_COLUMNS, "names", "ts")
 
 
+# Per-key state of any size needs the state store that keeps it on disk.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 # History columns added by ``PairHistory``.
 _HISTORY = [
     ("windows_seen", T.LongType()), ("observed_us", T.LongType()),
@@ -250,6 +253,7 @@ def start_detection(
     trigger: dict | None = None,
 ):
     """Start the query; ``sink(alerts, batch_id)`` gets each micro-batch's live alerts."""
+    packets.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     rows = with_history(stream_flows(packets, window, anchor_us, delay_s), cfg)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
