@@ -171,22 +171,30 @@ def _merge_words(ranks_in):
     return run
 
 
+def packed(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys, offsets and the ids of all words end to end."""
+    rows = rows.select(["key", "code"]).sort_by("key").combine_chunks()
+    keys = rows.column("key").to_numpy()
+    if (np.diff(keys) == 0).any():
+        raise RuntimeError("two words share a key; choose another seed")
+    if not len(keys):
+        return keys, np.zeros(1, np.int32), np.zeros(0, np.int32)
+    codes = rows.column("code").cast(pa.large_binary()).combine_chunks()
+    offsets = np.frombuffer(codes.buffers()[1], np.int64, len(codes) + 1)
+    ids = np.frombuffer(codes.buffers()[2], np.int32)[offsets[0] // 4 : offsets[-1] // 4]
+    return keys, ((offsets - offsets[0]) // 4).astype(np.int32), ids.copy()
+
+
 class WordTable:
-    """Sorted keys, with the ids of all words end to end."""
+    """Encodes texts by the arrays of :func:`packed`."""
 
-    def __init__(self, keys: np.ndarray, codes: pa.Array):
-        order = np.argsort(keys, kind="stable")
-        codes = codes.cast(pa.large_binary()).take(pa.array(order))
-        offsets = np.frombuffer(codes.buffers()[1], np.int64, len(codes) + 1) // 4
-        ids = np.frombuffer(codes.buffers()[2], np.uint32) if len(codes) else np.zeros(0, np.uint32)
-        self.keys, self.offsets, self.ids = keys[order], offsets.astype(np.int64), ids.astype(np.int32)
-        if len(keys) > 1 and (np.diff(self.keys) == 0).any():
-            raise RuntimeError("two words share a key; choose another seed")
+    def __init__(self, keys: np.ndarray, offsets: np.ndarray, ids: np.ndarray):
+        self.keys, self.offsets, self.ids = keys, offsets, ids
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
         _, _, _, keys, counts = pre_tokens(texts)
         at = np.searchsorted(self.keys, keys)
-        begin = self.offsets[at]
+        begin = self.offsets[at].astype(np.int64)
         length = self.offsets[at + 1] - begin
         stop = np.cumsum(length)
         total = int(stop[-1]) if len(stop) else 0
@@ -210,7 +218,7 @@ def _encode_with(table_in, id_col: str):
 
 def _encode_block(id_col: str):
     def run(key, docs, words):
-        table = WordTable(words.column("key").to_numpy(), words.column("code").combine_chunks())
+        table = WordTable(*packed(words))
         ids, outs = [], []
         for batch in docs.select([id_col, "body"]).to_batches():
             for part in slices(batch, "body"):
@@ -245,12 +253,7 @@ def encode(
     coded = materialize(words.mapInArrow(_merge_words(ranks), "word string, key bigint, code binary"), "word-ids")
     size = coded.agg(F.count("*").alias("n"), F.sum(F.octet_length("code") + 16).alias("bytes")).first()
     if size["n"] <= max_broadcast_words and (size["bytes"] or 0) <= max_broadcast_bytes:
-        local = coded.select("key", "code").toArrow()
-        table = spark.sparkContext.broadcast((
-            local.column("key").to_numpy(),
-            pa.concat_arrays(local.column("code").cast(pa.large_binary()).chunks)
-            if local.num_rows else pa.array([], pa.large_binary()),
-        ))
+        table = spark.sparkContext.broadcast(packed(coded.select("key", "code").toArrow()))
         return rows.mapInArrow(_encode_with(table, id_col), out)
     total = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))

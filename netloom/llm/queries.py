@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import bpe, decontam, langid, linededup, minmax
+from netloom.llm import bpe, decontam, langid, linededup, minmax, rules
 from netloom.llm.common import held_out, table
 
 
@@ -17,6 +17,13 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    return rules.quality(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")), remainder == 1
+    )
+
+
 def op7_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf_dir, "documents"))
 
