@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import bpe, decontam, langid, linededup, minmax, pii, rules, toxicity
+from netloom.llm import bpe, decontam, langid, linededup, minmax, pii, repeats, rules, toolcalls, toxicity
 from netloom.llm.common import held_out, table
 
 
@@ -17,6 +17,16 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op2_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = toolcalls.turns_as_calls(table(spark, sf_dir, "conversations"))
+    schemas = spark.createDataFrame(toolcalls.REPLY, "name string, field string, type string, required boolean")
+    linked = toolcalls.link_calls(calls, results, schemas)
+    return linked.select(
+        F.col("conv").alias("conv_id"), F.col("pos").alias("turn"), "call_id", "n_results", "level",
+        (F.size("errors") == 0).alias("valid"), F.sha2("canonical", 256).alias("json_sha256"),
+    )
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"))
     found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), ~out))
@@ -45,6 +55,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op7_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -82,4 +97,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_lines": linededup.DIGEST_SQL}
+    return {"op2_toolcalls": toolcalls.ORACLE, "op8_lines": linededup.DIGEST_SQL}
