@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import materialize, slices, span_hashes, with_fields
+from netloom.llm.common import bounded_batches, materialize, slices, span_hashes, with_fields
 
 OTHER, LETTER, NUMBER, SPACE, EDGE = range(5)
 #: Stands between two texts; not a code point.
@@ -45,8 +45,9 @@ def kinds() -> np.ndarray:
     global _kinds
     if _kinds is None:
         table = np.zeros(_EDGE_CODE + 1, np.uint8)
-        points = [c for c in range(_EDGE_CODE) if not 0xD800 <= c <= 0xDFFF]
-        everything, at = "".join(map(chr, points)), np.array(points)
+        every = np.arange(_EDGE_CODE, dtype=np.uint32)
+        at = every[(every < 0xD800) | (every > 0xDFFF)]
+        everything = at.tobytes().decode("utf-32-le")
         for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
             for m in regex.finditer(pattern, everything):
                 table[at[m.start() : m.end()]] = kind
@@ -243,6 +244,7 @@ def encode(
 ) -> DataFrame:
     """``id_col`` and ``ids`` (array of int) of each row's whole text."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     out = with_fields(rows, [id_col], "ids array<int>")

@@ -16,7 +16,8 @@ from netloom.session import materialize  # noqa: F401  (re-exported)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The characters of ``[\x20\x09-\x0D]``.
 SPACES = " \t\n\x0b\x0c\r"
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
+_BASE = 0x5851F42D4C957F2D
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,9 +39,15 @@ def with_fields(rows: DataFrame, carried: list[str], ddl: str) -> StructType:
     return StructType([rows.schema[c] for c in carried] + StructType.fromDDL(ddl).fields)
 
 
-def as_rows(docs: DataFrame, *more: Column) -> DataFrame:
-    """All columns of ``docs`` as the struct ``row``, so that new columns cannot clash with theirs."""
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *more)
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Let Arrow batches hold few rows: texts are long, and 10,000 of them have no useful bound.
+
+    Set for the session, since plans read it when they run; a smaller setting stays.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is not None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -90,24 +97,27 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[np.ndarray] = []
 
 
-def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2**64, at least ``n`` of each."""
+    if not _powers or len(_powers[0]) < n:
         size = max(n, BATCH_BYTES + (1 << 18))
-        up = np.full(size, base, np.uint64)
-        down = np.full(size, pow(base, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        have = _powers[base] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    return have
+        tables = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            tables.append(np.cumprod(steps, dtype=np.uint64))
+        if size > 8 * BATCH_BYTES:  # for one very long text: not kept
+            return tables
+        _powers[:] = tables
+    return _powers
 
 
 def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit fingerprint of each ``symbols[start:end]``: a polynomial over mixed symbols, modulo 2**64."""
-    base = (0x5851F42D4C957F2D + 2 * 0x632BE59BD9B4E019 * seed) & 0xFFFFFFFFFFFFFFFF | 1
-    up, down = _power_tables(base, len(symbols) + 1)
+    up, down = _power_tables(len(symbols) + 1)
     if symbols.dtype == np.uint8:
         values = mix(np.arange(1, 257), seed + 1)[symbols]
     else:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import materialize, mix, slices, spread, text_buffer, with_fields
+from netloom.llm.common import bounded_batches, materialize, mix, slices, spread, text_buffer, with_fields
 
 #: Bytes of words; the characters of ``[\x00-\x2F\x3A-\x60\x7B-\x7F]`` (A-Z lower-cased first) part words.
 _MAP = np.full(256, 0x20, np.uint8)
@@ -196,12 +196,15 @@ def find_benchmark(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    keep_text: bool = False,
 ) -> DataFrame:
     """``id_col``, ``n_words``, united hit ``spans`` (in words) and sorted ``items`` of each row.
 
     ``id_col`` is carried along and, for a large benchmark, joined on; it may be a struct.
+    With ``keep_text`` the text comes back as ``body``.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     items = benchmark.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"),
         F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("body"),
@@ -209,20 +212,22 @@ def find_benchmark(
     total = items.agg(F.sum(F.octet_length("body") + F.octet_length("item") + 1)).first()[0] or 0
     # A window takes at most about ``words`` times its share of the text.
     n_blocks = max(1, -(-total // max(block_bytes // words, 1)))
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("body"))
+    own = ["body"] if keep_text else []
 
     def searched(block: int, frame: DataFrame, names: list[str]) -> DataFrame:
-        own = items.filter(F.pmod(F.xxhash64("item", "body"), F.lit(n_blocks)) == block).toLocalIterator()
-        found = spark.sparkContext.broadcast(windows([(r["item"], r["body"]) for r in own], words))
+        part = items.filter(F.pmod(F.xxhash64("item", "body"), F.lit(n_blocks)) == block).toLocalIterator()
+        found = spark.sparkContext.broadcast(windows([(r["item"], r["body"]) for r in part], words))
         return frame.mapInArrow(_scan(found, names), with_fields(frame, names, _FIELDS))
 
     if n_blocks == 1:
-        return searched(0, rows, [id_col])
+        return searched(0, rows, [id_col, *own])
     keyed = rows.withColumn("fp", F.xxhash64("body"))
     parts = [
-        materialize(searched(b, keyed, [id_col, "fp"]), "windows") for b in range(n_blocks)
+        materialize(searched(b, keyed, [id_col, "fp", *(own if b == 0 else [])]), "windows") for b in range(n_blocks)
     ]
     whole = parts[0]
+    whole = whole.drop("body")
     for part in parts[1:]:
         whole = whole.union(part)
     hit = (
@@ -242,11 +247,11 @@ def find_benchmark(
             ),
         ).otherwise(F.concat(acc, F.array(span(s["start"], s["end"])))),
     )
-    base = parts[0].select(id_col, "fp", "n_words")
+    base = parts[0].select(id_col, "fp", *own, "n_words")
     return base.join(
         hit, F.col(id_col).eqNullSafe(F.col("hid")) & (F.col("fp") == F.col("hfp")), "left"
     ).select(
-        id_col, "n_words",
+        id_col, *own, "n_words",
         F.coalesce(merged, F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import materialize, slices, spread, text_buffer, with_fields
+from netloom.llm.common import bounded_batches, materialize, slices, spread, text_buffer, with_fields
 
 ORDER = 3
 UNDETERMINED = "und"
@@ -79,6 +79,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, min_share: float = 2e-5, text_col: str = "text", lang_col: str = "lang") -> dict:
     """Frozen statistics: languages and, for each order, (language, context, byte, count) arrays."""
+    bounded_batches(docs.sparkSession)
     grams = materialize(
         docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
         .filter("text IS NOT NULL AND lang IS NOT NULL")
@@ -135,7 +136,7 @@ class Model:
                     cost[node, :, l] = -np.log2(np.maximum(p, 1e-30))
         self.cost = cost.reshape(-1, n_lang)
         # The longest context that is a node, for every three bytes.
-        longest = np.zeros(1 << 24, np.int32)
+        longest = np.zeros(1 << 24, np.uint16 if len(cost) <= 1 << 16 else np.int32)
         every = longest.reshape(256, 256, 256)
         for order in range(1, ORDER + 1):
             for c, node in nodes[order].items():
@@ -163,7 +164,7 @@ class Model:
         bits = np.zeros((len(n), len(self.langs)), np.float64)
         full = np.flatnonzero(n)
         if len(full):
-            bits[full] = np.add.reduceat(self.cost[row].astype(np.float64), offsets[full], axis=0)
+            bits[full] = np.add.reduceat(self.cost[row], offsets[:-1][full], axis=0, dtype=np.float64)
         return bits, n
 
 
@@ -178,7 +179,7 @@ def _model(frozen_in) -> Model:
     return _models[key]
 
 
-def _predict(frozen_in, id_col: str):
+def _predict(frozen_in, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
         for batch in batches:
@@ -196,23 +197,31 @@ def _predict(frozen_in, id_col: str):
                     score, rate = np.zeros(len(n)), np.zeros(len(n))
                     name = np.full(len(n), UNDETERMINED, object)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(id_col), pa.array(name.tolist(), pa.string()), pa.array(score), pa.array(rate)],
-                    names=[id_col, "lang_pred", "score", "bits_per_byte"],
+                    [
+                        *(part.column(c) for c in carried), pa.array(name.tolist(), pa.string()), pa.array(score),
+                        pa.array(rate),
+                    ],
+                    names=[*carried, "lang_pred", "score", "bits_per_byte"],
                 )
 
     return run
 
 
-def identify(docs: DataFrame, frozen: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(
+    docs: DataFrame, frozen: dict, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False
+) -> DataFrame:
     """``id_col``, ``lang_pred``, ``score`` (its share of the languages' likelihoods), ``bits_per_byte``.
 
-    ``id_col`` is carried along only and may be any column, a struct too.
+    ``id_col`` is carried along only and may be any column, a struct too; with ``keep_text``
+    the text comes back as ``body``.
     """
+    bounded_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")
     rows = docs.select(
-        F.col(id_col), F.coalesce(text, F.lit("")).alias("body"),
+        F.col(id_col), text.alias("body"),
         F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letter"),
     )
     shared = docs.sparkSession.sparkContext.broadcast(frozen)
-    fields = with_fields(rows, [id_col], "lang_pred string, score double, bits_per_byte double")
-    return rows.mapInArrow(_predict(shared, id_col), fields)
+    carried = [id_col, "body"] if keep_text else [id_col]
+    fields = with_fields(rows, carried, "lang_pred string, score double, bits_per_byte double")
+    return rows.mapInArrow(_predict(shared, carried), fields)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import materialize, mix, slices, span_hashes, spread, text_buffer
+from netloom.llm.common import bounded_batches, materialize, mix, slices, span_hashes, spread, text_buffer
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -246,6 +246,7 @@ def near_duplicates(
     text_col: str = "text",
 ) -> DataFrame:
     """``id_col``, ``n_shingles``, ``component_id`` and ``kept`` of each row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body")
     )

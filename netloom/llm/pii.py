@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import materialize, slices, with_fields
+from netloom.llm.common import bounded_batches, materialize, slices, with_fields
 
 KINDS = ("email", "ip", "card", "phone")
 WIDTH, STRIDE, REACH = 64, 32, 24
@@ -380,6 +380,7 @@ def train(docs: DataFrame, max_fit_windows: int = 4000, steps: int = 300, text_c
                     names=["window", "holds"],
                 )
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     windows = rows.mapInArrow(run, "window string, holds boolean").distinct().withColumn("h", F.xxhash64("window"))
     take = lambda holds, n: [
@@ -397,6 +398,7 @@ def train(docs: DataFrame, max_fit_windows: int = 4000, steps: int = 300, text_c
 
 def find(docs: DataFrame, params: dict | None, min_confidence: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``base`` and ``spans`` (array of start, end, kind) of each row."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     shared = docs.sparkSession.sparkContext.broadcast(params)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import materialize, slices, span_hashes, text_buffer, with_fields
+from netloom.llm.common import bounded_batches, materialize, slices, span_hashes, text_buffer, with_fields
 
 GRAM = 32
 
@@ -239,6 +239,7 @@ def remove_repeats(
     docs: DataFrame, length: int = 200, max_bucket: int = 32_768, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``id_col``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_bytes`` (binary) of each row."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body")
     ).withColumn("fp", F.hash("body"))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import materialize, slices, with_fields
+from netloom.llm.common import bounded_batches, materialize, slices, with_fields
 
 _WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5)
@@ -134,6 +134,7 @@ def fit(
     text_col: str = "text",
 ) -> dict:
     """Voters and weights, learned from the labelled rows that ``train`` selects."""
+    bounded_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("label_id"), F.col("toxic").cast("int").alias("label"))
     known = known.filter("label IS NOT NULL").groupBy("label_id").agg(F.max("label").alias("label"))
     rows = docs.filter(train).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
@@ -175,6 +176,7 @@ def fit(
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``score`` and ``votes`` (words and beginnings that spoke) of each row."""
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(list(model["voters"]), object)
