@@ -11,26 +11,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm import decontam, langid, linededup, minmax
-from netloom.llm.common import as_rows, held_out, materialize, table
+from netloom.llm.common import held_out, materialize, table
 from netloom.llm.queries import bpe_round_trip
 
 #: A text whose shortest code needs more bits a byte than this is no text of any learned language.
 MAX_BITS_PER_BYTE = 8.0
 
 
+def _parts(docs: DataFrame):
+    """The text, and the other columns as a struct that no result can clash with."""
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
+    return docs.select(others, "doc_id", "text")
+
+
+def _whole(found: DataFrame, columns: list[str], text: str = "body") -> DataFrame:
+    return found.select(*(F.col(text).alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in columns))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or that no language's model compresses, go."""
     frozen = langid.train(docs.filter(~held_out(F.col("doc_id"))))
-    found = langid.identify(as_rows(docs, F.col("text")), frozen, id_col="row")
+    found = langid.identify(_parts(docs), frozen, id_col="row", keep_text=True)
     good = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("bits_per_byte") <= MAX_BITS_PER_BYTE)
-    return found.filter(good).select("row.*")
+    return _whole(found.filter(good), docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of three or more documents stay in one of them; every document stays, and ``n_chars`` follows."""
-    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
-    rows = docs.select(others, "doc_id", "text")
-    clean = linededup.drop_repeated_lines(rows, carry="row")
+    clean = linededup.drop_repeated_lines(_parts(docs), carry="row")
     new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
     return clean.select(*(new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns))
 
@@ -43,8 +51,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontam.find_benchmark(as_rows(docs, F.col("text")), table(spark, sf_dir, "benchmark"), id_col="row")
-    return found.filter(F.size("items") == 0).select("row.*")
+    found = decontam.find_benchmark(_parts(docs), table(spark, sf_dir, "benchmark"), id_col="row", keep_text=True)
+    return _whole(found.filter(F.size("items") == 0), docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
