@@ -172,37 +172,53 @@ def _merge_words(ranks_in):
     return run
 
 
-def packed(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys, offsets and the ids of all words end to end."""
-    rows = rows.select(["key", "code"]).sort_by("key").combine_chunks()
-    keys = rows.column("key").to_numpy()
+def indexed(keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray):
+    """Sorted keys, and begin and length of each word's ids among ``ids``."""
+    order = np.argsort(keys, kind="stable")
+    begin = (np.cumsum(lengths, dtype=np.int64) - lengths)[order]
+    keys = keys[order]
     if (np.diff(keys) == 0).any():
         raise RuntimeError("two words share a key; choose another seed")
-    if not len(keys):
-        return keys, np.zeros(1, np.int32), np.zeros(0, np.int32)
-    codes = rows.column("code").cast(pa.large_binary()).combine_chunks()
-    offsets = np.frombuffer(codes.buffers()[1], np.int64, len(codes) + 1)
-    ids = np.frombuffer(codes.buffers()[2], np.int32)[offsets[0] // 4 : offsets[-1] // 4]
-    return keys, ((offsets - offsets[0]) // 4).astype(np.int32), ids.copy()
+    return keys, begin.astype(np.int32), lengths[order], ids
+
+
+def _words_as_bytes(small: bool):
+    """Keys, lengths and ids of each batch as three strings of bytes, which the driver gets in little room."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = batch.column("code").to_pylist()
+            ids = np.frombuffer(b"".join(codes), np.uint32).astype(np.uint16 if small else np.int32)
+            lengths = np.fromiter((len(c) // 4 for c in codes), np.int32, len(codes))
+            cells = [batch.column("key").to_numpy().tobytes(), lengths.tobytes(), ids.tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=["keys", "lengths", "ids"])
+
+    return run
+
+
+def _collected(coded: DataFrame, small: bool):
+    """The word table in the driver; its size was checked."""
+    rows = coded.select("key", "code").mapInArrow(_words_as_bytes(small), "keys binary, lengths binary, ids binary").toArrow()
+    kinds_of = {"keys": np.int64, "lengths": np.int32, "ids": np.uint16 if small else np.int32}
+    return indexed(*(np.frombuffer(b"".join(rows.column(c).to_pylist()), k) for c, k in kinds_of.items()))
 
 
 class WordTable:
-    """Encodes texts by the arrays of :func:`packed`."""
+    """Encodes texts by the arrays of :func:`indexed`."""
 
-    def __init__(self, keys: np.ndarray, offsets: np.ndarray, ids: np.ndarray):
-        self.keys, self.offsets, self.ids = keys, offsets, ids
+    def __init__(self, keys: np.ndarray, begin: np.ndarray, length: np.ndarray, ids: np.ndarray):
+        self.keys, self.begin, self.length, self.ids = keys, begin, length, ids
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
         _, _, _, keys, counts = pre_tokens(texts)
         at = np.searchsorted(self.keys, keys)
-        begin = self.offsets[at].astype(np.int64)
-        length = self.offsets[at + 1] - begin
+        begin, length = self.begin[at].astype(np.int64), self.length[at].astype(np.int64)
         stop = np.cumsum(length)
         total = int(stop[-1]) if len(stop) else 0
         source = np.arange(total, dtype=np.int64) + np.repeat(begin - (stop - length), length)
         word_edges = np.concatenate([[0], np.cumsum(counts)])
         edges = np.concatenate([[0], stop])[word_edges]
-        return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(self.ids[source]))
+        return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(self.ids[source].astype(np.int32)))
 
 
 def _encode_with(table_in, id_col: str):
@@ -219,7 +235,9 @@ def _encode_with(table_in, id_col: str):
 
 def _encode_block(id_col: str):
     def run(key, docs, words):
-        table = WordTable(*packed(words))
+        codes = words.column("code").to_pylist()
+        lengths = np.fromiter((len(c) // 4 for c in codes), np.int32, len(codes))
+        table = WordTable(*indexed(words.column("key").to_numpy(), lengths, np.frombuffer(b"".join(codes), np.int32)))
         ids, outs = [], []
         for batch in docs.select([id_col, "body"]).to_batches():
             for part in slices(batch, "body"):
@@ -245,7 +263,9 @@ def encode(
     """``id_col`` and ``ids`` (array of int) of each row's whole text."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
+    known = load_ranks(ranks_path)
+    small = max(known.values(), default=0) < 1 << 16
+    ranks = spark.sparkContext.broadcast(known)
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     out = with_fields(rows, [id_col], "ids array<int>")
     words = (
@@ -255,7 +275,8 @@ def encode(
     coded = materialize(words.mapInArrow(_merge_words(ranks), "word string, key bigint, code binary"), "word-ids")
     size = coded.agg(F.count("*").alias("n"), F.sum(F.octet_length("code") + 16).alias("bytes")).first()
     if size["n"] <= max_broadcast_words and (size["bytes"] or 0) <= max_broadcast_bytes:
-        table = spark.sparkContext.broadcast(packed(coded.select("key", "code").toArrow()))
+        table = spark.sparkContext.broadcast(_collected(coded, small))
+        pa.default_memory_pool().release_unused()
         return rows.mapInArrow(_encode_with(table, id_col), out)
     total = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))

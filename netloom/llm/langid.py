@@ -108,6 +108,8 @@ class Model:
     def __init__(self, frozen: dict):
         self.langs = frozen["langs"]
         n_lang = len(self.langs)
+        if not n_lang:
+            return
         # Node 0 is the empty context. lower[k][context] is the node of a context of k bytes.
         nodes: list[dict[int, int]] = [{0: 0}]
         for _, context, _, _ in frozen["orders"][1:]:
@@ -134,7 +136,7 @@ class Model:
                         p *= len(seen) / whole / max(rest, 1e-12)
                     p[seen] = times / whole
                     cost[node, :, l] = -np.log2(np.maximum(p, 1e-30))
-        self.cost = cost.reshape(-1, n_lang)
+        self.cost = cost.reshape(len(cost) * 256, n_lang)
         # The longest context that is a node, for every three bytes.
         longest = np.zeros(1 << 24, np.uint16 if len(cost) <= 1 << 16 else np.int32)
         every = longest.reshape(256, 256, 256)
@@ -186,16 +188,16 @@ def _predict(frozen_in, carried: list[str]):
             for part in slices(batch, "body"):
                 model = model or _model(frozen_in)
                 letter = part.column("letter").to_numpy(zero_copy_only=False)
-                bits, n = model.lengths(part.column("body"))
                 if model.langs:
+                    bits, n = model.lengths(part.column("body"))
                     best = bits.argmin(axis=1)
                     odds = np.exp2(np.clip(bits.min(axis=1)[:, None] - bits, -1000, 0)).sum(axis=1)
                     score = np.where(letter, 1 / odds, 0.0)
                     name = np.where(letter, np.array(model.langs, object)[best], UNDETERMINED)
                     rate = np.where(letter, bits.min(axis=1) / np.maximum(n, 1), 0.0)
                 else:
-                    score, rate = np.zeros(len(n)), np.zeros(len(n))
-                    name = np.full(len(n), UNDETERMINED, object)
+                    score, rate = np.zeros(part.num_rows), np.zeros(part.num_rows)
+                    name = np.full(part.num_rows, UNDETERMINED, object)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(part.column(c) for c in carried), pa.array(name.tolist(), pa.string()), pa.array(score),
