@@ -18,7 +18,8 @@ from netloom.operators.splits import require_both_classes
 from netloom.schema import LABELS
 
 
-def random_forest(trees: int = 100, depth: int = 20, balanced: bool = False, seed: int = 42):
+def random_forest(trees: int = 100, depth: int = 30, balanced: bool = False, seed: int = 42):
+    """``depth`` 30 is the deepest that Spark grows."""
     kind = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
     return kind.setWeightCol("weight") if balanced else kind
 

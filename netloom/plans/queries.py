@@ -693,7 +693,7 @@ SELECT page_id, url FROM pages WHERE url LIKE '%example%' OR url IN (SELECT url
 def manifest_guard(spark, sf):
     pages = table(spark, sf, "pages")
     manifest = pages.filter(F.col("page_id") % 5 == 0).select(F.col("url").alias("path"))
-    return blocked_paths(pages, manifest, "url", blocked_dir="example").select("page_id", "url")
+    return blocked_paths(pages, manifest, "example", "url").select("page_id", "url")
 
 
 # --- streams -------------------------------------------------------------------------

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed value: the folder whose files are never trained on.
-BLIND_DIR = "NTRO-Datasets/PCAPS"
-
 
 class BlockedFileError(ValueError):
     """A training input is part of the held-out set."""
@@ -37,9 +34,7 @@ def plain_path(path: Column) -> Column:
     return F.replace(path, F.lit("\\"), F.lit("/"))
 
 
-def blocked_paths(
-    files: DataFrame, manifest: DataFrame, path: str = "path", blocked_dir: str = BLIND_DIR
-) -> DataFrame:
+def blocked_paths(files: DataFrame, manifest: DataFrame, blocked_dir: str, path: str = "path") -> DataFrame:
     """Rows of ``files`` in the blocked folder, in the manifest by path, or by content hash."""
     listed = manifest.select(plain_path(F.col("path")).alias("_p")).distinct().withColumn("_listed", F.lit(True))
     rows = files.withColumn("_p", plain_path(F.col(path))).join(listed, "_p", "left")
@@ -51,22 +46,24 @@ def blocked_paths(
     return rows.filter(hit).select(*files.columns)
 
 
-def allowed_paths(files: DataFrame, manifest: DataFrame, path: str = "path", blocked_dir: str = BLIND_DIR) -> DataFrame:
+def allowed_paths(files: DataFrame, manifest: DataFrame, blocked_dir: str, path: str = "path") -> DataFrame:
     """Rows of ``files`` that may be used for training."""
-    return files.join(blocked_paths(files, manifest, path, blocked_dir).select(path).distinct(), path, "left_anti")
+    return files.join(blocked_paths(files, manifest, blocked_dir, path).select(path).distinct(), path, "left_anti")
 
 
-def check_training_files(files: DataFrame, manifest: DataFrame, path: str = "path", blocked_dir: str = BLIND_DIR) -> None:
+def check_training_files(files: DataFrame, manifest: DataFrame, blocked_dir: str, path: str = "path") -> None:
     """Raise if any training input is blocked."""
-    first = blocked_paths(files, manifest, path, blocked_dir).select(path).first()
+    first = blocked_paths(files, manifest, blocked_dir, path).select(path).first()
     if first is not None:
         raise BlockedFileError(f"held-out file used for training: {first[0]}")
 
 
-def check_training_path(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> None:
+def check_training_path(
+    spark: SparkSession, path: str, blocked_dir: str, manifest: DataFrame | None = None
+) -> None:
     """The same check for one path about to be read."""
     plain = path.replace("\\", "/")
-    if BLIND_DIR in plain:
+    if blocked_dir in plain:
         raise BlockedFileError(f"held-out file used for training: {path}")
     if manifest is not None and not manifest.filter(plain_path(F.col("path")) == plain).isEmpty():
         raise BlockedFileError(f"held-out file used for training: {path}")

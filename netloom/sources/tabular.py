@@ -92,7 +92,12 @@ def as_labelled_flows(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
 def training_table(
     raw: DataFrame, columns: list[str], label: Column, max_rows: int | None = None
 ) -> DataFrame:
-    """Chosen columns as safe doubles (absent ones 0.0) with a 0/1 label; null labels drop."""
+    """Chosen columns as safe doubles (absent ones 0.0) with a 0/1 label; null labels drop.
+
+    ``max_rows`` bounds the rows of a fit: the first labelled rows in file order stay.
+    """
+    if max_rows is not None and "row_idx" not in raw.columns:
+        raise ValueError("max_rows needs numbered rows")
     made = raw.withColumn("label", label).filter(F.col("label").isNotNull())
     out = made.select(
         *[
@@ -102,7 +107,7 @@ def training_table(
         F.col("label").cast("int").alias("label"),
         *(["row_idx"] if "row_idx" in raw.columns else []),
     )
-    return out.limit(max_rows) if max_rows else out
+    return out.orderBy("row_idx").limit(max_rows) if max_rows is not None else out
 
 
 def first_match(rules: list[tuple[Column, str]], default: str) -> Column:
