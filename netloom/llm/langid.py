@@ -170,23 +170,12 @@ class Model:
         return bits, n
 
 
-_models: dict[int, Model] = {}
-
-
-def _model(frozen_in) -> Model:
-    key = id(frozen_in.value)
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(frozen_in.value)
-    return _models[key]
-
-
 def _predict(frozen_in, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
         for batch in batches:
             for part in slices(batch, "body"):
-                model = model or _model(frozen_in)
+                model = model or Model(frozen_in.value)  # built for each task, so that idle workers hold none
                 letter = part.column("letter").to_numpy(zero_copy_only=False)
                 if model.langs:
                     bits, n = model.lengths(part.column("body"))
