@@ -689,11 +689,11 @@ def entropy_short_text(spark, sf):
 
 
 @query("manifest_guard", """
-SELECT page_id, url FROM pages WHERE url LIKE '%example%' OR url IN (SELECT url FROM pages WHERE page_id % 5 = 0)""")
+SELECT page_id, url FROM pages WHERE url LIKE '%/de/%' OR url IN (SELECT url FROM pages WHERE page_id % 5 = 0)""")
 def manifest_guard(spark, sf):
     pages = table(spark, sf, "pages")
     manifest = pages.filter(F.col("page_id") % 5 == 0).select(F.col("url").alias("path"))
-    return blocked_paths(pages, manifest, "example", "url").select("page_id", "url")
+    return blocked_paths(pages, manifest, "/de/", "url").select("page_id", "url")
 
 
 # --- streams -------------------------------------------------------------------------
