@@ -12,6 +12,10 @@ MICROS = 1_000_000
 class WindowConfig:
     """Closed sliding windows ``[end - window, end]``, one every ``slide``.
 
+    With a slide longer than the window, packets between two windows are in none. From
+    two windows on the rules restart the grid before any window ends, and close to that
+    every packet may restart it; slides above 1.75 windows are rejected. (The limit is one
+    window where the window is not a multiple of four microseconds.)
     ``chunk_windows`` bounds how much of one flow a single task sees: flow state
     is built per (flow, chunk) and a chunk covers that many window lengths.
     """
@@ -23,8 +27,8 @@ class WindowConfig:
     def __post_init__(self) -> None:
         if self.window_s <= 0 or self.slide_s <= 0:
             raise ValueError("window_s and slide_s must be positive")
-        if self.slide_s > self.window_s:
-            raise ValueError("slide_s must not exceed window_s")
+        if 4 * self.slide_us > (4 if self.window_us % 4 else 7) * self.window_us:
+            raise ValueError("slide_s must not exceed 1.75 windows")
 
     @property
     def window_us(self) -> int:

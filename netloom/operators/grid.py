@@ -24,7 +24,8 @@ from netloom.config import WindowConfig
 from netloom.functions.columns import int_floor_div
 from netloom.session import materialize
 
-HOUR_US = 3_600_000_000
+#: Longest array that one step of a numbered range makes.
+RANGE = 4096
 
 
 def _buckets_per_window(cfg: WindowConfig) -> int:
@@ -208,21 +209,32 @@ def grid_segments(packets: DataFrame, cfg: WindowConfig, profile: DataFrame | No
     return plain.unionByName(resolved)
 
 
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    """One row per whole number ``_lo.._hi``, called ``name``; no array is longer than ``RANGE``."""
+    blocks = rows.withColumn(
+        "_block", F.explode(F.sequence(int_floor_div("_lo", RANGE), int_floor_div("_hi", RANGE)))
+    )
+    within = F.sequence(
+        F.greatest("_lo", F.col("_block") * RANGE), F.least("_hi", F.col("_block") * RANGE + (RANGE - 1))
+    )
+    return blocks.withColumn(name, F.explode(within)).drop("_lo", "_hi", "_block")
+
+
 def segment_index(segments: DataFrame, cfg: WindowConfig) -> DataFrame:
-    """Segments per (stream, hour) with the times they hold, so that packets find theirs
-    with an equi-join. Segments are more than a window apart, so an hour has few."""
+    """Segments per (stream, time cell) with the times they hold, so that packets find
+    theirs with an equi-join. A cell is one window wide, and segments start more than a
+    window after the one before ends, so a cell meets two of them at most."""
     by_time = Window.partitionBy("stream_id").orderBy("anchor_us")
-    first = int_floor_div(f"anchor_us - {cfg.window_us}L", HOUR_US)
-    last = int_floor_div("last_us", HOUR_US)
-    return segments.select(
-        "stream_id",
-        F.explode(F.sequence(first, last)).alias("hour"),
-        "anchor_us",
-        "last_us",
-        F.when(F.lag("anchor_us").over(by_time).isNotNull(), F.col("anchor_us"))
+    # A slide longer than the window leaves out times right after the anchor.
+    skipped = max(0, cfg.slide_us - cfg.window_us)
+    bounded = segments.select(
+        "stream_id", "anchor_us", "last_us",
+        F.when(F.lag("anchor_us").over(by_time).isNotNull(), F.col("anchor_us") + skipped)
         .otherwise(F.col("anchor_us") - cfg.window_us)
         .alias("from_us"),
     )
+    cells = {"_lo": int_floor_div("from_us", cfg.window_us), "_hi": int_floor_div("last_us", cfg.window_us)}
+    return _numbered(bounded.withColumns(cells).filter(F.col("_lo") <= F.col("_hi")), "cell")
 
 
 def on_grid(packets: DataFrame, cfg: WindowConfig, anchor_us: int | None = None) -> DataFrame:
@@ -244,8 +256,8 @@ def on_grid(packets: DataFrame, cfg: WindowConfig, anchor_us: int | None = None)
         return kept.join(materialize(segments, "grid"), "stream_id")
     index = materialize(segment_index(grid_segments(kept, cfg, profile), cfg), "grid")
     return (
-        kept.withColumn("hour", int_floor_div("ts_us", HOUR_US))
-        .join(index, ["stream_id", "hour"])
+        kept.withColumn("cell", int_floor_div("ts_us", cfg.window_us))
+        .join(index, ["stream_id", "cell"])
         .filter(F.col("ts_us").between(F.col("from_us"), F.col("last_us")))
         .select(*packets.columns, "anchor_us", "last_us")
     )
@@ -253,14 +265,7 @@ def on_grid(packets: DataFrame, cfg: WindowConfig, anchor_us: int | None = None)
 
 def window_ends(segments: DataFrame, cfg: WindowConfig) -> DataFrame:
     """Every emitted window end, also of windows without packets."""
-    slides = int_floor_div("last_us - anchor_us", cfg.slide_us)
-    return (
-        segments.withColumn("_n", slides)
-        .filter(F.col("_n") >= 1)
-        .select(
-            "stream_id",
-            F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))).alias("_k"),
-            "anchor_us",
-        )
-        .select("stream_id", (F.col("anchor_us") + F.col("_k") * cfg.slide_us).alias("window_end_us"))
+    slides = {"_lo": F.lit(1).cast("bigint"), "_hi": int_floor_div("last_us - anchor_us", cfg.slide_us)}
+    return _numbered(segments.withColumns(slides).filter(F.col("_hi") >= 1), "_k").select(
+        "stream_id", (F.col("anchor_us") + F.col("_k") * cfg.slide_us).alias("window_end_us")
     )

@@ -70,12 +70,16 @@ def split_valid(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return accepted, checked.filter(F.col("reject_reason").isNotNull())
 
 
-def flow_eligible(packets: DataFrame) -> DataFrame:
-    """Packets that can belong to a flow: full endpoints and TCP or UDP."""
+def in_flow() -> Column:
+    """True for packets that can belong to a flow: full endpoints and TCP or UDP."""
     full = F.lit(True)
     for c in ("src_ip", "dst_ip", "src_port", "dst_port"):
         full = full & F.col(c).isNotNull()
-    return packets.filter(full & F.col("protocol").isin("TCP", "UDP"))
+    return full & F.col("protocol").isin("TCP", "UDP")
+
+
+def flow_eligible(packets: DataFrame) -> DataFrame:
+    return packets.filter(in_flow())
 
 
 def with_time_us(packets: DataFrame) -> DataFrame:

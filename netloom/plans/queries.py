@@ -35,7 +35,7 @@ from netloom.session import fresh_path, materialize
 from netloom.sources.driver_tables import driver_packets, ingested_packets, table
 from netloom.sources.manifest import blocked_paths
 from netloom.sources.packets import read_packets, stream_packets
-from netloom.streaming.live import start_detection, stream_flows, table_sink
+from netloom.streaming.live import end_of_input, start_detection, stream_flows, table_sink
 
 WINDOW = WindowConfig(10, 1)
 DRIVER_DETECTION = DetectionConfig(
@@ -698,11 +698,6 @@ def manifest_guard(spark, sf):
 
 # --- streams -------------------------------------------------------------------------
 
-# A stream closes a window once the watermark, newest time less the window and in whole
-# milliseconds, has passed it.
-_CLOSED = "window_end_us + 1 <= (SELECT m // 1000 * 1000 - 10000000 FROM g)"
-
-
 def _packet_stream(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
     view = driver_packets(spark, sf).withColumn("ts", F.timestamp_micros("ts_us"))
     cols = [
@@ -711,13 +706,16 @@ def _packet_stream(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
     ]
     path = fresh_path(spark, "packet-stream")
     view.select(*cols).write.parquet(path)
-    anchor = read_packets(spark, path).agg(F.min_by(F.unix_micros("ts"), "seq")).first()[0]
-    return stream_packets(spark, path), anchor
+    us = F.unix_micros("ts")
+    anchor, newest = read_packets(spark, path).agg(F.min_by(us, "seq"), F.max(us)).first()
+    if newest is not None:
+        end_of_input(spark, newest, WINDOW, anchor).write.mode("append").parquet(path)
+    return stream_packets(spark, path), anchor or 0
 
 
-@query("stream_flows", o.over_flows(f"""
+@query("stream_flows", o.over_flows("""
 SELECT window_end_us, flow_id, packet_count, fwd_byte_count, rev_byte_count, iat_count, round(iat_mean * 1e6, 5) AS iat_mean_us, dns_query_count
-FROM fl WHERE {_CLOSED}"""))
+FROM fl"""))
 def stream_flows_query(spark, sf):
     packets, anchor = _packet_stream(spark, sf)
     flows = stream_flows(packets, WINDOW, anchor).select(
@@ -731,9 +729,9 @@ def stream_flows_query(spark, sf):
     return spark.read.schema(flows.schema).parquet(out)
 
 
-@query("stream_alerts", o.over_fused(f"""
+@query("stream_alerts", o.over_fused("""
 SELECT window_end_us AS "timestamp", flow_id, threat_type AS threat_class, round(coalesce(confidence, score), 6) AS confidence, fusion_reason
-FROM fu WHERE threat_type <> 'BENIGN' AND {_CLOSED}"""))
+FROM fu WHERE threat_type <> 'BENIGN'"""))
 def stream_alerts(spark, sf):
     packets, anchor = _packet_stream(spark, sf)
     out = fresh_path(spark, "stream-alerts")

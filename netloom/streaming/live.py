@@ -6,7 +6,8 @@ flows of a window reach the sink in the same micro-batch, so source and destinat
 context is complete there.
 
 The grid anchor is a setting: a stream cannot know its first packet beforehand. With the
-same anchor and packets in order, results equal those of ``plans.detection.detect``.
+same anchor and packets in order, results equal those of ``plans.detection.detect``,
+up to the last windows once ``end_of_input`` has been appended to the source.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Callable, Iterator
 from math import log2
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -30,8 +31,8 @@ from netloom.operators.detectors.exfil import goes_outside, judge_exfil
 from netloom.operators.detectors.tls import judge_tls
 from netloom.operators.flows import FLOW_COLUMNS
 from netloom.operators.fusion import fuse, gather
-from netloom.operators.prepare import FLOW_KEY, flow_eligible, scope_filter, with_flow_key
-from netloom.schema import DETECTORS
+from netloom.operators.prepare import FLOW_KEY, in_flow, scope_filter, with_flow_key
+from netloom.schema import DETECTORS, PACKET_SCHEMA
 
 
 def stream_flows(
@@ -45,7 +46,10 @@ def stream_flows(
     window_us, slide_us = cfg.window_us, cfg.slide_us
     offset = (anchor_us - window_us) % slide_us
     delay = window_us if delay_s is None else round(delay_s * MICROS)
-    rows = with_flow_key(flow_eligible(scope_filter(packets))).withWatermark("ts", f"{delay} microseconds")
+    timed = scope_filter(packets).withWatermark("ts", f"{delay} microseconds")
+    # Every packet moves time, also those of no flow. A condition without the event time
+    # would be pushed below the watermark.
+    rows = with_flow_key(timed.filter(F.when(in_flow(), F.col("ts")).isNotNull()))
     span = F.window("ts", f"{window_us + 1} microseconds", f"{slide_us} microseconds", f"{offset} microseconds")
     packet = F.struct(
         "seq", F.unix_micros("ts").alias("us"), F.col("length").cast("bigint").alias("length"), "a_to_b",
@@ -114,6 +118,27 @@ def stream_flows(
     return out.filter(F.col("window_end_us") > anchor_us).select(*FLOW_COLUMNS, "names", "ts")
 
 
+def end_of_input(
+    spark: SparkSession, newest_us: int, cfg: WindowConfig, anchor_us: int = 0, delay_s: float | None = None
+) -> DataFrame:
+    """One packet row, of no flow, that closes the last windows of an input that has ended.
+
+    ``newest_us`` is the newest packet's time. Append the row to the source after all
+    packets: it moves the watermark just past the last window end up to ``newest_us``, so
+    the stream gives the windows that batch gives, and no window that had not ended.
+    Needs a slide of a millisecond or more, as watermarks are whole milliseconds.
+    """
+    if cfg.slide_us < 1000:
+        raise ValueError("a stream needs a slide of a millisecond or more")
+    delay = cfg.window_us if delay_s is None else round(delay_s * MICROS)
+    last_end = anchor_us + (newest_us - anchor_us) // cfg.slide_us * cfg.slide_us
+    mark_us = (last_end // 1000 + 1 + delay // 1000) * 1000
+    known = {"ts": F.timestamp_micros(F.lit(mark_us)), "src_ip": F.lit("0.0.0.0"), "dst_ip": F.lit("0.0.0.0")}
+    return spark.range(1).select(
+        *[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in PACKET_SCHEMA.fields]
+    )
+
+
 # Per-key state of any size needs the state store that keeps it on disk.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 

@@ -6,7 +6,7 @@ from netloom.plans.queries import DRIVER_DETECTION, WINDOW
 from netloom.schema import PACKET_SCHEMA
 from netloom.sources.driver_tables import driver_packets
 from netloom.sources.packets import stream_packets
-from netloom.streaming.live import entropy_bits, start_detection, table_sink
+from netloom.streaming.live import end_of_input, entropy_bits, start_detection, table_sink
 
 SHOWN = ["flow_id", "timestamp", "threat_class", "confidence", "fusion_reason"]
 
@@ -22,17 +22,18 @@ def test_stream_equals_batch(spark, tmp_path):
     packets = spark.read.schema(PACKET_SCHEMA).parquet(str(tmp_path / "all"))
     for i in range(3):
         packets.filter(F.col("seq").between(i * 350, i * 350 + 349)).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
-    anchor = packets.agg(F.min_by(F.unix_micros("ts"), "seq")).first()[0]
+    us = F.unix_micros("ts")
+    anchor, newest = packets.agg(F.min_by(us, "seq"), F.max(us)).first()
+    end_of_input(spark, newest, WINDOW, anchor).coalesce(1).write.parquet(str(tmp_path / "in" / "end"))
     query = start_detection(
         stream_packets(spark, str(tmp_path / "in" / "*"), max_files=1), WINDOW, DRIVER_DETECTION,
         str(tmp_path / "state"), table_sink(str(tmp_path / "out")), anchor_us=anchor,
     )
     assert query.awaitTermination(400) and query.exception() is None
     streamed = spark.read.parquet(str(tmp_path / "out"))
-    newest = streamed.agg(F.max("timestamp")).first()[0]
     batch = live_alerts(detect(packets, WINDOW, DRIVER_DETECTION).fused_verdicts())
-    assert newest > anchor + 200_000_000
-    assert shown(streamed) == shown(batch.filter(F.col("timestamp") <= newest))
+    assert streamed.agg(F.max("timestamp")).first()[0] > anchor + 200_000_000
+    assert shown(streamed) == shown(batch)
 
 
 def test_entropy_matches_column():

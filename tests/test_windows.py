@@ -7,7 +7,7 @@ from netloom.config import WindowConfig
 from netloom.operators.flows import (
     build_flows, flows_from_window_packets, snapshot, window_packets, window_totals, with_empty_windows,
 )
-from netloom.operators.grid import drop_late, grid_segments, window_ends
+from netloom.operators.grid import drop_late, grid_segments, segment_index, window_ends
 from netloom.operators.prepare import packet_range, replay, scope_filter, split_valid
 from tests import brute
 from tests.helpers import frame, packet
@@ -55,7 +55,7 @@ def as_dict(df):
     }
 
 
-@pytest.mark.parametrize("window,slide,seed", [(4, 1, 1), (5, 2, 2), (3, 3, 3), (2, 0.75, 4)])
+@pytest.mark.parametrize("window,slide,seed", [(4, 1, 1), (5, 2, 2), (3, 3, 3), (2, 0.75, 4), (4, 6, 5), (2, 3.5, 6)])
 def test_windows_match_brute_force(spark, window, slide, seed):
     cfg = WindowConfig(window, slide, chunk_windows=1)
     rows = random_streams(150, seed, 5 * window)
@@ -115,6 +115,23 @@ def test_pause_restarts_grid_and_keeps_empty_windows(spark):
     assert [r.total_packets for r in rows] == [0, 0, 0, 0, 1]
 
 
+@pytest.mark.parametrize("window,pause", [(10, 25), (0.25, 1)])
+def test_a_packet_meets_few_segments(spark, window, pause):
+    cfg = WindowConfig(window, window / 10)
+    packets = frame(spark, [packet(i, 10.0 + i // 3 * pause + i % 3 * window / 50) for i in range(1500)])
+    segments = grid_segments(packets, cfg)
+    assert segments.count() == 500
+    cells = segment_index(segments, cfg).groupBy("cell").count()
+    assert cells.agg(F.max("count")).first()[0] <= 3
+
+
+def test_many_window_ends(spark):
+    cfg = WindowConfig(1, 0.001)
+    segments = spark.createDataFrame([("s", 0, 5_000_000, 17_345_678)], "stream_id string, segment bigint, anchor_us bigint, last_us bigint")
+    got = [r[0] for r in window_ends(segments, cfg).orderBy("window_end_us").select("window_end_us").collect()]
+    assert got == list(range(5_001_000, 17_345_679, 1_000))
+
+
 def test_tie_on_a_window_end(spark):
     cfg = WindowConfig(5, 1)
     packets = frame(spark, [packet(0, 10.0), packet(1, 11.0), packet(2, 11.0)])
@@ -123,7 +140,7 @@ def test_tie_on_a_window_end(spark):
 
 
 def test_window_settings_are_checked():
-    for bad in [(0, 1), (1, 0), (-1, 1), (1, 2)]:
+    for bad in [(0, 1), (1, 0), (-1, 1), (1, 2), (0.000005, 0.000006)]:
         with pytest.raises(ValueError):
             WindowConfig(*bad)
 
