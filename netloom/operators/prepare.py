@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions.columns import flow_id
+from netloom.session import materialize
 
 # Addresses dropped at ingestion. Link-local and multicast, IPv4 and IPv6.
 OUT_OF_SCOPE = r"^(169\.254\.|224\.|239\.|(?=[^:]*:)([fF][eE][89aAbB]|[fF][fF]))"
@@ -130,7 +131,7 @@ def replay(packets: DataFrame, loops: int) -> DataFrame:
         (F.max("seq") - F.min("seq") + 1).alias("_count"),
     )
     copies = packets.withColumn("_loop", F.explode(F.sequence(F.lit(0), F.lit(loops - 1))))
-    shifted = copies.join(span, "stream_id")
+    shifted = copies.join(materialize(span, "replay-span"), "stream_id")
     out = shifted.withColumns(
         {
             "ts_us": F.col("ts_us") + F.col("_loop") * F.col("_span"),

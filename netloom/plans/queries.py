@@ -27,11 +27,14 @@ from netloom.operators import scaling as sc
 from netloom.operators import splits as sp
 from netloom.operators import stats as st
 from netloom.operators.grid import drop_late, grid_segments, on_grid, window_ends
-from netloom.operators.prepare import flow_eligible, scope_filter, with_flow_key, with_packet_flow_id
+from netloom.operators.prepare import (
+    flow_eligible, packet_range, replay, scope_filter, validate_packets, with_flow_key, with_packet_flow_id,
+)
 from netloom.plans import oracle as o
 from netloom.plans.detection import Detection, detect
 from netloom.schema import FEATURES_13, FEATURES_16, PACKET_SCHEMA
 from netloom.session import fresh_path, materialize
+from netloom.sources import cic, ctu
 from netloom.sources.driver_tables import driver_packets, ingested_packets, table
 from netloom.sources.manifest import blocked_paths
 from netloom.sources.packets import read_packets, stream_packets
@@ -696,6 +699,116 @@ def manifest_guard(spark, sf):
     return blocked_paths(pages, manifest, "/de/", "url").select("page_id", "url")
 
 
+# --- packet input and labelled flow tables, as text made from the events ---------------
+
+
+@query("packet_range", o.over("SELECT seq, ts_us, src_ip FROM pk WHERE seq >= 100 AND seq < 600"))
+def packet_range_query(spark, sf):
+    return packet_range(driver_packets(spark, sf), 100, 500).select("seq", "ts_us", "src_ip")
+
+
+@query("replay", o.over("""
+SELECT seq + k * n AS seq, ts_us + k * span AS ts_us, src_ip FROM pk,
+  (SELECT max(seq) - min(seq) + 1 AS n, max(ts_us) - min(ts_us) + 1000000 AS span FROM pk) s, (SELECT unnest(range(3)) AS k) c"""))
+def replay_query(spark, sf):
+    return replay(ingested_packets(spark, sf), 3).select("seq", "ts_us", "src_ip")
+
+
+_SUBMITTED = """SELECT event_id AS seq, CASE WHEN event_id % 5 = 0 THEN 'noon' ELSE '1.5' END AS timestamp,
+ CASE event_id % 7 WHEN 0 THEN '-1' WHEN 1 THEN NULL ELSE '60' END AS length,
+ CASE event_id % 11 WHEN 0 THEN '70000' WHEN 1 THEN 'http' ELSE '80' END AS src_port,
+ CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 13 = 1 THEN '-5' ELSE '53' END AS dst_port FROM {EVENTS}"""
+
+
+@query("packet_validation", """
+SELECT event_id AS seq, CASE WHEN event_id % 5 = 0 THEN 'timestamp missing' WHEN event_id % 7 = 1 THEN 'length missing'
+  WHEN event_id % 7 = 0 THEN 'length negative' WHEN event_id % 11 < 2 THEN 'src_port out of range'
+  WHEN event_id % 13 = 1 THEN 'dst_port out of range' END AS reject_reason FROM events""")
+def packet_validation(spark, sf):
+    raw = spark.sql(_SUBMITTED.format(EVENTS="{events}"), events=table(spark, sf, "events"))
+    return validate_packets(raw).select("seq", "reject_reason")
+
+
+def _text_table(spark: SparkSession, sf: str, columns: dict[str, str]) -> DataFrame:
+    events = table(spark, sf, "events")
+    return events.select(F.col("event_id").alias("row_idx"), *[F.expr(sql).alias(c) for c, sql in columns.items()])
+
+
+def _one_of(*texts: str) -> str:
+    cases = " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(texts))
+    return f"CASE event_id % {len(texts)} {cases} END"
+
+
+_CIC = {
+    "Timestamp": _one_of("3/2/2018 8:5:9", "28/02/2018 18:15:49", "31/02/2018 10:00:00", "2018-02-03 10:00:00", "1/12/2018 0:00:00"),
+    "Label": _one_of("Benign", " DoS attacks-Hulk", "Bot", "DDOS attack-HOIC", "Infilteration", "", "benign "),
+    "Flow Duration": _one_of("2500000", "1_000", "5d", "", "-3", "1e6"),
+    "Tot Fwd Pkts": "CAST(event_id % 50 AS STRING)",
+    "Tot Bwd Pkts": "CASE WHEN event_id % 11 = 0 THEN '' ELSE CAST(event_id % 3 AS STRING) END",
+    "TotLen Fwd Pkts": "CAST(event_id % 997 AS STRING)",
+    "TotLen Bwd Pkts": "CASE WHEN event_id % 4 = 0 THEN '0' ELSE CAST(event_id % 13 + 1 AS STRING) END",
+    "Protocol": _one_of("6", "17", "0"),
+}
+
+
+@query("cic_flows", """
+SELECT row_idx, ts_us, label_name, round(dur, 6) AS flow_duration, fp AS fwd_packet_count,
+  round(CASE WHEN dur > 0 THEN fb / dur END, 6) AS fwd_bytes_per_sec,
+  round(CASE WHEN rb > 0 THEN fb / rb WHEN ok THEN 10000 END, 6) AS byte_ratio,
+  CAST(CASE WHEN rb = 0 THEN 1 WHEN ok THEN 0 END AS DOUBLE) AS is_unidirectional, CAST(row_idx % 3 = 0 AS INT) * 1.0::DOUBLE AS is_tcp
+FROM (SELECT event_id AS row_idx, event_id % 11 <> 0 AS ok,
+  CASE event_id % 5 WHEN 0 THEN epoch_us(TIMESTAMP '2018-02-03 08:05:09') WHEN 1 THEN epoch_us(TIMESTAMP '2018-02-28 18:15:49')
+    WHEN 4 THEN epoch_us(TIMESTAMP '2018-12-01 00:00:00') END AS ts_us,
+  CASE event_id % 7 WHEN 0 THEN 'BENIGN' WHEN 1 THEN 'DDOS' WHEN 3 THEN 'DDOS' WHEN 6 THEN 'BENIGN' ELSE 'UNKNOWN' END AS label_name,
+  CASE event_id % 6 WHEN 0 THEN 2.5::DOUBLE WHEN 1 THEN 0.001 WHEN 4 THEN -0.000003 WHEN 5 THEN 1 END AS dur,
+  CASE WHEN event_id % 11 <> 0 THEN CAST(event_id % 50 AS DOUBLE) END AS fp, CASE WHEN event_id % 11 <> 0 THEN CAST(event_id % 997 AS DOUBLE) END AS fb,
+  CASE WHEN event_id % 11 <> 0 THEN CAST(CASE WHEN event_id % 4 = 0 THEN 0 ELSE event_id % 13 + 1 END AS DOUBLE) END AS rb FROM events) x
+WHERE ts_us IS NOT NULL""")
+def cic_flows(spark, sf):
+    return cic.map_cic(_text_table(spark, sf, _CIC)).select(
+        "row_idx", F.unix_micros("ts").alias("ts_us"), "label_name", r6("flow_duration"), F.col("fwd_packet_count").cast("double"),
+        r6("fwd_bytes_per_sec"), r6("byte_ratio"), "is_unidirectional", "is_tcp",
+    )
+
+
+_CTU = {
+    "StartTime": _one_of("2011/08/10 09:46:59.607825", "2011/08/10 09:46:59.6", "2011/08/10 09:46:59", "soon"),
+    "Label": _one_of(
+        "flow=Background-UDP", "flow=From-Botnet-V1-TCP-CC6", "flow=From-Botnet-DDoS", "flow=From-Normal-V1",
+        "flow=From-Botnet-Scan", "flow=Other",
+    ),
+    "Dur": _one_of("1.5", "0", "", "2e1", "7f"),
+    "TotBytes": "CASE WHEN event_id % 7 = 0 THEN 'n/a' ELSE CAST(1000 + event_id % 100 AS STRING) END",
+    "SrcBytes": "CAST(event_id % 90 AS STRING)",
+    "Proto": _one_of("TCP ", " udp", "icmp"),
+    "SrcAddr": "concat('10.0.0.', CAST(event_id % 9 AS STRING))",
+    "DstAddr": "CASE WHEN event_id % 8 = 0 THEN NULL ELSE '10.1.1.1' END",
+    "Sport": _one_of("443", "0x0303", ""),
+}
+
+
+@query("ctu_flows", """
+SELECT event_id AS row_idx, CASE event_id % 4 WHEN 0 THEN epoch_us(TIMESTAMP '2011-08-10 09:46:59.607825') ELSE epoch_us(TIMESTAMP '2011-08-10 09:46:59.6') END AS ts_us,
+  'ctu_row_' || event_id || '_10.0.0.' || event_id % 9 || '_' || CASE WHEN event_id % 8 = 0 THEN '' ELSE '10.1.1.1' END AS flow_id,
+  CASE event_id % 6 WHEN 1 THEN 'C2_BEACONING' WHEN 2 THEN 'DDOS' WHEN 4 THEN 'RECON' WHEN 5 THEN 'UNKNOWN' ELSE 'BENIGN' END AS label_name,
+  dur AS flow_duration, CAST(CASE WHEN event_id % 7 <> 0 THEN event_id % 90 END AS DOUBLE) AS fwd_byte_count,
+  CAST(CASE WHEN event_id % 7 <> 0 THEN 1000 + event_id % 100 - event_id % 90 END AS DOUBLE) AS rev_byte_count,
+  round(CASE WHEN dur > 0 AND event_id % 7 <> 0 THEN (event_id % 90) / dur END, 6) AS fwd_bytes_per_sec,
+  CASE WHEN event_id % 3 = 0 THEN 443 END AS src_port, CAST(event_id % 3 = 1 AS INT) * 1.0::DOUBLE AS is_udp
+FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 0 WHEN 3 THEN 20 END AS dur FROM events) x WHERE event_id % 4 < 2""")
+def ctu_flows(spark, sf):
+    return ctu.map_ctu(_text_table(spark, sf, _CTU)).select(
+        "row_idx", F.unix_micros("ts").alias("ts_us"), "flow_id", "label_name", "flow_duration",
+        F.col("fwd_byte_count").cast("double"), F.col("rev_byte_count").cast("double"), r6("fwd_bytes_per_sec"), "src_port", "is_udp",
+    )
+
+
+@query("alerts_json", o.over_fused('SELECT "timestamp", flow_id, threat_class FROM al'))
+def alerts_json(spark, sf):
+    text = al.alerts_json(_detect(spark, sf).alerts())
+    return text.select(F.from_json("value", "`timestamp` bigint, flow_id string, threat_class string").alias("a")).select("a.*")
+
+
 # --- streams -------------------------------------------------------------------------
 
 def _packet_stream(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
