@@ -702,6 +702,22 @@ def manifest_guard(spark, sf):
 # --- packet input and labelled flow tables, as text made from the events ---------------
 
 
+@query("packet_scope", o.over("""
+SELECT seq, CASE seq % 10 WHEN 1 THEN '10.0.0.1' WHEN 4 THEN '2001:db8::2' ELSE src_ip END AS src_ip
+FROM pk WHERE seq % 10 NOT IN (0, 2, 3, 6, 8)"""))
+def packet_scope(spark, sf):
+    """Packets given multicast, broadcast, link-local, IPv6 and missing addresses, and ICMP."""
+    case = F.col("seq") % 10
+    src = F.when(case == 1, "10.0.0.1").when(case == 3, "FE80::1").when(case == 4, "2001:DB8::2").otherwise(F.col("src_ip"))
+    dst = (
+        F.when(case == 0, "224.0.0.5").when(case == 1, "225.0.0.5").when(case == 2, "255.255.255.255")
+        .when(case == 3, "2001:db8::1").when(case == 4, "2001:db8::1").when(case != 8, F.col("dst_ip"))
+    )
+    protocol = F.when(case == 6, "ICMP").otherwise(F.col("protocol"))
+    packets = driver_packets(spark, sf).withColumns({"src_ip": src, "dst_ip": dst, "protocol": protocol})
+    return flow_eligible(scope_filter(packets)).select("seq", "src_ip")
+
+
 @query("packet_range", o.over("SELECT seq, ts_us, src_ip FROM pk WHERE seq >= 100 AND seq < 600"))
 def packet_range_query(spark, sf):
     return packet_range(driver_packets(spark, sf), 100, 500).select("seq", "ts_us", "src_ip")
@@ -803,6 +819,16 @@ def ctu_flows(spark, sf):
     )
 
 
+@query("detection_responses", o.over_fused("""
+SELECT window_end_us AS "timestamp", flow_id, status, threat_type, severity, round(confidence, 6) AS confidence, detector_name,
+  'REAL_PCAP' AS validation_source, CAST(NULL AS VARCHAR) AS error_message FROM fu"""))
+def detection_responses(spark, sf):
+    return al.detection_responses(_detect(spark, sf).fused()).select(
+        "timestamp", "flow_id", "status", "threat_type", "severity", r6("confidence"), "detector_name",
+        "validation_source", "error_message",
+    )
+
+
 @query("alerts_json", o.over_fused('SELECT "timestamp", flow_id, threat_class FROM al'))
 def alerts_json(spark, sf):
     text = al.alerts_json(_detect(spark, sf).alerts())
