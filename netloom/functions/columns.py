@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 MICROS = 1_000_000
 
 
-def floor_div(value: Column, step) -> Column:
-    """Exact integer floor division, also for negative values."""
-    step = F.lit(step) if not isinstance(step, Column) else step
-    return ((value - F.pmod(value, step)) / step).cast("bigint")
-
-
 def int_floor_div(value: str, step: int) -> Column:
     """``floor(value / step)`` on bigint columns without going through double."""
     return F.expr(f"(({value}) - pmod(({value}), {step}L)) div {step}L")
@@ -23,10 +17,6 @@ def seconds(us: Column) -> Column:
     return us.cast("double") / F.lit(float(MICROS))
 
 
-def endpoint(ip: str, port: str) -> Column:
-    return F.struct(F.col(ip).alias("ip"), F.col(port).alias("port"))
-
-
 def flow_id(src_ip, dst_ip, src_port, dst_port, protocol) -> Column:
     return F.concat(
         src_ip, F.lit(":"), src_port.cast("string"), F.lit("-"),

@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.operators.metrics import binary_metrics, class_report, confusion
+from netloom.operators.metrics import binary_metrics, confusion
 from netloom.operators.scaling import Scaler, fit_robust, fit_standard, with_class_weight
 from netloom.operators.splits import require_both_classes
 from netloom.schema import LABELS
@@ -104,10 +104,6 @@ def evaluate(model: FlowModel, rows: DataFrame) -> DataFrame:
     return binary_metrics(confusion(model.predict(rows)))
 
 
-def evaluate_classes(model: FlowModel, rows: DataFrame) -> DataFrame:
-    return class_report(confusion(model.predict(rows)))
-
-
 def train_and_report(
     rows: DataFrame, features: list[str], classifiers: dict, path: str | None = None, scaling: str = "standard",
     test: str = "test",

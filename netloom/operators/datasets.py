@@ -35,9 +35,13 @@ def label_summary(rows: DataFrame) -> DataFrame:
 
 
 def first_rows_per_label(rows: DataFrame, label: str = "original_label", order: str = "row_idx") -> DataFrame:
-    """The first row of every label; an aggregate, so a common label is no hot spot."""
-    row = F.struct(*[F.col(c) for c in rows.columns])
-    return rows.groupBy(F.col(label).alias("_label")).agg(F.min_by(row, order).alias("r")).select("r.*")
+    """The first row of every label, by an order without ties.
+
+    Only the first place of each label is aggregated, which hash tables can hold; rows are
+    then looked up by it.
+    """
+    first = rows.groupBy(F.col(label).alias("_label")).agg(F.min(order).alias("_first"))
+    return rows.join(first, F.col(label).eqNullSafe(F.col("_label")) & (F.col(order) == F.col("_first")), "left_semi")
 
 
 def out_of_order(rows: DataFrame, time_us: str = "ts_us", order: str = "row_idx", by: list[str] | None = None) -> DataFrame:
@@ -121,11 +125,6 @@ def dataset_inventory(raw: DataFrame, name: str, label: str | None, timestamp: s
     )
 
 
-def numbered(rows: DataFrame, order: list[str], name: str = "row_idx") -> DataFrame:
-    """Number rows by an order without ties."""
-    return with_position(rows, order, name)
-
-
 def union_parts(*parts: DataFrame) -> DataFrame:
     """Concatenate training parts by column name."""
     out = parts[0]

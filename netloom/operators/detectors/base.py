@@ -66,10 +66,37 @@ def verdict_rows(flows: DataFrame, result: Column) -> DataFrame:
     return flows.select(*FLOW_ID_COLUMNS, result.alias("result"))
 
 
-def error_rows(flows: DataFrame, detector: str, message: Column) -> DataFrame:
-    """Verdict rows with status ``error`` for rows a detector cannot judge."""
-    bad = flows.filter(message.isNotNull())
-    return verdict_rows(bad, verdict(detector, "error", error=message))
+def unreadable(columns: list[str]) -> Column:
+    """What is wrong with a flow's numbers; null where each is present and not negative."""
+    checks = []
+    for c in columns:
+        checks += [F.when(F.col(c).isNull(), f"{c} is missing"), F.when(F.col(c) < 0, f"{c} is negative")]
+    return F.coalesce(*checks)
+
+
+def error_rows(flows: DataFrame, needs: dict[str, list[str]]) -> DataFrame:
+    """Verdict rows with status ``error``, one for each detector that cannot judge a flow.
+
+    ``needs`` names the columns that each detector computes with. The flows are read once,
+    and the filter on their numbers reaches the scan, so clean files are skipped.
+    """
+    every = sorted({c for columns in needs.values() for c in columns})
+    broken = F.lit(False)
+    for c in every:
+        broken = broken | F.col(c).isNull() | (F.col(c) < 0)
+    entries = F.array(*[
+        F.struct(F.lit(name).alias("detector"), unreadable(columns).alias("message"))
+        for name, columns in needs.items()
+    ])
+    found = flows.filter(broken).select(*FLOW_ID_COLUMNS, F.inline(F.filter(entries, lambda e: e["message"].isNotNull())))
+    return found.select(
+        *FLOW_ID_COLUMNS, "detector",
+        F.struct(
+            F.col("detector"), F.lit("error").alias("status"), F.lit(None).alias("threat_type"), F.lit(None).alias("severity"),
+            F.lit(None).alias("confidence"), F.lit(None).alias("score"), F.lit(None).alias("evidence"),
+            F.col("message").alias("error_message"),
+        ).cast(RESULT_TYPE).alias("result"),
+    )
 
 
 def status_rows(flows: DataFrame, verdicts: DataFrame, detector: str) -> DataFrame:

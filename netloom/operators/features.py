@@ -33,11 +33,6 @@ def with_source_fanout(flows: DataFrame, stats: DataFrame | None = None) -> Data
     return flows.join(stats, ["stream_id", "window_end_us", "src_ip"])
 
 
-def with_destination_load(flows: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    stats = destination_load(flows) if stats is None else stats
-    return flows.join(stats, ["stream_id", "window_end_us", "dst_ip"])
-
-
 def duration_s() -> Column:
     return seconds(F.col("last_seen_us") - F.col("first_seen_us"))
 

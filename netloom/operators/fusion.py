@@ -14,16 +14,30 @@ from netloom.operators.features import FLOW_ID_COLUMNS
 from netloom.schema import DETECTORS, RESULT_TYPE
 
 
-def gather(verdicts: list[DataFrame]) -> DataFrame:
+def gather(verdicts: list[DataFrame], errors: DataFrame | None = None, names: list[str] | None = None) -> DataFrame:
     """Verdict rows of all detectors, in detector order, as one array per flow window.
 
     Only flow windows with a verdict are shuffled; each has one entry per detector at most.
+    A detector's row in ``errors`` (see ``error_rows``) takes the place of its verdict.
     """
     ranked = [v.withColumn("rank", F.lit(i)) for i, v in enumerate(verdicts)]
+    # Errors rank one set of places before the verdicts.
+    n = len(verdicts)
+    if errors is not None:
+        place = F.array_position(F.array(*[F.lit(x) for x in names or DETECTORS]), F.col("detector"))
+        ranked.append(errors.withColumn("rank", (place - 1 - n).cast("int")).drop("detector"))
     rows = reduce(DataFrame.unionByName, ranked)
     entries = F.array_agg(F.struct("rank", "result"))
+
+    def slot(i: int) -> Column:
+        found = _where("entries", "rank", i)
+        if errors is None:
+            return found
+        error = _where("entries", "rank", i - n)
+        return F.when(F.size(error) > 0, error).otherwise(found)
+
     # Results hold maps and so have no order; put each detector's entry in its place.
-    slots = [_where("entries", "rank", i) for i in range(len(verdicts))]
+    slots = [slot(i) for i in range(n)]
     return (
         rows.groupBy(*FLOW_ID_COLUMNS)
         .agg(entries.alias("entries"))

@@ -15,6 +15,7 @@ from netloom.functions.columns import int_floor_div
 
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
 BLOCK_US = 3_600_000_000
+BLOCK_SEQS = 1 << 18
 
 
 def _merge(kind: str, left: Column, right: Column) -> Column:
@@ -133,18 +134,24 @@ def pair_history(
     measures: dict[str, tuple[str, str]],
     idle_us: int | None,
     keys: list[str] | None = None,
+    block_seqs: int = BLOCK_SEQS,
 ) -> DataFrame:
     """Running measures per host pair, seen from each of the pair's flows.
 
     Flows of one window are taken in order of their first packet, after all flows of
     earlier windows. Windows are summed up first, so the fold over time has one row per
-    pair and window however many flows the pair has.
+    pair and window however many flows the pair has. Flows of one window are folded in
+    blocks of ``block_seqs`` arrival numbers, so no task sorts more than one block of a pair.
     """
     keys = ["stream_id", "src_ip", "dst_ip"] if keys is None else keys
-    window = [*keys, "window_end_us"]
-    totals = flows.groupBy(*window).agg(
-        *[_COMBINE[kind](src).alias(f"w_{out}") for out, (kind, src) in measures.items()]
-    )
+    window, block = [*keys, "window_end_us"], [*keys, "window_end_us", "_block"]
+    flows_in = flows.withColumn("_block", int_floor_div("first_seq", block_seqs))
+
+    def fold(prefix: str, source: str | None = None) -> list[Column]:
+        return [_COMBINE[kind](source + out if source else src).alias(prefix + out) for out, (kind, src) in measures.items()]
+
+    blocks = flows_in.groupBy(*block).agg(*fold("b_"))
+    totals = blocks.groupBy(*window).agg(*fold("w_", "b_"))
     earlier = running_history(
         totals,
         keys,
@@ -152,19 +159,26 @@ def pair_history(
         idle_us,
         before=True,
     ).drop(*[f"w_{out}" for out in measures])
-    in_window = (
-        Window.partitionBy(*window).orderBy("first_seq").rowsBetween(Window.unboundedPreceding, 0)
+    preceding = Window.partitionBy(*window).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = blocks.withColumns(
+        {f"_ahead_{out}": _COMBINE[kind](f"b_{out}").over(preceding) for out, (kind, _) in measures.items()}
+    )
+    start = ahead.join(earlier, window).select(
+        *block, "session_start",
+        *[
+            _merge(kind, F.col(f"_ahead_{out}"), F.col(f"before_{out}")).alias(f"_start_{out}")
+            for out, (kind, _) in measures.items()
+        ],
     )
-    here = flows.withColumns(
-        {f"_{out}": _COMBINE[kind](src).over(in_window) for out, (kind, src) in measures.items()}
+    in_block = Window.partitionBy(*block).orderBy("first_seq").rowsBetween(Window.unboundedPreceding, 0)
+    here = flows_in.withColumns(
+        {f"_{out}": _COMBINE[kind](src).over(in_block) for out, (kind, src) in measures.items()}
     )
-    joined = here.join(earlier, window)
-    return joined.select(
+    return here.join(start, block).select(
         *flows.columns,
         "session_start",
         *[
-            _merge(kind, F.col(f"_{out}"), F.col(f"before_{out}")).alias(out)
+            _merge(kind, F.col(f"_{out}"), F.col(f"_start_{out}")).alias(out)
             for out, (kind, _) in measures.items()
         ],
     )
-

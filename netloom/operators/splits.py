@@ -96,6 +96,22 @@ def split_holdout(
     return rest.drop("_r2", "_pos", *extra).unionByName(test.drop(*extra))
 
 
+def split_by_file(
+    rows: DataFrame, file: str, roles: dict[str, str], order: list[str], cut: list[str] = (), train: float = 0.8
+) -> DataFrame:
+    """Whole files (or scenarios) to splits by ``roles``; each file of ``cut`` by row order,
+    its first ``train`` share to 'train', the rest to 'val'. Rows of other files are left out."""
+    pairs = [F.lit(x) for pair in roles.items() for x in pair]
+    named = F.try_element_at(F.create_map(*pairs), F.col(file)) if pairs else F.lit(None).cast("string")
+    whole = rows.withColumn("split", named).filter(F.col("split").isNotNull())
+    if not cut:
+        return whole
+    placed = _within_class(rows.filter(F.col(file).isin(*cut)), file, order)
+    first = F.col("_pos") < _share(F.col("_n"), train)
+    parts = placed.withColumn("split", F.when(first, "train").otherwise("val")).drop("_pos", "_base", "_n")
+    return whole.unionByName(parts)
+
+
 def require_both_classes(rows: DataFrame, label: str = "label", by: str = "split", needed=("train", "val")) -> None:
     """Raise unless every needed split has rows and at least one positive."""
     counts = {

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from netloom.config import DetectionConfig, WindowConfig
 from netloom.operators import detectors as d
 from netloom.operators.alerts import to_alerts
+from netloom.operators.detectors.base import error_rows
 from netloom.operators.flows import build_flows, dns_queries
 from netloom.operators.fusion import fuse, gather
 from netloom.operators.grid import on_grid
@@ -17,6 +18,12 @@ from netloom.operators.prepare import scope_filter, with_time_us
 from netloom.schema import DETECTORS
 from netloom.session import materialize
 
+_BYTES = ["byte_count", "fwd_byte_count", "rev_byte_count"]
+#: What each detector computes with; packets without a length, or a negative one, leave it open.
+NEEDS = {
+    "DDoSDetector": _BYTES, "C2BeaconingDetector": _BYTES, "EncryptedMalwareDetector": _BYTES, "ExfiltrationDetector": _BYTES,
+}
+
 
 @dataclass(frozen=True)
 class Detection:
@@ -70,7 +77,8 @@ def detect(
 
     Flows are written once to the shared folder: six detectors read them, each with its
     own columns and filter. So are the verdicts, which are few, for the reports on them.
-    ``custom`` adds detectors by name, after the built-in ones.
+    ``custom`` adds detectors by name, after the built-in ones. A flow whose numbers a
+    detector needs and cannot read gets an error of that detector; the run goes on.
     """
     packets = scope_filter(packets) if scope else packets
     packets = on_grid(with_time_us(packets), window, anchor_us)
@@ -78,4 +86,5 @@ def detect(
     found = verdicts(packets, flows, window, cfg, scorer)
     custom = custom or {}
     found += [make(flows) for make in custom.values()]
-    return Detection(flows, materialize(gather(found), "verdicts"), cfg, [*DETECTORS, *custom])
+    names = [*DETECTORS, *custom]
+    return Detection(flows, materialize(gather(found, error_rows(flows, NEEDS), names), "verdicts"), cfg, names)

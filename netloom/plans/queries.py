@@ -16,7 +16,7 @@ from netloom.config import (
 )
 from netloom.functions.columns import char_entropy
 from netloom.ml.score import flow_scorer
-from netloom.ml.train import fit, random_forest
+from netloom.ml.train import FlowModel, fit, gradient_boosting, logistic_regression, random_forest, train_and_report
 from netloom.operators import alerts as al
 from netloom.operators import datasets as ds
 from netloom.operators import detectors as dt
@@ -34,10 +34,12 @@ from netloom.plans import oracle as o
 from netloom.plans.detection import Detection, detect
 from netloom.schema import FEATURES_13, FEATURES_16, PACKET_SCHEMA
 from netloom.session import fresh_path, materialize
-from netloom.sources import cic, ctu
+from netloom.sources import cic, ctu, dnsexf
 from netloom.sources.driver_tables import driver_packets, ingested_packets, table
+from netloom.sources.features_io import read_features, run_header, write_features
 from netloom.sources.manifest import blocked_paths
-from netloom.sources.packets import read_packets, stream_packets
+from netloom.sources.packets import read_packets, stream_packets, submitted_packets
+from netloom.sources.tabular import label_text, training_table
 from netloom.streaming.live import end_of_input, start_detection, stream_flows, table_sink
 
 WINDOW = WindowConfig(10, 1)
@@ -181,10 +183,19 @@ def window_snapshot(spark, sf):
     return flows.select(head.alias("head"), "packet_count", "byte_count")
 
 
+# Times of half seconds, so many packets tie on a window's end, and every seventh packet late.
+_TIED = "ts_us - ts_us % 500000 - CASE WHEN seq > 200 AND seq % 7 = 3 THEN 1500000 ELSE 0 END"
+
+
 @query("arrival_exact_flows", o.over_flows("""
-SELECT window_end_us, flow_id, packet_count, byte_count FROM fl"""))
+SELECT window_end_us, flow_id, packet_count, byte_count FROM fl""").replace(
+    o.PACKETS, f"{o.PACKETS.replace('pk AS', 'pk0 AS', 1)}, pk AS MATERIALIZED (SELECT * REPLACE ({_TIED} AS ts_us) FROM pk0)"
+).replace("ks AS (", """cl AS (
+  SELECT window_end_us, min(pk.seq) AS closer FROM (SELECT window_end_us FROM wp GROUP BY 1) e JOIN pk ON pk.ts_us >= window_end_us GROUP BY 1),
+ks AS (""").replace("FROM wp)", "FROM wp JOIN cl USING (window_end_us) WHERE seq <= closer)"))
 def arrival_exact_flows(spark, sf):
-    copies = fl.window_packets(ingested_packets(spark, sf), WINDOW, "arrival_exact")
+    packets = materialize(driver_packets(spark, sf).withColumn("ts_us", F.expr(_TIED)), "packets")
+    copies = fl.window_packets(packets, WINDOW, "arrival_exact")
     flows = fl.flows_from_window_packets(copies, WINDOW)
     return flows.select("window_end_us", "flow_id", "packet_count", "byte_count")
 
@@ -421,9 +432,15 @@ def severity_summary(spark, sf):
 
 
 @query("alert_schema", o.over_fused("""
-SELECT count(*) AS total_alerts, CAST(0 AS BIGINT) AS missing_keys, count(*) FILTER (confidence NOT BETWEEN 0 AND 1) AS confidence_out_of_range FROM al"""))
+SELECT count(*) AS total_alerts, count(*) FILTER (threat_class = 'DDoS') AS missing_keys,
+  count(*) FILTER ((CASE WHEN threat_class = 'RECONNAISSANCE' THEN confidence + 0.5 ELSE confidence END) NOT BETWEEN 0 AND 1) AS confidence_out_of_range FROM al"""))
 def alert_schema(spark, sf):
-    return al.schema_check(_detect(spark, sf).alerts())
+    """Alerts of one class without evidence, those of another with too high a confidence."""
+    kind = F.col("threat_class")
+    return al.schema_check(_detect(spark, sf).alerts().withColumns({
+        "evidence": F.when(kind != "DDoS", F.col("evidence")),
+        "confidence": F.when(kind == "RECONNAISSANCE", F.col("confidence") + 0.5).otherwise(F.col("confidence")),
+    }))
 
 
 _NOW = 1_700_000_150_000_000
@@ -485,11 +502,54 @@ def alerted_hosts(spark, sf):
     return al.flag_alerted_hosts(hosts, found.alerts()).select("ip", F.col("alerted").cast("int").alias("alerted"))
 
 
-@query("run_counters", o.over_fused("""
-SELECT count(DISTINCT window_end_us) AS windows_completed, count(*) AS detections_generated, CAST(0 AS BIGINT) AS processing_errors,
-  count(*) FILTER (status = 'DETECTED') AS alerts FROM fu"""))
+def _detect_damaged(spark: SparkSession, sf: str) -> Detection:
+    """Packets of one host without lengths, those of another with negative ones."""
+
+    def of(ip: str) -> Column:
+        return (F.col("src_ip") == ip) | (F.col("dst_ip") == ip)
+
+    length = F.when(of("192.168.1.14"), -F.col("length")).when(~of("192.168.1.13"), F.col("length"))
+    packets = materialize(driver_packets(spark, sf).withColumn("length", length), "packets")
+    return detect(packets, WINDOW, DRIVER_DETECTION)
+
+
+_DAMAGED = """(SELECT *, CASE WHEN flow_id LIKE '%192.168.1.13:%' THEN 'byte_count is missing' WHEN flow_id LIKE '%192.168.1.14:%' THEN 'byte_count is negative' END AS bad FROM fu) d"""
+
+
+@query("run_counters", o.over_fused(f"""
+SELECT count(DISTINCT window_end_us) AS windows_completed, count(*) FILTER (bad IS NULL) AS detections_generated,
+  count(bad) AS processing_errors, count(*) FILTER (status = 'DETECTED' AND bad IS NULL) AS alerts FROM {_DAMAGED}"""))
 def run_counters(spark, sf):
-    return st.run_counters(_detect(spark, sf).fused())
+    return st.run_counters(_detect_damaged(spark, sf).fused())
+
+
+@query("errors_fused", o.over_fused(f"""
+SELECT window_end_us, flow_id, CASE WHEN bad IS NULL THEN status ELSE 'error' END AS status, CASE WHEN bad IS NULL THEN threat_type END AS threat_type,
+  CASE WHEN bad IS NULL THEN round(confidence, 6) END AS confidence, concat_ws('; ', bad, bad, bad, bad) AS error_message,
+  CASE WHEN bad IS NULL THEN fusion_reason ELSE '4 detector(s) raised exceptions' END AS fusion_reason FROM {_DAMAGED}"""))
+def errors_fused(spark, sf):
+    return _detect_damaged(spark, sf).fused().select(
+        "window_end_us", "flow_id", "status", "threat_type", r6("confidence"),
+        F.coalesce("error_message", F.lit("")).alias("error_message"), "fusion_reason",
+    )
+
+
+@query("run_report", o.over_fused("""
+SELECT 'driver' AS source, (SELECT count(*) FROM pk) AS total_packets, (SELECT count(*) FROM fu) AS total_results,
+  (SELECT count(*) FROM al) AS total_alerts, 1 AS schema_valid"""))
+def run_report(spark, sf):
+    found = _detect(spark, sf)
+    made = run_header("driver", driver_packets(spark, sf), found.fused(), found.alerts())
+    return made.withColumn("schema_valid", F.col("schema_valid").cast("int"))
+
+
+@query("threat_meters", o.over_fused(f"""
+SELECT m AS meter, round(max(level), 6) AS level FROM (SELECT unnest(['ddos', 'c2', 'dns', 'recon', 'exfil', 'malware']) AS m) n JOIN (
+  SELECT upper(threat_class) AS threat_class, 0.8 * greatest(0, 1 - min(({_NOW} - "timestamp") / 1e6) / 15.0) AS level
+  FROM al WHERE "timestamp" <= {_NOW} AND ({_NOW} - "timestamp") / 1e6 < 15 GROUP BY 1) t ON contains(t.threat_class, upper(m)) GROUP BY 1"""))
+def threat_meters(spark, sf):
+    seen = _detect(spark, sf).alerts().filter(F.col("timestamp") <= _NOW)
+    return al.threat_level_of(seen, ["ddos", "c2", "dns", "recon", "exfil", "malware"], _NOW).select("meter", r6("level"))
 
 
 @query("latency_percentiles", o.over("""
@@ -542,10 +602,10 @@ def first_rows_per_label(spark, sf):
 
 
 @query("dataset_validation", """
-SELECT count(*) AS total_records, count(*) FILTER (event_type = 'error' OR true) AS missing_core_features, count(*) FILTER (t < 0) AS invalid_timestamps,
+SELECT count(*) AS total_records, count(*) FILTER (event_id % 9 = 2 OR value IS NULL) AS missing_core_features, count(*) FILTER (t < 0) AS invalid_timestamps,
   min(t) FILTER (t >= 0) AS start_us, max(t) FILTER (t >= 0) AS end_us, count(*) FILTER (t < p) AS out_of_order_records
 FROM (SELECT *, lag(t) OVER (ORDER BY event_id) AS p FROM (
-  SELECT event_id, event_type, CASE WHEN event_id % 11 = 5 THEN epoch_us(ts) - 3600000000 WHEN event_id % 501 = 7 THEN -5 ELSE epoch_us(ts) END AS t FROM events) a) b""")
+  SELECT event_id, value, CASE WHEN event_id % 11 = 5 THEN epoch_us(ts) - 3600000000 WHEN event_id % 501 = 7 THEN -5 ELSE epoch_us(ts) END AS t FROM events) a) b""")
 def dataset_validation(spark, sf):
     from netloom.schema import FEATURES_16 as names
 
@@ -553,7 +613,7 @@ def dataset_validation(spark, sf):
         F.col("event_id").alias("row_idx"), F.lit("events").alias("dataset_name"),
         F.expr("CASE WHEN event_id % 11 = 5 THEN unix_micros(CAST(ts AS TIMESTAMP)) - 3600000000L "
                "WHEN event_id % 501 = 7 THEN -5L ELSE unix_micros(CAST(ts AS TIMESTAMP)) END").alias("ts_us"),
-        *[(F.lit(None).cast("double") if n.startswith("src_ip") else F.col("value")).alias(n) for n in names],
+        *[(F.when(F.col("event_id") % 9 != 2, F.col("value")) if n.startswith("src_ip") else F.col("value")).alias(n) for n in names],
     )
     return ds.validation_summary(rows).drop("dataset_name")
 
@@ -616,6 +676,37 @@ def split_holdout(spark, sf):
     return sp.split_holdout(labelled_lines(spark, sf), "RO").select("flow_id", "split")
 
 
+@query("split_files", f"""
+SELECT flow_id, CASE original_label WHEN 'AF' THEN 'train' WHEN 'RF' THEN 'val' ELSE CASE WHEN i < CAST(floor(n * 0.8::DOUBLE) AS BIGINT) THEN 'train' ELSE 'val' END END AS split
+FROM (SELECT *, row_number() OVER (PARTITION BY original_label ORDER BY row_idx, flow_id) - 1 AS i, count(*) OVER (PARTITION BY original_label) AS n FROM {_LINE_SQL}) x
+WHERE original_label IN ('AF', 'RF', 'NO')""")
+def split_files(spark, sf):
+    """The label pair stands for the file: two whole files, one cut, the others left out."""
+    made = sp.split_by_file(
+        labelled_lines(spark, sf), "original_label", {"AF": "train", "RF": "val"}, ["row_idx", "flow_id"], ["NO"]
+    )
+    return made.select("flow_id", "split")
+
+
+@query("split_audit", f"""
+SELECT kind, split, label, count(*) AS "rows", round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY kind, split), 6) AS percent FROM (
+  SELECT 'chronological' AS kind, label, {_CUT.format(a=0.7, b=0.15)} AS split FROM (
+    SELECT label, row_number() OVER (ORDER BY ts_us, flow_id) - 1 AS i, count(*) OVER () AS n FROM {_LINE_SQL}) x
+  UNION ALL SELECT 'control', label, {_CUT.format(a=0.7, b=0.15)} FROM (
+    SELECT label, row_number() OVER (PARTITION BY label ORDER BY md5(flow_id || ':42'), flow_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM {_LINE_SQL}) y) z
+GROUP BY 1, 2, 3""")
+def split_audit(spark, sf):
+    """Labels in each part of the split by time, beside a stratified control."""
+    rows = labelled_lines(spark, sf)
+    kinds = {
+        "chronological": sp.split_ordered(rows, ["ts_us", "flow_id"]), "control": sp.split_stratified(rows, "label", "flow_id"),
+    }
+    return ds.union_parts(*[
+        ds.class_distribution(made).select(F.lit(kind).alias("kind"), "split", "label", "rows", r6("percent"))
+        for kind, made in kinds.items()
+    ])
+
+
 @query("scale_standard", "SELECT flow_id, " + ", ".join(
     f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) AS {c}" for c in _COLS) + f" FROM {_LINE_SQL}")
 def scale_standard(spark, sf):
@@ -671,6 +762,18 @@ def class_report(spark, sf):
     return mt.class_report(_label_pairs(spark, sf)).select("class", r6("precision"), r6("recall"), "support")
 
 
+@query("class_report_averages", """
+WITH r AS (
+ SELECT CASE WHEN p > 0 THEN h / p ELSE 0 END AS pr, CASE WHEN s > 0 THEN h / s ELSE 0 END AS rc, s FROM (
+  SELECT c, count(*) FILTER (quality = c) AS s, count(*) FILTER (toxic = c) AS p, count(*) FILTER (quality = c AND toxic = c) AS h
+  FROM labels, (SELECT DISTINCT unnest([quality, toxic]) AS c FROM labels) k GROUP BY 1) x)
+SELECT 'macro' AS average, round(avg(pr), 6) AS precision, round(avg(rc), 6) AS recall, CAST(sum(s) AS BIGINT) AS support FROM r
+UNION ALL SELECT 'weighted', round(sum(pr * s) / sum(s), 6), round(sum(rc * s) / sum(s), 6), CAST(sum(s) AS BIGINT) FROM r""")
+def class_report_averages(spark, sf):
+    made = mt.report_averages(mt.class_report(_label_pairs(spark, sf)))
+    return made.select("average", r6("precision"), r6("recall"), "support")
+
+
 @query("entropy", """
 SELECT doc_id, round(coalesce(-sum(p * log2(p)), 0), 6) AS entropy FROM (
   SELECT doc_id, ch, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY doc_id) AS p
@@ -767,7 +870,7 @@ _CIC = {
 }
 
 
-@query("cic_flows", """
+_CIC_FLOWS = """
 SELECT row_idx, ts_us, label_name, round(dur, 6) AS flow_duration, fp AS fwd_packet_count,
   round(CASE WHEN dur > 0 THEN fb / dur END, 6) AS fwd_bytes_per_sec,
   round(CASE WHEN rb > 0 THEN fb / rb WHEN ok THEN 10000 END, 6) AS byte_ratio,
@@ -779,7 +882,10 @@ FROM (SELECT event_id AS row_idx, event_id % 11 <> 0 AS ok,
   CASE event_id % 6 WHEN 0 THEN 2.5::DOUBLE WHEN 1 THEN 0.001 WHEN 4 THEN -0.000003 WHEN 5 THEN 1 END AS dur,
   CASE WHEN event_id % 11 <> 0 THEN CAST(event_id % 50 AS DOUBLE) END AS fp, CASE WHEN event_id % 11 <> 0 THEN CAST(event_id % 997 AS DOUBLE) END AS fb,
   CASE WHEN event_id % 11 <> 0 THEN CAST(CASE WHEN event_id % 4 = 0 THEN 0 ELSE event_id % 13 + 1 END AS DOUBLE) END AS rb FROM events) x
-WHERE ts_us IS NOT NULL""")
+WHERE ts_us IS NOT NULL"""
+
+
+@query("cic_flows", _CIC_FLOWS)
 def cic_flows(spark, sf):
     return cic.map_cic(_text_table(spark, sf, _CIC)).select(
         "row_idx", F.unix_micros("ts").alias("ts_us"), "label_name", r6("flow_duration"), F.col("fwd_packet_count").cast("double"),
@@ -819,6 +925,123 @@ def ctu_flows(spark, sf):
     )
 
 
+# Labels and numbers of the text tables above, as the training tables must read them.
+_CIC_CLASS = "CASE event_id % 7 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 3 THEN 1 WHEN 6 THEN 0 END"
+_CIC_US = "CASE event_id % 6 WHEN 0 THEN 2500000.0::DOUBLE WHEN 1 THEN 1000 WHEN 4 THEN -3 WHEN 5 THEN 1000000 ELSE 0 END"
+
+
+@query("cic_training", f"""
+SELECT row_idx, label, us, fp, absent FROM (
+  SELECT event_id AS row_idx, {_CIC_CLASS} AS label, {_CIC_US} AS us, CAST(event_id % 50 AS DOUBLE) AS fp, 0.0::DOUBLE AS absent FROM events) x
+WHERE label IS NOT NULL ORDER BY row_idx LIMIT 3000""")
+def cic_training(spark, sf):
+    """The first 3000 labelled rows: the bound of a fit, in file order."""
+    raw = _text_table(spark, sf, _CIC)
+    made = training_table(raw, cic.TRAINING_COLUMNS, cic.dos_label(label_text(raw)), 3000)
+    return made.select(
+        "row_idx", "label", F.col("Flow Duration").alias("us"), F.col("Tot Fwd Pkts").alias("fp"), F.col("Idle Mean").alias("absent"),
+    )
+
+
+@query("ctu_training", """
+SELECT * FROM (SELECT event_id AS row_idx, CASE event_id % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 0 WHEN 4 THEN 1 END AS label,
+  CASE event_id % 5 WHEN 0 THEN 1.5::DOUBLE WHEN 3 THEN 20 ELSE 0 END AS dur, 0.0::DOUBLE AS packets,
+  CAST(CASE WHEN event_id % 7 = 0 THEN 0 ELSE 1000 + event_id % 100 END AS DOUBLE) AS bytes, CAST(event_id % 90 AS DOUBLE) AS src_bytes FROM events) x
+WHERE label IS NOT NULL""")
+def ctu_training(spark, sf):
+    raw = _text_table(spark, sf, _CTU)
+    made = training_table(raw, ctu.TRAINING_COLUMNS, ctu.botnet_label(label_text(raw)))
+    return made.select(
+        "row_idx", "label", F.col("Dur").alias("dur"), F.col("TotPkts").alias("packets"), F.col("TotBytes").alias("bytes"),
+        F.col("SrcBytes").alias("src_bytes"),
+    )
+
+
+_DNS = {
+    "rr_count": "CAST(event_id AS STRING)", "A_frequency": "CAST(event_id % 5 AS STRING)",
+    "ttl_mean": _one_of("12.5", "nan", "-inf", "", "many", "1e-3"),
+}
+
+
+@query("dns_training", """
+SELECT CAST(event_id % 2 AS INT) AS label, CAST(event_id AS DOUBLE) AS rr_count, CAST(event_id % 5 AS DOUBLE) AS a_frequency,
+  CASE event_id % 6 WHEN 0 THEN 12.5::DOUBLE WHEN 5 THEN 0.001 ELSE 0 END AS ttl_mean, 0.0::DOUBLE AS distinct_ns FROM events""")
+def dns_training(spark, sf):
+    """Written as two folders of CSV files and read back, the folder giving the label."""
+    raw, parts = _text_table(spark, sf, _DNS), []
+    for label in (0, 1):
+        path = fresh_path(spark, f"dns-{label}")
+        raw.filter(F.col("row_idx") % 2 == label).drop("row_idx").write.option("header", True).csv(path)
+        parts.append(dnsexf.load_directory(spark, path, label))
+    return ds.union_parts(*parts).select("label", "rr_count", F.col("A_frequency").alias("a_frequency"), "ttl_mean", "distinct_ns")
+
+
+_CIC_RATES = _CIC | {"Flow Byts/s": _one_of("1000.5", "inf", ""), "Fwd Pkts/s": _one_of("3.5", "-1", "0")}
+
+
+@query("cic_model_features", f"""
+SELECT row_idx, dur AS flow_duration, fp AS fwd_packet_count, rp AS rev_packet_count, round(CASE WHEN fb + rb > 0 THEN bps * fb / (fb + rb) ELSE 0 END, 6) AS fwd_bytes_per_sec,
+  round(CASE WHEN given > 0 THEN given WHEN dur > 0 THEN fp / dur ELSE 0 END, 6) AS fwd_pkts_per_sec, round(CASE WHEN dur > 0 THEN rp / dur ELSE 0 END, 6) AS rev_pkts_per_sec,
+  round(CASE WHEN fb + rb > 0 THEN fb / (fb + rb) ELSE 0.5 END, 6) AS byte_ratio, CAST(rp = 0 AS INT) * 1.0::DOUBLE AS is_unidirectional, CAST(row_idx % 3 = 1 AS INT) * 1.0::DOUBLE AS is_udp
+FROM (SELECT event_id AS row_idx, greatest({_CIC_US}, 0) / 1e6 AS dur, CAST(event_id % 50 AS DOUBLE) AS fp,
+  CAST(CASE WHEN event_id % 11 = 0 THEN 0 ELSE event_id % 3 END AS DOUBLE) AS rp, CAST(event_id % 997 AS DOUBLE) AS fb,
+  CAST(CASE WHEN event_id % 4 = 0 THEN 0 ELSE event_id % 13 + 1 END AS DOUBLE) AS rb, CASE event_id % 3 WHEN 0 THEN 1000.5::DOUBLE ELSE 0 END AS bps,
+  CASE event_id % 3 WHEN 0 THEN 3.5::DOUBLE WHEN 1 THEN -1 ELSE 0 END AS given FROM events) x""")
+def cic_model_features(spark, sf):
+    return cic.to_model_features(_text_table(spark, sf, _CIC_RATES)).select(
+        "row_idx", "flow_duration", "fwd_packet_count", "rev_packet_count", r6("fwd_bytes_per_sec"), r6("fwd_pkts_per_sec"),
+        r6("rev_pkts_per_sec"), r6("byte_ratio"), "is_unidirectional", "is_udp",
+    )
+
+
+@query("missing_policy", f"""
+WITH c AS ({_CIC_FLOWS})
+SELECT 'reject' AS policy, row_idx, flow_duration, byte_ratio FROM c WHERE label_name <> 'UNKNOWN' AND flow_duration IS NOT NULL AND byte_ratio IS NOT NULL
+UNION ALL SELECT 'impute', row_idx, coalesce(flow_duration, 0), coalesce(byte_ratio, 0) FROM c WHERE label_name <> 'UNKNOWN'""")
+def missing_policy(spark, sf):
+    rows = cic.map_cic(_text_table(spark, sf, _CIC))
+    return ds.union_parts(*[
+        sc.drop_unusable(rows, ["flow_duration", "byte_ratio"], policy).select(
+            F.lit(policy).alias("policy"), "row_idx", r6("flow_duration"), r6("byte_ratio"))
+        for policy in ("reject", "impute")
+    ])
+
+
+@query("dataset_inventory", """
+SELECT 'flows' AS dataset, CASE event_id % 7 WHEN 0 THEN 'Benign' WHEN 1 THEN ' DoS attacks-Hulk' WHEN 2 THEN 'Bot' WHEN 3 THEN 'DDOS attack-HOIC'
+  WHEN 4 THEN 'Infilteration' WHEN 5 THEN '' ELSE 'benign ' END AS label, count(*) AS "rows", 1 AS timestamp_column_present, 9 AS columns FROM events GROUP BY 2""")
+def dataset_inventory(spark, sf):
+    made = ds.dataset_inventory(_text_table(spark, sf, _CIC), "flows", "Label", "Timestamp")
+    present = F.col("timestamp_column_present").cast("int").alias("timestamp_column_present")
+    return made.select("dataset", "label", "rows", present, F.size("columns").alias("columns"))
+
+
+@query("submitted_packets", """
+SELECT event_id AS seq, CASE WHEN reject_reason IS NULL THEN CAST((1000 + event_id * 0.25) * 1000000 AS BIGINT) END AS ts_us,
+  CASE WHEN reject_reason IS NULL THEN 80 END AS src_port, reject_reason FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'timestamp missing'
+    WHEN event_id % 7 = 1 THEN 'length missing' WHEN event_id % 7 = 0 THEN 'length negative' WHEN event_id % 11 < 2 THEN 'src_port out of range' END AS reject_reason FROM events) x""")
+def submitted_packets_query(spark, sf):
+    rows = table(spark, sf, "events").select(F.to_json(F.struct(
+        F.lit("web").alias("stream_id"), F.col("event_id").alias("seq"),
+        F.expr("CASE WHEN event_id % 5 <> 0 THEN 1000 + event_id * 0.25D END").alias("timestamp"),
+        F.expr("CASE event_id % 7 WHEN 0 THEN '-1' WHEN 1 THEN NULL ELSE '60' END").alias("length"),
+        F.expr("CASE event_id % 11 WHEN 0 THEN '70000' WHEN 1 THEN 'http' ELSE '80' END").alias("src_port"),
+        F.lit("443").alias("dst_port"), F.lit("TCP").alias("protocol"),
+    )).alias("value"))
+    accepted, rejected = submitted_packets(rows)
+    kept = accepted.select("seq", F.unix_micros("ts").alias("ts_us"), "src_port", F.lit(None).cast("string").alias("reject_reason"))
+    gone = rejected.select("seq", F.lit(None).cast("bigint").alias("ts_us"), F.lit(None).cast("int").alias("src_port"), "reject_reason")
+    return kept.unionByName(gone)
+
+
+@query("feature_table_round_trip", o.over_flows(f"SELECT {_F13}, 1 AS label FROM fr WHERE packet_count >= 3", slide=2_000_000))
+def feature_table_round_trip(spark, sf):
+    flows = fl.build_flows(ingested_packets(spark, sf), WindowConfig(10, 2))
+    path = fresh_path(spark, "features")
+    write_features(ft.native_dataset(flows, 1), path, "csv")
+    return read_features(spark, path, "csv").select(*[r6(c) for c in FEATURES_13], "label")
+
+
 @query("detection_responses", o.over_fused("""
 SELECT window_end_us AS "timestamp", flow_id, status, threat_type, severity, round(confidence, 6) AS confidence, detector_name,
   'REAL_PCAP' AS validation_source, CAST(NULL AS VARCHAR) AS error_message FROM fu"""))
@@ -883,26 +1106,83 @@ def stream_alerts(spark, sf):
     )
 
 
-# --- models (rows only: fitting has no SQL form) --------------------------------------
+# --- models: their predictions have no SQL form, the rows and rules they must keep do ----
+
+_FLOOD_SPLIT = f"""
+SELECT window_end_us, flow_id, label, {_CUT.format(a=0.7, b=0.15)} AS split FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(key || ':42'), key) - 1 AS i, count(*) OVER (PARTITION BY label) AS n
+  FROM (SELECT window_end_us, flow_id, CAST(window_end_us AS VARCHAR) || '/' || flow_id AS key, CAST(dst_ip = '10.0.0.80' AS INT) AS label FROM fl) k) x"""
+
+
+def _flood_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Features of every flow window, split, labelled by whether it goes to the flooded host."""
+    flooded = (F.col("dst_ip") == "10.0.0.80").cast("int").alias("label")
+    key = F.concat_ws("/", F.col("window_end_us").cast("string"), "flow_id").alias("key")
+    made = ft.features13(_flows(spark, sf), keep=["window_end_us", "flow_id", "dst_ip"])
+    rows = made.select("window_end_us", "flow_id", key, flooded, *FEATURES_13)
+    return sp.split_stratified(rows, "label", "key")
 
 
-@query("train_and_score")
+@query("train_and_score", o.over_flows(
+    f"SELECT window_end_us, flow_id, label, 1 AS class_known, 1 AS confidence_ok, 1 AS same_after_load FROM ({_FLOOD_SPLIT}) s WHERE split = 'test'"))
 def train_and_score(spark, sf):
-    rows = labelled_lines(spark, sf).withColumn("label", (F.col("label") == 1).cast("int"))
-    split = sp.split_stratified(rows, "label", "flow_id")
-    model = fit(split.filter("split = 'train'"), _COLS, random_forest(10, 6, balanced=True))
-    made = model.predict(split.filter("split = 'test'"))
-    return made.select("flow_id", "label", "prediction", "predicted_class", r6("confidence"))
+    """Held-out rows scored by a forest, and again by the same forest saved and loaded."""
+    split = materialize(_flood_rows(spark, sf), "flood-split")
+    model = fit(split.filter("split = 'train'"), FEATURES_13, random_forest(balanced=True))
+    path = fresh_path(spark, "model")
+    model.save(spark, path)
+    again = FlowModel.load(spark, path)
+    test = split.filter("split = 'test'")
+    known = F.col("predicted_class") == F.when(F.col("prediction") == 1, "DDOS").when(F.col("prediction") == 0, "BENIGN")
+    once = model.predict(test).select(
+        "window_end_us", "flow_id", "label", F.coalesce(known.cast("int"), F.lit(0)).alias("class_known"),
+        F.col("confidence").between(0.5, 1.0).cast("int").alias("confidence_ok"), "prediction", "confidence",
+    )
+    twice = again.predict(test).select("window_end_us", "flow_id", F.struct("prediction", "confidence").alias("second"))
+    return once.join(twice, ["window_end_us", "flow_id"]).select(
+        "window_end_us", "flow_id", "label", "class_known", "confidence_ok",
+        (F.struct("prediction", "confidence") == F.col("second")).cast("int").alias("same_after_load"),
+    )
+
+
+@query("model_reports", o.over_flows(f"""
+SELECT model, count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives, 1 AS accuracy_ok, 1 AS precision_ok, 1 AS recall_ok, 1 AS fpr_ok
+FROM ({_FLOOD_SPLIT}) s, (SELECT unnest(['forest', 'logistic', 'boosted']) AS model) m WHERE split = 'test' GROUP BY 1"""))
+def model_reports(spark, sf):
+    """Each classifier's held-out counts, and its metrics worked out from them once more."""
+    split = materialize(_flood_rows(spark, sf), "flood-split")
+    made = train_and_report(split, FEATURES_13, {
+        "forest": random_forest(balanced=True), "logistic": logistic_regression(split.filter("split = 'train'").count()),
+        "boosted": gradient_boosting(),
+    })
+
+    def equals(name: str, top: str, bottom: str) -> Column:
+        value = F.coalesce(F.try_divide(F.expr(top), F.expr(bottom)), F.lit(0.0))
+        return (F.abs(F.col(name) - value) < 1e-9).cast("int").alias(f"{name}_ok")
+
+    return made.select(
+        "model", F.expr("tp + fn").alias("positives"), F.expr("fp + tn").alias("negatives"),
+        equals("accuracy", "tp + tn", "tp + fp + fn + tn"), equals("precision", "tp", "tp + fp"),
+        equals("recall", "tp", "tp + fn"), equals("fpr", "fp", "fp + tn"),
+    )
 
 
-@query("detect_ddos_with_model")
+@query("detect_ddos_with_model", o.over_flows("""
+SELECT window_end_us, flow_id, round(least(1.0, (sig + hit) / 3.0), 6) AS confidence,
+  hit AS by_model FROM (SELECT *, CAST(dst_ip = '10.0.0.80' AND sig >= 2 AS INT) AS hit FROM dd) x WHERE sig + hit >= 3""", o.DDOS))
 def detect_ddos_with_model(spark, sf):
+    """A forest learns, from flow features, which flow goes to the flooded host; its vote is one signal more.
+
+    Flood flows differ from all others (one way, to a host that never answers), so a forest
+    that learned them votes for that host and no other.
+    """
     flows = materialize(_flows(spark, sf), "flows")
     flooded = (F.col("dst_ip") == "10.0.0.80").cast("int").alias("label")
     train = ft.features13(flows, keep=["dst_ip"]).select(*FEATURES_13, flooded)
-    model = fit(train, FEATURES_13, random_forest(5, 5))
+    model = fit(train, FEATURES_13, random_forest(50))
     made = dt.detect_ddos(flows, DRIVER_DETECTION.ddos, flow_scorer(model))
-    return made.select("window_end_us", "flow_id", r6("result.confidence", "confidence"), ev("reason"))
+    by_model = F.col("result.evidence")["reason"].contains("ML model predicted DDoS").cast("int")
+    return made.select("window_end_us", "flow_id", r6("result.confidence", "confidence"), by_model.alias("by_model"))
 
 
 def queries() -> dict[str, Query]:

@@ -26,38 +26,6 @@ PACKET_SCHEMA = T.StructType(
     ]
 )
 
-# Flow schema with TCP flag counts and per-direction gaps. No operator fills the
-# last nine columns; sources that carry them may.
-FLOW_RECORD_SCHEMA = T.StructType(
-    [
-        T.StructField(n, t)
-        for n, t in [
-            ("flow_id", T.StringType()),
-            ("src_ip", T.StringType()),
-            ("dst_ip", T.StringType()),
-            ("src_port", T.IntegerType()),
-            ("dst_port", T.IntegerType()),
-            ("protocol", T.StringType()),
-            ("first_seen", T.TimestampType()),
-            ("last_seen", T.TimestampType()),
-            ("packet_count", T.LongType()),
-            ("byte_count", T.LongType()),
-            ("fwd_packet_count", T.LongType()),
-            ("rev_packet_count", T.LongType()),
-            ("fwd_byte_count", T.LongType()),
-            ("rev_byte_count", T.LongType()),
-        ]
-    ]
-    + [
-        T.StructField(n, T.LongType())
-        for n in ("syn_count", "fin_count", "rst_count", "ack_count", "psh_count")
-    ]
-    + [
-        T.StructField(n, T.DoubleType())
-        for n in ("fwd_iat_mean", "fwd_iat_std", "rev_iat_mean", "rev_iat_std")
-    ]
-)
-
 # The model's inputs, in the order the model expects them.
 FEATURES_13 = [
     "flow_duration",
@@ -77,8 +45,7 @@ FEATURES_13 = [
 CONTEXT_FEATURES = ["src_ip_flow_count", "src_ip_unique_dst_ips", "src_ip_unique_dst_ports"]
 FEATURES_16 = FEATURES_13[:11] + CONTEXT_FEATURES + FEATURES_13[11:]
 
-# Label numbers of the labelled datasets, and the wording the
-# detectors use for the same classes.
+# Label numbers of the labelled datasets.
 LABELS = {
     "UNKNOWN": -1,
     "BENIGN": 0,
@@ -89,15 +56,6 @@ LABELS = {
     "RECON": 5,
     "EXFILTRATION": 6,
 }
-LABEL_TO_THREAT = {
-    "BENIGN": "BENIGN",
-    "DDOS": "DDoS",
-    "C2_BEACONING": "C2_BEACONING",
-    "DGA_DNS_TUNNEL": "DNS_DGA_TUNNEL",
-    "ENCRYPTED_MALWARE": "ENCRYPTED_MALWARE",
-    "RECON": "RECONNAISSANCE",
-    "EXFILTRATION": "DATA_EXFILTRATION",
-}
 
 LABELLED_FLOW_SCHEMA = T.StructType(
     [
