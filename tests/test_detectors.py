@@ -239,3 +239,35 @@ def test_one_signal_threshold_keeps_rate_only_flows(spark):
     assert dt.detect_ddos(flows, DdosConfig(high_rate_pps=50, min_signals=1)).count() == flows.count()
     assert dt.detect_ddos(flows, DdosConfig(high_rate_pps=50)).count() == 0
     assert BeaconConfig().min_windows == 10
+
+
+def test_pair_history_in_blocks(spark):
+    """A hot pair's flows of one window are folded in blocks, whatever the block length."""
+    rng = random.Random(9)
+    rows = [("s", w * SEC, f"f{i}", "h", "d", w * 1000 + i, rng.randint(0, 99)) for w in range(1, 4) for i in range(60)]
+    df = spark.createDataFrame(
+        rows, "stream_id string, window_end_us bigint, flow_id string, src_ip string, dst_ip string, first_seq bigint, v bigint"
+    ).withColumn("one", F.lit(1))
+    measures = {"n": ("sum", "one"), "top": ("max", "v")}
+    for size in (1, 7, 1 << 18):
+        got = pair_history(df, measures, 2 * SEC, block_seqs=size).orderBy("first_seq").collect()
+        top, want = 0, []
+        for n, row in enumerate(rows, 1):
+            top = max(top, row[-1])
+            want.append((n, top))
+        assert [(r.n, r.top) for r in got] == want
+
+
+def test_a_detector_error_takes_the_place_of_its_verdict(spark):
+    packets = [packet(i, 100 + i / 40, 60, f"10.1.0.{i % 30}:{2000 + i % 30}", "10.0.0.80:80") for i in range(200)]
+    cfg = DetectionConfig(ddos=DdosConfig(sources_to_dst=20, high_rate_pps=1))
+    clean = detect(frame(spark, packets), WindowConfig(2, 1), cfg).fused().collect()
+    status = {(r.window_end_us, r.flow_id): r.status for r in clean}
+    assert "DETECTED" in status.values() and "error" not in status.values()
+    length = F.when(F.col("src_ip") != "10.1.0.7", F.col("length"))
+    broken = detect(frame(spark, packets).withColumn("length", length), WindowConfig(2, 1), cfg).fused().collect()
+    errors = [r for r in broken if r.status == "error"]
+    assert len(broken) == len(clean) and {r.flow_id.split(":")[0] for r in errors} == {"10.1.0.7"}
+    assert all(r.fusion_reason == "4 detector(s) raised exceptions" for r in errors)
+    assert all(r.error_message == "; ".join(["byte_count is missing"] * 4) for r in errors)
+    assert all(r.status == status[r.window_end_us, r.flow_id] for r in broken if r.status != "error")

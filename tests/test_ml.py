@@ -10,7 +10,7 @@ from netloom.operators.flows import build_flows
 from netloom.operators.ordering import exact_quantiles, order_statistics, with_position
 from netloom.operators.scaling import class_weights, drop_unusable, fit_robust, fit_standard
 from netloom.operators.splits import (
-    require_both_classes, split_holdout, split_ordered, split_per_class, split_stratified,
+    require_both_classes, split_by_file, split_holdout, split_ordered, split_per_class, split_stratified,
 )
 from netloom.schema import FEATURES_13
 from netloom.sources.driver_tables import table
@@ -48,6 +48,15 @@ def test_splits(spark, rows):
         require_both_classes(rows.withColumn("split", F.lit("train")))
 
 
+def test_split_by_file(spark, rows):
+    files = rows.withColumn("file", F.when(F.col("row_idx") < 50, "a").when(F.col("row_idx") < 101, "b").when(F.col("row_idx") < 120, "c"))
+    got = split_by_file(files, "file", {"a": "train"}, ["row_idx"], ["b"])
+    assert sizes(got, "file", "split") == {("a", "train"): 50, ("b", "train"): 40, ("b", "val"): 11}
+    assert got.filter("split = 'val'").agg(F.min("row_idx")).first()[0] == 90
+    assert sizes(split_by_file(files, "file", {"c": "val"}, ["row_idx"]), "split") == {("val",): 19}
+    assert split_by_file(files, "file", {}, ["row_idx"]).count() == 0
+
+
 def test_positions_and_quantiles(spark, rows):
     placed = with_position(rows, [F.col("x").desc(), F.col("row_idx")]).collect()
     want = sorted(((r.x, r.row_idx) for r in placed), key=lambda v: (-v[0], v[1]))
