@@ -200,6 +200,30 @@ def test_toxicity(spark):
     assert {r.score for r in none.collect()} == {0.0}
 
 
+def test_toxicity_of_two_lexicons(spark):
+    """Toxic texts of a large and a small lexicon are found: unanchored rounds lose one of them."""
+    rng = random.Random(11)
+    texts, label, small = [], [], []
+    for letters, bad_words, size in (("abcdefgh", ("badword", "nastything"), 400), ("stuvwxyz", ("schlimm", "uebelwort"), 80)):
+        plain = ["".join(rng.choices(letters, k=6)) for _ in range(150)]
+        for i in range(size):
+            bad = i % 8 == 0
+            # Some clean texts of the second lexicon hold its words as well.
+            slip = letters[0] == "s" and i % 8 == 1
+            words = rng.choices(plain, k=30) + ([rng.choice(bad_words)] if slip else list(bad_words) if bad else [])
+            texts.append(" ".join(rng.sample(words, len(words))))
+            label.append(int(bad))
+            small.append(letters[0] == "s")
+    frame = docs(spark, texts)
+    labels = spark.createDataFrame(list(enumerate(label)), "doc_id bigint, toxic int")
+    rows = by_id(toxicity.score(frame, toxicity.fit(frame, labels, ~held_out(frame.doc_id))))
+    for part in (False, True):
+        own = [i for i, s in enumerate(small) if s == part]
+        toxic = [i for i in own if label[i]]
+        assert sum(rows[i].score >= 0.5 for i in toxic) >= 0.8 * len(toxic), part
+        assert sum(rows[i].score >= 0.5 for i in own if not label[i]) <= 0.05 * len(own), part
+
+
 def test_quality_rules(spark):
     rng = random.Random(8)
     good = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(70)) for _ in range(60)]
