@@ -17,16 +17,24 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
-def op2_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _linked_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = toolcalls.turns_as_calls(table(spark, sf_dir, "conversations"))
     schemas = spark.createDataFrame(toolcalls.REPLY, "name string, field string, type string, required boolean")
-    linked = toolcalls.link_calls(calls, results, schemas)
+    return toolcalls.link_calls(calls, results, schemas)
+
+
+def op2_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = _linked_calls(spark, sf_dir)
     return linked.select(
         F.col("conv").alias("conv_id"), F.col("pos").alias("turn"), "call_id", "n_results", "level",
         (F.size("errors") == 0).alias("valid"), F.sha2("canonical", 256).alias("json_sha256"),
     )
 
 
+def op2_chain_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _linked_calls(spark, sf_dir).select(F.col("conv").alias("conv_id"), F.col("pos").alias("turn"), "chain_level")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"))
     found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), ~out))
@@ -97,4 +105,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_toolcalls": toolcalls.ORACLE, "op8_lines": linededup.DIGEST_SQL}
+    return {"op2_toolcalls": toolcalls.ORACLE, "op2_chain_levels": toolcalls.CHAIN_ORACLE, "op8_lines": linededup.DIGEST_SQL}

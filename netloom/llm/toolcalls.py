@@ -2,18 +2,21 @@
 
 * *Linking* is a hash join of calls and results on (conversation, call id), after the
   results of an id were combined to the first one and their number.
-* *Order.* A call follows the calls it names in ``after``. Where all of them have lower
-  positions, positions are a topological order already and every level is 0. Calls of other
-  conversations get the length of the longest chain before them, by rounds that take away
-  calls without open predecessors (as many rounds as the longest chain, each written to the
-  shared folder). Sorting by (level, position) gives the order; no conversation is ever
-  brought into one task, so one that holds a third of all rows is no special case.
+* *Order.* A call follows the calls it names in ``after``. ``chain_level`` is the length of
+  the longest chain before it, whatever the positions. Where every call of a conversation
+  names one known call at most it comes from pointer doubling (rounds of joins: the
+  logarithm of the longest chain), elsewhere from rounds that take away calls without open
+  predecessors (as many as the longest chain); each round is written to the shared folder.
+  ``level`` is the same where some predecessor stands later, and 0 in all other
+  conversations, whose positions are a topological order already. Sorting by (level,
+  position) or (chain_level, position) gives an order; no conversation is ever brought into
+  one task, so one that holds a third of all rows is no special case.
 * *Validation* joins each call with its tool's fields and compares names and types.
 * *Canonical JSON*: keys sorted, no blanks, whole floats as integers, characters unescaped.
 
 Defined cases: a null id links to nothing; an id used by several calls of a conversation is
 reported as ``duplicate id`` and links each; an unknown predecessor is reported and ignored;
-a call on or behind a cycle has a null level and ``cycle``; arguments that are null, no JSON
+a call on or behind a cycle has null levels and ``cycle``; calls of one id share a chain level, and a null id has 0; arguments that are null, no JSON
 or no object are ``{}`` with ``bad arguments``; a tool without a schema is ``unknown tool``;
 repeated rows are calls with a duplicate id; empty tables give empty results. Other columns
 do not matter.
@@ -73,7 +76,7 @@ def check_arguments(text: str | None, fields: list[dict] | None) -> tuple[dict,
 
 
 def _serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keep = ["conv", "pos", "call_id", "n_results", "level"]
+    keep = ["conv", "pos", "call_id", "n_results", "level", "chain_level"]
     for batch in batches:
         for part in slices(batch, "weight"):
             out, errors = [], []
@@ -90,30 +93,53 @@ def _serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def call_levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """(conv, call_id, level) of the calls of conversations in which some predecessor stands later.
-
-    ``edges``: conv, call_id, pos, before_id, before_pos, all of known calls.
-    """
-    mixed = edges.filter("before_pos >= pos").select("conv").distinct()
-    open_calls = materialize(calls.join(mixed, "conv", "left_semi").select("conv", "call_id").distinct(), "open-calls")
-    open_edges = materialize(
-        edges.join(mixed, "conv", "left_semi").select("conv", "call_id", "before_id").distinct(), "open-edges"
-    )
-    done, level = open_calls.limit(0).withColumn("level", F.lit(0)), 0
+def _peeled(open_calls: DataFrame, open_edges: DataFrame) -> DataFrame:
+    """(conv, call_id, chain_level): calls without open predecessors go, round by round; null on or behind a cycle."""
+    done, level = open_calls.limit(0).withColumn("chain_level", F.lit(0).cast("bigint")), 0
     while True:
         ready = materialize(open_calls.join(open_edges, ["conv", "call_id"], "left_anti"), "ready")
         if ready.isEmpty():
-            return done.union(open_calls.withColumn("level", F.lit(None).cast("int")))
-        done = done.union(ready.withColumn("level", F.lit(level)))
+            return done.union(open_calls.withColumn("chain_level", F.lit(None).cast("bigint")))
+        done = done.union(ready.withColumn("chain_level", F.lit(level).cast("bigint")))
         level += 1
         open_calls = materialize(open_calls.join(ready, ["conv", "call_id"], "left_anti"), "open-calls")
         taken = ready.select("conv", F.col("call_id").alias("before_id"))
         open_edges = materialize(open_edges.join(taken, ["conv", "before_id"], "left_anti").select("conv", "call_id", "before_id"), "open-edges")
 
 
+def _doubled(edges: DataFrame) -> DataFrame:
+    """(conv, call_id, chain_level) of calls with one predecessor each, by pointer doubling; null on or behind a cycle.
+
+    A call points ``dist`` steps back to ``at``, a null ``at`` is past the chain's start.
+    """
+    chain = materialize(edges.select("conv", "call_id", F.col("before_id").alias("at"), F.lit(1).cast("bigint").alias("dist")), "chain")
+    for _ in range(chain.count().bit_length() + 1):
+        ahead = chain.filter("at IS NOT NULL")
+        if ahead.isEmpty():
+            break
+        target = chain.select("conv", F.col("call_id").alias("at"), F.col("at").alias("then"), F.col("dist").alias("more"))
+        moved = ahead.join(target, ["conv", "at"], "left").select(
+            "conv", "call_id", F.col("then").alias("at"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist")
+        )
+        chain = materialize(moved.union(chain.filter("at IS NULL")), "chain")
+    return chain.select("conv", "call_id", F.when(F.col("at").isNull(), F.col("dist")).alias("chain_level"))
+
+
+def chain_levels(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv, call_id, chain_level): the longest chain before each call, null on or behind a cycle; calls left out have 0.
+
+    ``ids``: conv, call_id. ``edges``: conv, call_id, before_id, all of known calls.
+    """
+    edges = materialize(edges.select("conv", "call_id", "before_id").distinct(), "open-edges")
+    many = materialize(edges.groupBy("conv", "call_id").count().filter("count > 1").select("conv").distinct(), "many-before")
+    if many.isEmpty():
+        return _doubled(edges)
+    nodes = materialize(ids.join(many, "conv", "left_semi").select("conv", "call_id"), "open-calls")
+    return _doubled(edges.join(many, "conv", "left_anti")).union(_peeled(nodes, edges.join(many, "conv", "left_semi")))
+
+
 def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """One row for each call: ``conv``, ``pos``, ``call_id``, ``n_results``, ``level``, ``errors``, ``canonical``.
+    """One row for each call: ``conv``, ``pos``, ``call_id``, ``n_results``, ``level``, ``chain_level``, ``errors``, ``canonical``.
 
     ``calls``: conv, pos, call_id, name, arguments (JSON text), after (array of call ids).
     ``results``: conv, pos, call_id, content. ``schemas``: name, field, type, required.
@@ -128,9 +154,12 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
     known = ids.select("conv", F.col("call_id").alias("before_id"), F.col("first_pos").alias("before_pos"))
     edges = materialize(named.join(known, ["conv", "before_id"], "left"), "call-edges")
     lost = edges.filter("before_pos IS NULL").select("conv", "call_id").distinct().withColumn("lost", F.lit(True))
-    levels = call_levels(calls, edges.filter("before_pos IS NOT NULL")).select(
-        "conv", "call_id", "level", F.lit(True).alias("placed")
-    )
+    mixed = materialize(edges.filter("before_pos >= pos").select("conv").distinct(), "mixed")
+    levels = chain_levels(ids, edges.filter("before_pos IS NOT NULL")).withColumn("placed", F.lit(True))
+    in_order = F.lit(True)
+    if not mixed.isEmpty():
+        levels = levels.join(mixed.withColumn("mixed", F.lit(True)), "conv", "left")
+        in_order = F.col("mixed").isNull()
     problem = lambda when, text: F.when(when, F.array(F.lit(text))).otherwise(F.array().cast("array<string>"))
     whole = (
         calls.join(ids, ["conv", "call_id"], "left").join(found, ["conv", "call_id"], "left")
@@ -138,16 +167,17 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
         .select(
             "conv", "pos", "call_id", "name", "arguments", "content", "fields",
             F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"),
-            F.when(F.col("placed"), F.col("level")).otherwise(F.lit(0)).cast("int").alias("level"),
+            F.when(F.col("placed") & ~in_order, F.col("chain_level")).otherwise(F.lit(0)).cast("int").alias("level"),
+            F.when(F.col("placed"), F.col("chain_level")).otherwise(F.lit(0)).cast("bigint").alias("chain_level"),
             F.concat(
                 problem(F.coalesce(F.col("uses") > 1, F.lit(False)), "duplicate id"),
                 problem(F.coalesce("lost", F.lit(False)), "unknown predecessor"),
-                problem(F.coalesce(F.col("placed") & F.col("level").isNull(), F.lit(False)), "cycle"),
+                problem(F.coalesce(F.col("placed") & F.col("chain_level").isNull(), F.lit(False)), "cycle"),
             ).alias("problems"),
             F.concat_ws("", "arguments", "content").alias("weight"),
         )
     )
-    kept = ["conv", "pos", "call_id", "n_results", "level"]
+    kept = ["conv", "pos", "call_id", "n_results", "level", "chain_level"]
     return whole.mapInArrow(_serialise, with_fields(whole, kept, "errors array<string>, canonical string"))
 
 
@@ -197,3 +227,14 @@ SELECT conv_id, turn, call_id, (CASE WHEN linked THEN 1 ELSE 0 END)::BIGINT AS n
               || '"turn":' || turn || '},"id":' || to_json(call_id)::VARCHAR || ',"name":"reply"'
               || CASE WHEN linked THEN ',"result":' || coalesce(to_json(result)::VARCHAR, 'null') ELSE '' END || '}') AS json_sha256
 FROM calls"""
+
+
+#: Chain levels of the registered query in SQL: places in runs of assistant turns two apart.
+CHAIN_ORACLE = """
+WITH a AS (SELECT conv_id, turn FROM conversations WHERE role = 'assistant'),
+runs AS (
+  SELECT conv_id, turn, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run
+  FROM (SELECT DISTINCT conv_id, turn FROM a) d),
+placed AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn % 2, run ORDER BY turn) - 1 AS chain_level FROM runs)
+SELECT a.conv_id, a.turn, p.chain_level::BIGINT AS chain_level
+FROM a JOIN placed p ON p.conv_id = a.conv_id AND p.turn = a.turn"""

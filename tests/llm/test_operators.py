@@ -298,6 +298,38 @@ def test_tool_calls(spark):
     assert rows[4, 1].canonical == '{"arguments":{"x":1,"y":2},"id":null,"name":"add"}' and rows[4, 1].n_results == 0
 
 
+def test_chain_levels_do_not_depend_on_positions(spark):
+    rng = random.Random(12)
+    graphs = {
+        1: {f"n{i}": [f"n{i - 1}"] * (i > 0) for i in range(21)},
+        2: {"a": [], "b": ["a"], "c": ["a", "b"], "d": ["c", "gone"], "e": []},
+        3: {"a": ["b"], "b": ["a"], "c": ["b"], "d": [], "e": ["d"]},
+    }
+    rows, conv_of = [], {}
+    for number, graph in graphs.items():
+        for shuffled in (False, True):
+            conv, order = 10 * number + shuffled, list(graph)
+            if shuffled:
+                rng.shuffle(order)
+            conv_of[conv] = graph
+            rows += [(conv, i, n, "t", "{}", graph[n]) for i, n in enumerate(order)]
+    calls = spark.createDataFrame(rows, "conv bigint, pos bigint, call_id string, name string, arguments string, after array<string>")
+    results = spark.createDataFrame([], "conv bigint, pos bigint, call_id string, content string")
+    schemas = spark.createDataFrame([], "name string, field string, type string, required boolean")
+    found = {(r.conv, r.call_id): r for r in toolcalls.link_calls(calls, results, schemas).collect()}
+
+    def level(graph, name, seen=()):
+        if name in seen:
+            return None
+        own = [level(graph, b, (*seen, name)) for b in graph[name] if b in graph]
+        return None if None in own else max(own, default=-1) + 1
+
+    assert len(found) == len(rows)
+    for (conv, name), r in found.items():
+        want = level(conv_of[conv], name)
+        assert r.chain_level == want and ("cycle" in r.errors) == (want is None), (conv, name)
+
+
 def test_empty_tables(spark):
     none = docs(spark, ["x"]).filter("doc_id < 0")
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
