@@ -44,7 +44,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays; a null id groups with nothing and stays."""
+    """One document of each near-duplicate group stays, the one of smallest id; a null id groups with nothing and stays.
+
+    Each row is a document. Where rows repeat an id, they are grouped by a number of their own.
+    """
+    uses = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    if not materialize(uses, "repeated-ids").isEmpty():
+        others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
+        rows = materialize(docs.select(F.monotonically_increasing_id().alias("number"), others, "doc_id", "text"), "numbered")
+        found = minmax.near_duplicates(rows.filter("doc_id IS NOT NULL"), id_col="number")
+        first = found.join(rows.select("number", "doc_id"), "number").groupBy("component_id").agg(
+            F.min(F.struct("doc_id", "number"))["number"].alias("stays")
+        )
+        kept = rows.join(first, F.col("number") == F.col("stays"), "left_semi").union(rows.filter("doc_id IS NULL"))
+        return _whole(kept, docs.columns, "text")
     gone = minmax.near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
 

@@ -1,5 +1,6 @@
 """Each text operator against a brute-force version, and its defined odd cases."""
 
+import hashlib
 import random
 import re
 from collections import Counter
@@ -366,3 +367,72 @@ def test_pipeline_stages(spark, tmp_path):
         frame = spark.createDataFrame(out.collect(), out.schema)
     assert 0 < frame.count() < len(texts)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == frame.count()
+
+
+def brute_windows(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text or ""))
+    return {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))} if w else set()
+
+
+def brute_near(texts):
+    """For each text the number of the first text of its near-duplicate group."""
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", low(t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 75 * len(a | b) and root[i] != root[j]:
+                top, keep = max(root[i], root[j]), min(root[i], root[j])
+                root = [keep if r == top else r for r in root]
+    return root
+
+
+def digest(b):
+    return hashlib.sha256(b).hexdigest()
+
+
+def brute_tokens(rows):
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
+    ids = [own.encode_ordinary(t or "") for _, t in rows]
+    return Counter((i, len(x), digest(" ".join(map(str, x)).encode()), digest((t or "").encode())) for (i, t), x in zip(rows, ids))
+
+
+SHARED = "A line that some of the documents share"
+
+
+def test_pipeline_rows_match_brute_force(spark, tmp_path):
+    """Stages two to five by hand; which rows the language stage lets through is its own decision."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    words = ["".join(rng.choices("abcdeé", k=rng.randint(2, 6))) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=60)) for _ in range(30)]
+    texts += [t.rsplit(" ", 2)[0] + " edit" for t in texts[:6]]
+    texts = [f"{t}\n{SHARED}" if i % 5 == 0 else t for i, t in enumerate(texts)] + ["", None, "123 456"]
+    rows = list(enumerate(texts)) + [(0, texts[0]), (0, texts[0]), (7, texts[7]), (9, texts[31])]
+    frame = spark.createDataFrame([(i, t, "en", None if t is None else len(t)) for i, t in rows], "doc_id bigint, text string, lang string, n_chars bigint")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    items = [(1, " ".join(texts[12].split()[5:20])), (2, "none")]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.language(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).collect()]
+    assert len(left) > 30
+    key = lambda x: low(x).strip(" \t\n\x0b\x0c\r")
+    holders = {}
+    for i, t in left:
+        for x in t.split("\n"):
+            holders.setdefault(key(x), set()).add(i)
+    keeps = lambda i, x: len(key(x)) < 20 or len(holders[key(x)]) < 3 or max(holders[key(x)]) == i
+    left = sorted((i, "\n".join(x for x in t.split("\n") if keeps(i, x))) for i, t in left)
+    left = [row for n, (row, root) in enumerate(zip(left, brute_near([t for _, t in left]))) if n == root]
+    bench = set().union(*(brute_windows(t) for _, t in items))
+    sizes = {len(x) for x in bench}
+
+    def leaks(t):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+        return any(tuple(w[k : k + n]) in bench for n in sizes for k in range(len(w) - n + 1))
+
+    left = [row for row in left if not leaks(row[1])]
+    assert [i for i, _ in left].count(0) == 1 and 12 not in [i for i, _ in left]
+    assert Counter(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == brute_tokens(left)
