@@ -105,4 +105,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_toolcalls": toolcalls.ORACLE, "op2_chain_levels": toolcalls.CHAIN_ORACLE, "op8_lines": linededup.DIGEST_SQL}
+    return {"op2_toolcalls": toolcalls.ORACLE, "op2_chain_levels": toolcalls.CHAIN_ORACLE, "op8_lines": linededup.DIGEST_SQL, "op9_decontaminate": decontam.DIGEST_SQL}

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -14,7 +15,7 @@ import tiktoken
 
 from pyspark.sql import functions as F
 
-from netloom.llm import bpe, decontam, langid, linededup, minmax, pii, repeats, rules, toolcalls, toxicity
+from netloom.llm import bpe, decontam, langid, linededup, minmax, pii, queries, repeats, rules, toolcalls, toxicity
 from netloom.llm.common import held_out
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, body string, words string, score double"
@@ -436,3 +437,34 @@ def test_pipeline_rows_match_brute_force(spark, tmp_path):
     left = [row for row in left if not leaks(row[1])]
     assert [i for i, _ in left].count(0) == 1 and 12 not in [i for i, _ in left]
     assert Counter(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == brute_tokens(left)
+
+
+def test_digests_of_registered_queries(spark, tmp_path):
+    rng = random.Random(14)
+    piece = "".join(rng.choices("abcdefgh ", k=260))
+    texts = [t for t in ODD if t is None or "\x1c" not in t] + random_texts(rng, 12) + [f"x{piece}y", f"{piece}z"]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    items = [None, "", "Tie", *(" ".join((t or "").split()[2:19]) for t in texts[8:14])]
+    spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    at = str(tmp_path)
+    assert Counter(map(tuple, queries.op10_bpe(spark, at).collect())) == brute_tokens(list(enumerate(texts)))
+    root = brute_near(texts)
+    assert [(r.component_id, r.kept) for r in sorted(queries.op7_minmax(spark, at).collect())] == [(root[i], root[i] == i) for i in range(len(texts))]
+    raw = [(t or "").encode() for t in texts]
+    count = Counter(t[i : i + 200] for t in raw for i in range(len(t) - 199))
+    found = by_id(queries.op6_repeats(spark, at))
+    for i, t in enumerate(raw):
+        gone = {x for k in range(len(t) - 199) if count[t[k : k + 200]] > 1 for x in range(k, k + 200)}
+        assert (found[i].n_removed, found[i].kept_sha256) == (len(gone), digest(bytes(b for k, b in enumerate(t) if k not in gone)))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{at}/{name}.parquet/*.parquet')")
+    windows = [(str(i), brute_windows(t)) for i, t in enumerate(items)]
+    want = {}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t or ""))
+        spans = [(x, k, len(win)) for x, own in windows for win in own for k in range(len(w) - len(win) + 1) if tuple(w[k : k + len(win)]) == win]
+        who = sorted({x for x, _, _ in spans})
+        want[i] = (i, len(w), len({p for _, k, n in spans for p in range(k, k + n)}), len(who), digest(",".join(who).encode()), bool(who))
+    assert {r.doc_id: tuple(r) for r in queries.op9_decontaminate(spark, at).collect()} == want
+    assert {r[0]: r for r in con.execute(queries.oracle_sql()["op9_decontaminate"]).fetchall()} == want
