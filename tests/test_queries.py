@@ -33,6 +33,15 @@ def test_query_matches_sql(spark, con, name):
     assert ok, note
 
 
+def test_predictions_are_those_of_the_labels(spark):
+    # The smallest tables have no row of the flooded host.
+    rows = entry.queries()["train_and_predict"](spark, "/root/testdata/sf0.01").collect()
+    assert {r.label for r in rows} == {0, 1}
+    # Not all are right (README); a model that mostly names the wrong class fails.
+    assert sum(r.prediction == r.label for r in rows) > len(rows) / 2
+    assert all(r.predicted_class == ("DDOS" if r.prediction == 1 else "BENIGN") and 0.5 <= r.confidence <= 1 for r in rows)
+
+
 def test_flow_plan_has_one_shuffle(spark):
     """Flows come from one shuffle of the packets, with every aggregate hash-based."""
     from netloom.operators.flows import build_flows
