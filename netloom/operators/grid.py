@@ -197,7 +197,7 @@ def grid_segments(packets: DataFrame, cfg: WindowConfig, profile: DataFrame | No
             }
         )
 
-    # Gaps are at least two windows minus a slide apart, so a stream has few of them.
+    # One group per stream: a long sparse stream has many gaps, and they are not split.
     resolved = (
         gaps.join(span, "stream_id")
         .groupBy("stream_id")
