@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
+from re import Pattern
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The characters of ``[\x20\x09-\x0D]``.
 SPACES = " \t\n\x0b\x0c\r"
 BATCH_BYTES = 1 << 20
+#: Spans from this length on are fingerprinted by a cryptographic hash: the polynomial has
+#: collisions (Thue-Morse words) that start at 1,024 symbols.
+LONG_SPAN = 384
 _BASE = 0x5851F42D4C957F2D
 
 
@@ -116,13 +121,60 @@ def _power_tables(n: int) -> list[np.ndarray]:
 
 
 def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit fingerprint of each ``symbols[start:end]``: a polynomial over mixed symbols, modulo 2**64."""
+    """A 64-bit fingerprint of each ``symbols[start:end]``.
+
+    Below ``LONG_SPAN`` symbols a polynomial over mixed symbols, modulo 2**64, otherwise BLAKE2b.
+    """
     up, down = _power_tables(len(symbols) + 1)
     if symbols.dtype == np.uint8:
         values = mix(np.arange(1, 257), seed + 1)[symbols]
+    elif symbols.dtype == np.uint32 and len(symbols) > 4096:
+        # Most code points are small: a table gives their mixed values.
+        values = mix(np.arange(1, 4097), seed + 1)[np.minimum(symbols, 4095)]
+        high = np.flatnonzero(symbols > 4095)
+        values[high] = mix(symbols[high].astype(np.uint64) + np.uint64(1), seed + 1)
     else:
         values = mix(symbols.astype(np.uint64) + np.uint64(1), seed + 1)
     total = np.zeros(len(symbols) + 1, np.uint64)
     np.cumsum(values * up[: len(symbols)], out=total[1:])
     raw = (total[ends] - total[starts]) * down[starts]
-    return mix(raw ^ ((ends - starts).astype(np.uint64) * _M2), seed)
+    found = mix(raw ^ ((ends - starts).astype(np.uint64) * _M2), seed)
+    for i in np.flatnonzero(ends - starts >= LONG_SPAN).tolist():
+        span = np.ascontiguousarray(symbols[starts[i] : ends[i]])
+        found[i] = int.from_bytes(blake2b(span, digest_size=8, key=seed.to_bytes(4, "little")).digest(), "little")
+    return found
+
+
+def _alike(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
+    """Whether every span equals the span whose number stands in ``other``, symbol by symbol."""
+    size = ends - starts
+    if (size != size[other]).any():
+        return False
+    within = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(np.cumsum(size) - size, size)
+    return np.array_equal(symbols[within + np.repeat(starts, size)], symbols[within + np.repeat(starts[other], size)])
+
+
+def distinct_spans(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first span of each content, and for every span the number of its content.
+
+    Contents are told apart by fingerprint, and each span is then compared with the first of
+    its number; if any two fingerprints meet, spans are numbered by content instead.
+    """
+    keys = span_hashes(symbols, starts, ends, 3)
+    _, first, number = np.unique(keys, return_index=True, return_inverse=True)
+    number = number.reshape(-1)
+    if _alike(symbols, starts, ends, first[number]):
+        return first, number
+    seen: dict[bytes, int] = {}
+    spans = zip(starts.tolist(), ends.tolist())
+    number = np.fromiter((seen.setdefault(symbols[a:b].tobytes(), len(seen)) for a, b in spans), np.int64, len(starts))
+    return np.unique(number, return_index=True)[1], number
+
+
+def text_pieces(text: str, breaks: Pattern, limit: int = BATCH_BYTES) -> Iterator[str]:
+    """``text`` in pieces of about ``limit`` characters, cut only where ``breaks`` matches the next piece's start."""
+    at = 0
+    while len(text) - at > limit and (m := breaks.search(text, at + limit)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
