@@ -2,20 +2,20 @@
 
 1. *Pre-tokens.* Each text is cut at the boundaries of the tokenizer's pattern, found over
    whole batches of code points with array operations (:func:`word_starts`).
-2. *Distinct words.* Each task keeps the words it meets once; one shuffle makes them
-   distinct over the corpus; each is merged by rank once.
-3. *Join back.* Words are joined by a 64-bit key to the pre-tokens in order, so positions
-   come from the texts themselves. If the word table is below ``max_broadcast_words`` and
-   ``max_broadcast_bytes`` (both checked beforehand) it is sent to all tasks once.
-   Otherwise documents are dealt into blocks of bounded size, (block, word) pairs are
-   joined with the word table by a shuffle, and each block meets its own words.
-   The key is a fingerprint; that no two words of the table share one is checked, and as
-   the table holds every word of the corpus the lookup is then exact.
-4. *Decoding* joins ids to the token-byte table (fixed by the vocabulary) and concatenates.
+2. *Explode.* Texts are dealt into blocks of about ``block_bytes``. A block gives one row for
+   each of its distinct words, and one for each text with the word numbers by position;
+   both are written once to the shared folder. Within a block words are numbered by content
+   (:func:`~netloom.llm.common.distinct_spans`), so no fingerprint decides.
+3. *Distinct words.* One shuffle makes the words distinct over the corpus; each is merged by
+   rank once, and a join by the word itself brings the ids back to the blocks' words.
+4. *Reassemble.* A cogroup by block puts ids at their positions. No table of words goes to
+   the driver or to all tasks, at any size.
+5. *Decoding* joins ids to the token-byte table (fixed by the vocabulary) and concatenates.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; a null id is kept;
 repeated rows give repeated results; an empty table gives an empty result; a word of any
-length is merged in n log n time; other columns do not matter.
+length is merged in n log n time; a very long text is one block, tokenised in pieces that
+end before a blank and a letter; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -30,13 +30,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import bounded_batches, materialize, slices, span_hashes, with_fields
+from netloom.llm.common import BATCH_BYTES, bounded_batches, distinct_spans, materialize, slices, text_pieces, with_fields
 
 OTHER, LETTER, NUMBER, SPACE, EDGE = range(5)
 #: Stands between two texts; not a code point.
 _EDGE_CODE = 0x110000
 #: Fixed values of the pattern: an apostrophe and these letters are a word of their own.
 ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
+#: A pre-token begins at a blank between something that is no white space and a letter.
+SAFE_BREAK = regex.compile(r"(?<=\S)(?=\x20\p{L})")
 _kinds: np.ndarray | None = None
 
 
@@ -82,9 +84,8 @@ def word_starts(points: np.ndarray) -> np.ndarray:
     return start
 
 
-def pre_tokens(texts: pa.Array) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Joined texts, starts, ends and keys of all pre-tokens, and the number of each text's."""
-    values = [t or "" for t in texts.to_pylist()]
+def pre_tokens(values: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Joined texts and their code points, starts and ends of all pre-tokens, and the number of each text's."""
     lengths = np.fromiter(map(len, values), np.int64, len(values))
     joined = "\0".join([*values, ""])
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).copy()
@@ -95,7 +96,50 @@ def pre_tokens(texts: pa.Array) -> tuple[str, np.ndarray, np.ndarray, np.ndarray
     real = points[starts] != _EDGE_CODE
     starts, ends = starts[real], ends[real]
     counts = np.diff(np.searchsorted(starts, edges), prepend=0)
-    return joined, starts, ends, span_hashes(points, starts, ends).view(np.int64), counts
+    return joined, points, starts, ends, counts
+
+
+def numbered_words(values: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct pre-tokens of some texts, the number of each pre-token in order, and how many each text has."""
+    joined, points, starts, ends, counts = pre_tokens(values)
+    first, number = distinct_spans(points, starts, ends)
+    return [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())], number, counts
+
+
+class Block:
+    """Texts of one block: its distinct words, and for each text the word numbers by position."""
+
+    def __init__(self):
+        self.words: dict[str, int] = {}
+        self.size = 0
+
+    def add(self, values: list[str]) -> list[np.ndarray]:
+        out = []
+        for group in _piece_groups(values):
+            words, number, counts = numbered_words([piece for _, piece in group])
+            place = np.fromiter((self.words.setdefault(w, len(self.words)) for w in words), np.uint32, len(words))
+            cells = np.split(place[number] if len(words) else np.zeros(0, np.uint32), np.cumsum(counts)[:-1])
+            for (opens, _), cell in zip(group, cells):
+                if opens:
+                    out.append([cell])
+                else:
+                    out[-1].append(cell)
+        self.size += sum(map(len, values))
+        return [np.concatenate(parts) for parts in out]
+
+
+def _piece_groups(values: list[str]) -> Iterator[list[tuple[bool, str]]]:
+    """Pieces of texts in order, in groups of bounded size; the flag marks a text's first piece."""
+    group, size = [], 0
+    for text in values:
+        for k, piece in enumerate(text_pieces(text, SAFE_BREAK)):
+            group.append((k == 0, piece))
+            size += len(piece)
+            if size >= BATCH_BYTES:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -129,33 +173,36 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
-def _distinct_words(column: str, fields: list[str]):
-    """Words of each task, each once; with other ``fields`` once for each value of those."""
+def _explode(id_col: str, block_bytes: int):
+    """One row for each distinct word of a block, and one for each text with its word numbers."""
+    from pyspark import TaskContext
+
+    def rows_of(words: list[str], block: int, kind: pa.DataType) -> pa.RecordBatch:
+        n = len(words)
+        empty = [pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.array(words, pa.string())]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), *empty],
+            names=["block", "place", id_col, "numbers", "word"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict = {}
+        number, block, kind, place = TaskContext.get().partitionId() << 32, Block(), None, 0
         for batch in batches:
-            for part in slices(batch, column):
-                groups = [((), part)]
-                if fields:
-                    (name,) = fields
-                    ids = part.column(name).to_numpy(zero_copy_only=False)
-                    groups = [((v,), part.filter(pa.array(ids == v))) for v in np.unique(ids)]
-                for group, rows in groups:
-                    joined, starts, ends, keys, _ = pre_tokens(rows.column(column))
-                    unique, first = np.unique(keys, return_index=True)
-                    have = seen.get(group, np.zeros(0, np.int64))
-                    new = ~np.isin(unique, have, assume_unique=True)
-                    if not new.any():
-                        continue
-                    seen[group] = np.union1d(have, unique[new])
-                    at = first[new]
-                    words = [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-                    arrays = [pa.array([group[0]] * len(words), pa.int32())] if fields else []
-                    arrays += [pa.array(words, pa.string()), pa.array(unique[new])]
-                    yield pa.RecordBatch.from_arrays(arrays, names=[*fields, "word", "key"])
-            if sum(map(len, seen.values())) > 4_000_000:  # words met again are made distinct by the shuffle
-                seen.clear()
+            for part in slices(batch, "body"):
+                kind = part.column(id_col).type
+                cells = [c.tobytes() for c in block.add(part.column("body").to_pylist())]
+                n = part.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, number)), pa.array(np.arange(place, place + n, dtype=np.int32)),
+                     part.column(id_col), pa.array(cells, pa.binary()), pa.nulls(n, pa.string())],
+                    names=["block", "place", id_col, "numbers", "word"],
+                )
+                place += n
+                if block.size >= block_bytes:
+                    yield rows_of(list(block.words), number, kind)
+                    number, block, place = number + 1, Block(), 0
+        if block.words:
+            yield rows_of(list(block.words), number, kind)
 
     return run
 
@@ -165,88 +212,28 @@ def _merge_words(ranks_in):
         ranks = ranks_in.value
         for batch in batches:
             ids = [np.array(merge(w.encode(), ranks), np.uint32).tobytes() for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), batch.column("key"), pa.array(ids, pa.binary())], names=["word", "key", "code"]
-            )
-
-    return run
-
-
-def indexed(keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray):
-    """Sorted keys, and begin and length of each word's ids among ``ids``."""
-    order = np.argsort(keys, kind="stable")
-    begin = (np.cumsum(lengths, dtype=np.int64) - lengths)[order]
-    keys = keys[order]
-    if (np.diff(keys) == 0).any():
-        raise RuntimeError("two words share a key; choose another seed")
-    return keys, begin.astype(np.int32), lengths[order], ids
-
-
-def _words_as_bytes(small: bool):
-    """Keys, lengths and ids of each batch as three strings of bytes, which the driver gets in little room."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = batch.column("code").to_pylist()
-            ids = np.frombuffer(b"".join(codes), np.uint32).astype(np.uint16 if small else np.int32)
-            lengths = np.fromiter((len(c) // 4 for c in codes), np.int32, len(codes))
-            cells = [batch.column("key").to_numpy().tobytes(), lengths.tobytes(), ids.tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=["keys", "lengths", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.binary())], names=["word", "code"])
 
     return run
 
 
-def _collected(coded: DataFrame, small: bool):
-    """The word table in the driver; its size was checked."""
-    rows = coded.select("key", "code").mapInArrow(_words_as_bytes(small), "keys binary, lengths binary, ids binary").toArrow()
-    kinds_of = {"keys": np.int64, "lengths": np.int32, "ids": np.uint16 if small else np.int32}
-    return indexed(*(np.frombuffer(b"".join(rows.column(c).to_pylist()), k) for c, k in kinds_of.items()))
-
+def _reassemble(id_col: str):
+    """Ids of each text of a block: those of its words, by position."""
 
-class WordTable:
-    """Encodes texts by the arrays of :func:`indexed`."""
-
-    def __init__(self, keys: np.ndarray, begin: np.ndarray, length: np.ndarray, ids: np.ndarray):
-        self.keys, self.begin, self.length, self.ids = keys, begin, length, ids
-
-    def encode(self, texts: pa.Array) -> pa.ListArray:
-        _, _, _, keys, counts = pre_tokens(texts)
-        at = np.searchsorted(self.keys, keys)
-        begin, length = self.begin[at].astype(np.int64), self.length[at].astype(np.int64)
-        stop = np.cumsum(length)
-        total = int(stop[-1]) if len(stop) else 0
-        source = np.arange(total, dtype=np.int64) + np.repeat(begin - (stop - length), length)
-        word_edges = np.concatenate([[0], np.cumsum(counts)])
-        edges = np.concatenate([[0], stop])[word_edges]
-        return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(self.ids[source].astype(np.int32)))
-
-
-def _encode_with(table_in, id_col: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(*table_in.value)
-        for batch in batches:
-            for part in slices(batch, "body"):
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(id_col), table.encode(part.column("body"))], names=[id_col, "ids"]
-                )
-
-    return run
-
-
-def _encode_block(id_col: str):
-    def run(key, docs, words):
+    def run(key, texts: pa.Table, words: pa.Table) -> pa.Table:
+        order = np.argsort(words.column("place").to_numpy())
         codes = words.column("code").to_pylist()
-        lengths = np.fromiter((len(c) // 4 for c in codes), np.int32, len(codes))
-        table = WordTable(*indexed(words.column("key").to_numpy(), lengths, np.frombuffer(b"".join(codes), np.int32)))
-        ids, outs = [], []
-        for batch in docs.select([id_col, "body"]).to_batches():
-            for part in slices(batch, "body"):
-                ids.append(part.column(id_col))
-                outs.append(table.encode(part.column("body")))
-        return pa.table({
-            id_col: pa.chunked_array(ids, docs.schema.field(id_col).type),
-            "ids": pa.chunked_array(outs, pa.list_(pa.int32())),
-        })
+        lengths = np.fromiter((len(codes[i]) // 4 for i in order), np.int64, len(order))
+        begin = np.cumsum(lengths) - lengths
+        ids = np.frombuffer(b"".join([codes[i] for i in order]), np.uint32).astype(np.int32)
+        found = []
+        for cell in texts.column("numbers").to_pylist():
+            number = np.frombuffer(cell, np.uint32)
+            size = lengths[number]
+            stop = np.cumsum(size)
+            at = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(begin[number] - (stop - size), size)
+            found.append(ids[at])
+        return pa.table({id_col: texts.column(id_col), "ids": pa.array(found, pa.list_(pa.int32()))})
 
     return run
 
@@ -256,37 +243,27 @@ def encode(
     ranks_path: str,
     id_col: str = "doc_id",
     text_col: str = "text",
-    max_broadcast_words: int = 4_000_000,
-    max_broadcast_bytes: int = 128 << 20,
-    block_bytes: int = 16 << 20,
+    block_bytes: int = 4 << 20,
 ) -> DataFrame:
     """``id_col`` and ``ids`` (array of int) of each row's whole text."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    known = load_ranks(ranks_path)
-    small = max(known.values(), default=0) < 1 << 16
-    ranks = spark.sparkContext.broadcast(known)
+    ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
-    out = with_fields(rows, [id_col], "ids array<int>")
-    words = (
-        rows.select("body").mapInArrow(_distinct_words("body", []), "word string, key bigint")
-        .groupBy("word").agg(F.first("key").alias("key"))
+    kind = rows.schema[id_col].dataType.simpleString()
+    exploded = materialize(
+        rows.mapInArrow(
+            _explode(id_col, block_bytes), f"block bigint, place int, `{id_col}` {kind}, numbers binary, word string"
+        ),
+        "exploded-words",
     )
-    coded = materialize(words.mapInArrow(_merge_words(ranks), "word string, key bigint, code binary"), "word-ids")
-    size = coded.agg(F.count("*").alias("n"), F.sum(F.octet_length("code") + 16).alias("bytes")).first()
-    if size["n"] <= max_broadcast_words and (size["bytes"] or 0) <= max_broadcast_bytes:
-        table = spark.sparkContext.broadcast(_collected(coded, small))
-        pa.default_memory_pool().release_unused()
-        return rows.mapInArrow(_encode_with(table, id_col), out)
-    total = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(id_col, "body"), F.lit(blocks)).cast("int"))
-    dealt = dealt.repartition(blocks, "block")
-    pairs = dealt.select("block", "body").mapInArrow(
-        _distinct_words("body", ["block"]), "block int, word string, key bigint"
+    own = exploded.filter("word IS NOT NULL").select("block", "place", "word")
+    coded = materialize(own.select("word").distinct().mapInArrow(_merge_words(ranks), "word string, code binary"), "word-ids")
+    joined = own.join(coded.hint("merge"), "word").select(F.col("block").alias("of_block"), "place", "code")
+    texts = exploded.filter("word IS NULL").select("block", id_col, "numbers")
+    return texts.groupBy("block").cogroup(joined.groupBy("of_block")).applyInArrow(
+        _reassemble(id_col), with_fields(rows, [id_col], "ids array<int>")
     )
-    own = pairs.select("block", "word").distinct().join(coded, "word").select("block", "key", "code")
-    return dealt.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_encode_block(id_col), out)
 
 
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
