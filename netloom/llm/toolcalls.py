@@ -12,12 +12,14 @@
   position) or (chain_level, position) gives an order; no conversation is ever brought into
   one task, so one that holds a third of all rows is no special case.
 * *Validation* joins each call with its tool's fields and compares names and types.
-* *Canonical JSON*: keys sorted, no blanks, whole floats as integers, characters unescaped.
+* *Canonical JSON*: keys sorted, no blanks, whole floats as integers, characters unescaped
+  but for lone surrogates, which no UTF-8 text can hold and which stay ``\\udXXX``.
 
 Defined cases: a null id links to nothing; an id used by several calls of a conversation is
 reported as ``duplicate id`` and links each; an unknown predecessor is reported and ignored;
-a call on or behind a cycle has null levels and ``cycle``; calls of one id share a chain level, and a null id has 0; arguments that are null, no JSON
-or no object are ``{}`` with ``bad arguments``; a tool without a schema is ``unknown tool``;
+a call on or behind a cycle has null levels and ``cycle``; calls of one id share a chain level, and a null id has 0; arguments that are null, no JSON, no object,
+nested too deeply for the interpreter's stack, or with a number that is not finite (``NaN``,
+``Infinity``, ``1e999``) are ``{}`` with ``bad arguments``; arguments of any length are read whole; a tool without a schema is ``unknown tool``;
 repeated rows are calls with a duplicate id; empty tables give empty results. Other columns
 do not matter.
 """
@@ -25,6 +27,8 @@ do not matter.
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,6 +48,21 @@ TYPES = {
 }
 
 
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def _utf8(text: str) -> str:
+    """``text`` with lone surrogates written as escapes."""
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _finite(text: str) -> float:
+    value = float(text)
+    if not math.isfinite(value):
+        raise ValueError(f"{text} is no JSON number")
+    return value
+
+
 def canonical(value) -> str:
     def plain(v):
         if isinstance(v, float) and v.is_integer() and abs(v) < 2**53:
@@ -52,14 +71,15 @@ def canonical(value) -> str:
             return {k: plain(x) for k, x in v.items()}
         return [plain(x) for x in v] if isinstance(v, list) else v
 
-    return json.dumps(plain(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return _utf8(json.dumps(plain(value), ensure_ascii=False, sort_keys=True, separators=(",", ":")))
 
 
 def check_arguments(text: str | None, fields: list[dict] | None) -> tuple[dict, list[str]]:
     """The arguments as an object, and what is wrong with them."""
     try:
-        value = json.loads(text) if text is not None else None
-    except ValueError:
+        value = json.loads(text, parse_float=_finite, parse_constant=_finite) if text is not None else None
+        canonical({"arguments": value})  # deeper nesting than the stack holds shows here at the latest
+    except (ValueError, RecursionError):
         value = None
     errors = []
     if not isinstance(value, dict):
@@ -68,7 +88,7 @@ def check_arguments(text: str | None, fields: list[dict] | None) -> tuple[dict,
         return value, [*errors, "unknown tool"]
     known = {f["field"]: f for f in fields}
     errors += [f"missing {n}" for n, f in sorted(known.items()) if f["required"] and n not in value]
-    errors += [f"unknown {n}" for n in sorted(value) if n not in known]
+    errors += [f"unknown {_utf8(n)}" for n in sorted(value) if n not in known]
     errors += [
         f"type of {n}" for n in sorted(value) if n in known and not TYPES.get(known[n]["type"], lambda v: True)(value[n])
     ]

@@ -15,7 +15,7 @@ import tiktoken
 
 from pyspark.sql import functions as F
 
-from netloom.llm import bpe, decontam, langid, linededup, minmax, pii, queries, repeats, rules, toolcalls, toxicity
+from netloom.llm import bpe, common, decontam, langid, linededup, minmax, pii, queries, repeats, rules, toolcalls, toxicity
 from netloom.llm.common import held_out
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, body string, words string, score double"
@@ -55,7 +55,7 @@ def test_pre_tokens_match_the_pattern():
     rng = random.Random(1)
     alphabet = " \n\t'strevlmdLL12é漢!?- \x85\x1c"
     texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 30))) for _ in range(3000)] + ["", "don't we'll 's ''s"]
-    joined, starts, ends, _, counts = bpe.pre_tokens(pa.array(texts))
+    joined, _, starts, ends, counts = bpe.pre_tokens(texts)
     found = [joined[a:b] for a, b in zip(starts, ends)]
     at = 0
     for text, n in zip(texts, counts):
@@ -63,11 +63,11 @@ def test_pre_tokens_match_the_pattern():
         at += n
 
 
-@pytest.mark.parametrize("limit", [4_000_000, 0])
-def test_bpe_matches_tiktoken(spark, limit):
+@pytest.mark.parametrize("block_bytes", [4 << 20, 2000])
+def test_bpe_matches_tiktoken(spark, block_bytes):
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
     texts = [*ODD, *random_texts(random.Random(2), 30), "Hello wörld <|endoftext|> 12345"]
-    coded = bpe.encode(docs(spark, texts), RANKS, max_broadcast_words=limit, block_bytes=2000)
+    coded = bpe.encode(docs(spark, texts), RANKS, block_bytes=block_bytes)
     rows = by_id(bpe.decode(coded, RANKS))
     assert len(rows) == len(texts)
     for i, t in enumerate(texts):
@@ -75,6 +75,41 @@ def test_bpe_matches_tiktoken(spark, limit):
         assert bytes(rows[i].decoded) == (t or "").encode()
 
 
+def thue_morse(order, zero, one):
+    word = [zero]
+    for _ in range(order):
+        word += [one if c == zero else zero for c in word]
+    return "".join(word)
+
+
+ALIKE = [thue_morse(11, "a", "b"), thue_morse(11, "b", "a")]
+
+
+@pytest.mark.parametrize("parts", [1, 2])
+def test_words_that_a_polynomial_confuses(spark, parts):
+    frame = docs(spark, [*ALIKE, *ALIKE]).repartition(parts, "doc_id")
+    rows = by_id(bpe.decode(bpe.encode(frame, RANKS), RANKS))
+    assert [bytes(rows[i].decoded).decode() for i in range(4)] == [*ALIKE, *ALIKE]
+    groups = by_id(minmax.near_duplicates(frame))
+    assert [groups[i].component_id for i in range(4)] == [0, 1, 0, 1]
+
+
+def test_words_whose_fingerprints_meet(monkeypatch):
+    monkeypatch.setattr(common, "span_hashes", lambda symbols, starts, ends, seed=0: (ends - starts).astype(np.uint64))
+    words, number, counts = bpe.numbered_words(["ab ac ad ab", "", " ac ad"])
+    assert [words[n] for n in number] == ["ab", " ac", " ad", " ab", " ac", " ad"] and len(words) == 4
+    assert counts.tolist() == [4, 0, 2]
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    pattern = regex.compile(public_tokenizers.PATTERN)
+    rng = random.Random(15)
+    text = "".join(rng.choices(" \n\tab'sé1?漢\x1c\x85 ", k=4000))
+    pieces = list(common.text_pieces(text, bpe.SAFE_BREAK, 50))
+    assert "".join(pieces) == text and len(pieces) > 5
+    assert [m for p in pieces for m in pattern.findall(p)] == pattern.findall(text)
+
+
 def test_line_dedup(spark):
     shared = "A Line that is Shared by many"
     texts = [*ODD, f"one\n{shared}\n{shared}", f"  {shared.upper()}\t\ntwo", f"{shared}\nthree", "short\nshort", "short", "short"]
@@ -300,6 +335,20 @@ def test_tool_calls(spark):
     assert rows[4, 1].canonical == '{"arguments":{"x":1,"y":2},"id":null,"name":"add"}' and rows[4, 1].n_results == 0
 
 
+def test_odd_arguments(spark):
+    deep = "[" * 200_000 + "]" * 200_000
+    texts = ['{"x":"\\ud800"}', f'{{"x":{deep}}}', '{"x":NaN}', '{"x":1e999}', '{"x":-Infinity}', '{"\\udc01":1,"x":"\\ud83d\\ude00"}', '{"x":' + '[' * 300 + ']' * 300 + '}', '{"x":"' + "y" * 300_000 + '"}']
+    calls = spark.createDataFrame([(1, i, f"c{i}", "t", a, None) for i, a in enumerate(texts)], "conv bigint, pos bigint, call_id string, name string, arguments string, after array<string>")
+    results = spark.createDataFrame([], "conv bigint, pos bigint, call_id string, content string")
+    schemas = spark.createDataFrame([("t", "x", "string", True)], "name string, field string, type string, required boolean")
+    rows = {r.pos: r for r in toolcalls.link_calls(calls, results, schemas).collect()}
+    assert rows[0].canonical == '{"arguments":{"x":"\\ud800"},"id":"c0","name":"t"}' and rows[0].errors == []
+    for i in (1, 2, 3, 4):
+        assert rows[i].errors == ["bad arguments", "missing x"] and '"arguments":{}' in rows[i].canonical, i
+    assert rows[5].errors == ["unknown \\udc01"] and rows[5].canonical.startswith('{"arguments":{"x":"😀","\\udc01":1}')
+    assert rows[6].errors == ["type of x"] and rows[7].errors == [] and len(rows[7].canonical) > 300_000
+
+
 def test_chain_levels_do_not_depend_on_positions(spark):
     rng = random.Random(12)
     graphs = {
