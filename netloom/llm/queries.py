@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import bpe, decontam, langid, linededup, minmax, pii, repeats, rules, toolcalls, toxicity
+from netloom.llm import bpe, decontam, langid, linededup, minmax, packing, phrases, pii, repeats, rules, spelling, toolcalls, toxicity
 from netloom.llm.common import held_out, table
 
 
@@ -100,9 +100,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_toolcalls": toolcalls.ORACLE, "op2_chain_levels": toolcalls.CHAIN_ORACLE, "op8_lines": linededup.DIGEST_SQL, "op9_decontaminate": decontam.DIGEST_SQL}
+    return {"op2_toolcalls": toolcalls.ORACLE, "op2_chain_levels": toolcalls.CHAIN_ORACLE, "op8_lines": linededup.DIGEST_SQL, "op9_decontaminate": decontam.DIGEST_SQL, "op11_phrases": phrases.ORACLE}
