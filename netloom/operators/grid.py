@@ -11,17 +11,20 @@ A running maximum over a whole stream would put the stream into one task. Instea
 map-side combined profile per (stream, time bucket) proves, for almost every bucket,
 that no packet in it can be late or start a new grid. Only buckets without that proof
 are looked at packet by packet. The profile and the grid grow with the stream's
-duration, not with its packets.
+duration, not with its packets; running values over the profile are computed in time blocks
+(``operators/scan.py``), and gaps are resolved by composing functions of time blocks
+(``operators/anchors.py``), so a stream of any length is spread over tasks.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.config import WindowConfig
 from netloom.functions.columns import int_floor_div
+from netloom.operators.anchors import restarts
+from netloom.operators.scan import before_blocks, running, with_halo
 from netloom.session import materialize
 
 #: Longest array that one step of a numbered range makes.
@@ -51,30 +54,29 @@ def time_profile(packets: DataFrame, cfg: WindowConfig) -> DataFrame:
     )
 
 
+def _first_arrival_from(profile: DataFrame, rows: DataFrame, ahead: int, name: str) -> DataFrame:
+    """``rows`` (of the profile) with the smallest arrival number of buckets ``ahead`` or more later."""
+    newest_first = profile.select("stream_id", (-F.col("bucket")).alias("pos"), F.col("min_seq").alias("value"))
+    asked = rows.withColumn("pos", -F.col("bucket") - ahead)
+    return running(newest_first, asked, ["stream_id"], "min").drop("pos").withColumnRenamed("found", name)
+
+
 def _suspect_buckets(profile: DataFrame, cfg: WindowConfig) -> DataFrame:
     """Buckets where an arrival much later in time precedes one of their packets."""
     q = _buckets_per_window(cfg)
-    newest_first = Window.partitionBy("stream_id").orderBy(F.col("bucket").desc())
-    may = newest_first.rangeBetween(Window.unboundedPreceding, -q)
-    sure = newest_first.rangeBetween(Window.unboundedPreceding, -(q + 1))
-    return (
-        profile.withColumns(
-            {"may": F.min("min_seq").over(may), "sure": F.min("min_seq").over(sure)}
-        )
-        .filter(F.col("max_seq") > F.col("may"))
-        .select("stream_id", "bucket", F.col("sure").alias("late_after"))
-    )
+    may = _first_arrival_from(profile, profile.select("stream_id", "bucket", "max_seq"), q, "may")
+    return may.filter(F.col("max_seq") > F.col("may")).select("stream_id", "bucket")
 
 
 def drop_late(packets: DataFrame, cfg: WindowConfig, profile: DataFrame | None = None) -> DataFrame:
     """Drop packets older than the running maximum time by more than the window."""
     if profile is None:
         profile = materialize(time_profile(packets, cfg), "profile")
-    suspects = _suspect_buckets(profile, cfg)
+    q, width = _buckets_per_window(cfg), _bucket_us(cfg)
+    suspects = materialize(_suspect_buckets(profile, cfg), "suspects")
     if suspects.isEmpty():
         return packets
-    suspects = materialize(suspects, "suspects")
-    q, width = _buckets_per_window(cfg), _bucket_us(cfg)
+    suspects = materialize(_first_arrival_from(profile, suspects, q + 1, "late_after"), "suspects")
     # The only times not settled by the profile lie exactly one window ahead.
     ahead = suspects.select("stream_id", (F.col("bucket") + q).alias("bucket"))
     rivals = (
@@ -119,18 +121,14 @@ def _gap_candidates(packets: DataFrame, profile: DataFrame, cfg: WindowConfig) -
     hold earlier arrivals only (later ones would have been late).
     """
     q = _buckets_per_window(cfg)
-    by_time = Window.partitionBy("stream_id").orderBy("bucket")
-    far = by_time.rangeBetween(Window.unboundedPreceding, -(q + 1))
-    near = by_time.rangeBetween(-q, -1)
-    ahead = by_time.rangeBetween(1, q + 1)
+    by_time = Window.partitionBy("stream_id", "block").orderBy("bucket")
     reach = 2 * cfg.window_us - cfg.slide_us
-    rows = profile.withColumns(
+    rows = with_halo(profile, "bucket", q + 1).withColumns(
         {
-            "far_us": F.max("max_us").over(far),
-            "near": F.collect_list(F.struct("bucket", "min_seq", "max_seq", "first_us", "max_us")).over(near),
-            "ahead_seq": F.min("min_seq").over(ahead),
+            "near": F.collect_list(F.struct("bucket", "min_seq", "max_seq", "first_us", "max_us")).over(by_time.rangeBetween(-q, -1)),
+            "ahead_seq": F.min("min_seq").over(by_time.rangeBetween(1, q + 1)),
         }
-    )
+    ).filter("own").drop("own", "block")
     # An arrival that follows one from a later bucket does not advance the time.
     rows = rows.filter(F.coalesce(F.col("ahead_seq") > F.col("min_seq"), F.lit(True)))
     earlier = F.filter("near", lambda b: b["min_seq"] < F.col("min_seq"))
@@ -138,7 +136,12 @@ def _gap_candidates(packets: DataFrame, profile: DataFrame, cfg: WindowConfig) -
         earlier,
         lambda b: F.when(b["max_seq"] < F.col("min_seq"), b["max_us"]).otherwise(b["first_us"]),
     )
-    rows = rows.withColumn("before_us", F.greatest("far_us", F.array_max(known)))
+    # Few buckets come long enough after their neighbours; only those ask for what was before.
+    newest_near = F.array_max(known)
+    rows = rows.filter(F.coalesce(F.col("first_us") - newest_near > reach, F.lit(True)))
+    times = profile.select("stream_id", F.col("bucket").alias("pos"), F.col("max_us").alias("value"))
+    rows = running(times, rows.withColumn("pos", F.col("bucket") - (q + 1)), ["stream_id"], "max").drop("pos")
+    rows = rows.withColumn("before_us", F.greatest("found", newest_near)).drop("found")
     rows = rows.filter(F.col("first_us") - F.col("before_us") > reach)
     if _bucket_us(cfg) <= cfg.window_us - cfg.slide_us:
         return rows.select("stream_id", F.col("min_seq").alias("seq"), F.col("first_us").alias("ts_us"), "before_us")
@@ -175,38 +178,24 @@ def grid_segments(packets: DataFrame, cfg: WindowConfig, profile: DataFrame | No
     span = profile.groupBy("stream_id").agg(
         F.min_by("first_us", "min_seq").alias("anchor_us"), F.max("max_us").alias("last_us")
     )
-    gaps = _gap_candidates(packets, profile, cfg)
-    window_us, slide_us = cfg.window_us, cfg.slide_us
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        anchor = int(pdf["anchor_us"].iloc[0])
-        out, last = [], int(pdf["last_us"].iloc[0])
-        for ts, before in zip(pdf["ts_us"].tolist(), pdf["before_us"].tolist()):
-            emitted = anchor + (before - anchor) // slide_us * slide_us
-            if ts > emitted + 2 * window_us:
-                out.append((anchor, before))
-                anchor = ts - window_us
-        out.append((anchor, last))
-        return pd.DataFrame(
-            {
-                "stream_id": pdf["stream_id"].iloc[0],
-                "segment": range(len(out)),
-                "anchor_us": [a for a, _ in out],
-                "last_us": [e for _, e in out],
-            }
-        )
-
-    # One group per stream: a long sparse stream has many gaps, and they are not split.
-    resolved = (
-        gaps.join(span, "stream_id")
-        .groupBy("stream_id")
-        .applyInPandas(settle, "stream_id string, segment bigint, anchor_us bigint, last_us bigint")
+    gaps = materialize(_gap_candidates(packets, profile, cfg).select("stream_id", "ts_us", "before_us"), "gap-candidates")
+    if gaps.isEmpty():
+        return span.select("stream_id", F.lit(0).cast("bigint").alias("segment"), "anchor_us", "last_us")
+    span = materialize(span, "spans")
+    closed, last = restarts(gaps, span.select("stream_id", "anchor_us"), cfg)
+    counts = closed.groupBy("stream_id", "block").agg(F.count("*").alias("total"))
+    numbered = closed.join(before_blocks(counts, ["stream_id"], "sum"), ["stream_id", "block"]).select(
+        "stream_id", (F.col("before") + F.col("place")).cast("bigint").alias("segment"), "anchor_us", "last_us"
     )
-    plain = span.join(gaps, "stream_id", "left_anti").select(
-        "stream_id", F.lit(0).cast("bigint").alias("segment"), "anchor_us", "last_us"
+    made = counts.groupBy("stream_id").agg(F.sum("total").alias("made"))
+    final = (
+        span.join(last.withColumnRenamed("anchor_us", "entry_us"), "stream_id", "left").join(made, "stream_id", "left")
+        .select(
+            "stream_id", F.coalesce("made", F.lit(0)).cast("bigint").alias("segment"),
+            F.coalesce("entry_us", "anchor_us").alias("anchor_us"), "last_us",
+        )
     )
-    return plain.unionByName(resolved)
+    return numbered.unionByName(final)
 
 
 def _numbered(rows: DataFrame, name: str) -> DataFrame:
@@ -224,12 +213,11 @@ def segment_index(segments: DataFrame, cfg: WindowConfig) -> DataFrame:
     """Segments per (stream, time cell) with the times they hold, so that packets find
     theirs with an equi-join. A cell is one window wide, and segments start more than a
     window after the one before ends, so a cell meets two of them at most."""
-    by_time = Window.partitionBy("stream_id").orderBy("anchor_us")
     # A slide longer than the window leaves out times right after the anchor.
     skipped = max(0, cfg.slide_us - cfg.window_us)
     bounded = segments.select(
         "stream_id", "anchor_us", "last_us",
-        F.when(F.lag("anchor_us").over(by_time).isNotNull(), F.col("anchor_us") + skipped)
+        F.when(F.col("segment") > 0, F.col("anchor_us") + skipped)
         .otherwise(F.col("anchor_us") - cfg.window_us)
         .alias("from_us"),
     )
