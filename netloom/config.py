@@ -17,18 +17,22 @@ class WindowConfig:
     every packet may restart it; slides above 1.75 windows are rejected. (The limit is one
     window where the window is not a multiple of four microseconds.)
     ``chunk_windows`` bounds how much of one flow a single task sees: flow state
-    is built per (flow, chunk) and a chunk covers that many window lengths.
+    is built per (flow, chunk) and a chunk covers that many window lengths. A flow with more
+    than ``split_packets`` packets in a chunk is built in blocks of so many arrivals.
     """
 
     window_s: float = 10.0
     slide_s: float = 1.0
     chunk_windows: int = 6
+    split_packets: int = 1_000_000
 
     def __post_init__(self) -> None:
         if self.window_s <= 0 or self.slide_s <= 0:
             raise ValueError("window_s and slide_s must be positive")
         if 4 * self.slide_us > (4 if self.window_us % 4 else 7) * self.window_us:
             raise ValueError("slide_s must not exceed 1.75 windows")
+        if self.split_packets < 1:
+            raise ValueError("split_packets must be at least 1")
 
     @property
     def window_us(self) -> int:

@@ -4,8 +4,11 @@
 (stream, grid, chunk of windows, flow key). Everything after that reuses the same
 partitioning: packets collapse into runs (consecutive packets of one flow in one
 pane), runs are copied to the windows that contain their pane, and runs of a window
-combine into its flow rows. A flow of any length is spread over many chunks, so no
-task holds more than one chunk of it.
+combine into its flow rows. A flow of any length is spread over many chunks. Where the
+time profile shows that packets are dense, flows are counted per chunk first, and those of
+more than ``split_packets`` packets are collapsed into runs in blocks of arrivals: a run cut
+at a block border is two runs with an exact gap between them, so nothing else changes. Only
+the runs of such flows are shuffled a second time.
 
 A window is a set of whole panes, and every window's packets are a sequence of whole
 runs in arrival order, so inter-arrival statistics are exact whatever the disorder.
@@ -22,6 +25,7 @@ from netloom.config import WindowConfig
 from netloom.functions.columns import flow_id, int_floor_div, seconds
 from netloom.operators.grid import on_grid
 from netloom.operators.prepare import FLOW_KEY, flow_eligible, with_flow_key, with_time_us
+from netloom.session import materialize
 
 FLOW_COLUMNS = [
     "stream_id", "window_start_us", "window_end_us", "flow_id",
@@ -96,20 +100,34 @@ def _flow_row(group: DataFrame, keys: list[str], cfg: WindowConfig) -> DataFrame
 
 def build_flows(packets: DataFrame, cfg: WindowConfig, anchor_us: int | None = None) -> DataFrame:
     """One row per (stream, window, flow) over all packets in ``[end - window, end]``."""
-    a, b, pane_us = cfg.slide_us // cfg.pane_us, cfg.window_us // cfg.pane_us, cfg.pane_us
+    gridded = _gridded(packets, cfg, anchor_us)
+    base, part = _chunked(gridded, cfg), ["stream_id", "anchor_us", "chunk", *FLOW_KEY]
+    if "crowded" in gridded.columns:
+        counts = base.groupBy(*part).agg(F.count("*").alias("packets"))
+        hot = materialize(counts.filter(F.col("packets") > cfg.split_packets).drop("packets"), "hot-flows")
+        if not hot.isEmpty():
+            block = int_floor_div("seq", cfg.split_packets).alias("seq_block")
+            busy = base.join(hot, part, "left_semi").select("*", block)
+            calm = base.join(hot, part, "left_anti")
+            return _flows_of(calm, part, [], cfg).unionByName(_flows_of(busy, part, ["seq_block"], cfg))
+    return _flows_of(base, part, [], cfg)
+
+
+def _chunked(gridded: DataFrame, cfg: WindowConfig) -> DataFrame:
+    """Packets with their pane and span of windows, once for each chunk of windows they lie in."""
+    pane_us = cfg.pane_us
     first, last = window_span(cfg)
-    hello = F.coalesce(_optional(packets, "tls_is_client_hello", "boolean"), F.lit(False))
-    has_query = F.coalesce(_optional(packets, "dns_query_name", "string") != "", F.lit(False))
-    has_sni = hello & F.coalesce(_optional(packets, "tls_sni", "string") != "", F.lit(False))
+    hello = F.coalesce(_optional(gridded, "tls_is_client_hello", "boolean"), F.lit(False))
+    has_query = F.coalesce(_optional(gridded, "dns_query_name", "string") != "", F.lit(False))
+    has_sni = hello & F.coalesce(_optional(gridded, "tls_sni", "string") != "", F.lit(False))
     rel = "(ts_us - anchor_us)"
     # Even panes are boundary instants, odd panes the open stretches between them.
     pane = 2 * int_floor_div(rel, pane_us) + F.when(
         F.pmod(F.expr(rel), F.lit(pane_us)) == 0, 0
     ).otherwise(1)
     size = cfg.chunk_slides
-    base = (
-        _gridded(packets, cfg, anchor_us)
-        .withColumns({"k_first": first, "k_last": last})
+    return (
+        gridded.withColumns({"k_first": first, "k_last": last})
         .select(
             "stream_id", "anchor_us", *FLOW_KEY, "seq", "ts_us", "a_to_b",
             F.col("length").cast("bigint").alias("length"),
@@ -126,8 +144,12 @@ def build_flows(packets: DataFrame, cfg: WindowConfig, anchor_us: int | None = N
         )
         .filter(F.col("chunk").isNotNull())
     )
-    part = ["stream_id", "anchor_us", "chunk", *FLOW_KEY]
-    arrivals = Window.partitionBy(*part).orderBy("seq")
+
+
+def _flows_of(base: DataFrame, part: list[str], blocks: list[str], cfg: WindowConfig) -> DataFrame:
+    """Flow rows of chunked packets; runs are made within ``part`` and ``blocks`` of arrivals."""
+    size = cfg.chunk_slides
+    arrivals = Window.partitionBy(*part, *blocks).orderBy("seq")
     packets_in_order = base.withColumns(
         {"prev_us": F.lag("ts_us").over(arrivals), "prev_pane": F.lag("pane").over(arrivals)}
     ).withColumn("starts", F.coalesce(F.col("pane") != F.col("prev_pane"), F.lit(True)))
@@ -144,7 +166,7 @@ def build_flows(packets: DataFrame, cfg: WindowConfig, anchor_us: int | None = N
     def count_where(cond: Column) -> Column:
         return F.sum(F.when(cond, ones).otherwise(F.lit(0).cast("bigint")))
 
-    runs = packets_in_order.groupBy(*part, "run", "pane", "k_first", "k_last").agg(
+    runs = packets_in_order.groupBy(*part, *blocks, "run", "pane", "k_first", "k_last").agg(
         F.count(ones).alias("n"),
         F.sum("length").alias("bytes"),
         count_where(F.col("a_to_b")).alias("n_ab"),
@@ -168,7 +190,7 @@ def build_flows(packets: DataFrame, cfg: WindowConfig, anchor_us: int | None = N
     lo = F.greatest(F.col("k_first"), F.col("chunk") * size)
     hi = F.least(F.col("k_last"), F.col("chunk") * size + (size - 1))
     in_window = runs.withColumn("k", F.explode(F.sequence(lo, hi)))
-    order = Window.partitionBy(*part, "k").orderBy("run")
+    order = Window.partitionBy(*part, "k").orderBy("seq")
     in_window = in_window.withColumn("prev_tail", F.lag("tail_us").over(order)).withColumns(
         {
             # The first packet of a window's flow opens it and leaves no metadata.

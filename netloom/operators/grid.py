@@ -50,10 +50,18 @@ def time_profile(packets: DataFrame, cfg: WindowConfig) -> DataFrame:
             F.max("seq").alias("max_seq"),
             F.min_by("ts_us", "seq").alias("first_us"),
             F.max("ts_us").alias("max_us"),
+            F.count("*").alias("n"),
         )
     )
 
 
+def _is_crowded(profile: DataFrame, cfg: WindowConfig) -> bool:
+    """Whether any window length of time holds so many packets that one flow may need splitting."""
+    window = int_floor_div("bucket", _buckets_per_window(cfg))
+    limit = cfg.split_packets // (cfg.chunk_windows + 2)
+    return not profile.groupBy("stream_id", window).agg(F.sum("n").alias("n")).filter(F.col("n") > limit).isEmpty()
+
+
 def _first_arrival_from(profile: DataFrame, rows: DataFrame, ahead: int, name: str) -> DataFrame:
     """``rows`` (of the profile) with the smallest arrival number of buckets ``ahead`` or more later."""
     newest_first = profile.select("stream_id", (-F.col("bucket")).alias("pos"), F.col("min_seq").alias("value"))
@@ -229,7 +237,8 @@ def on_grid(packets: DataFrame, cfg: WindowConfig, anchor_us: int | None = None)
     """On-time packets with ``anchor_us`` and ``last_us`` of their grid segment.
 
     With a fixed ``anchor_us`` (as a stream needs) no gap restarts the grid. Packets that
-    already have a grid are returned as they are.
+    already have a grid are returned as they are. Where packets are dense, a column
+    ``crowded`` says that flows have to be looked at for their number of packets.
     """
     if {"anchor_us", "last_us"} <= set(packets.columns):
         return packets
@@ -237,17 +246,21 @@ def on_grid(packets: DataFrame, cfg: WindowConfig, anchor_us: int | None = None)
     kept = drop_late(packets, cfg, profile)
     if kept is not packets:
         profile = materialize(time_profile(kept, cfg), "profile")
+    columns = {c: F.col(c) for c in packets.columns}
+    if _is_crowded(profile, cfg):
+        columns["crowded"] = F.lit(True)
     if anchor_us is not None:
         segments = profile.groupBy("stream_id").agg(F.max("max_us").alias("last_us")).select(
             "stream_id", F.lit(anchor_us).cast("bigint").alias("anchor_us"), "last_us"
         )
-        return kept.join(materialize(segments, "grid"), "stream_id")
+        gridded = kept.join(materialize(segments, "grid"), "stream_id")
+        return gridded.select(*(c.alias(n) for n, c in columns.items()), "anchor_us", "last_us")
     index = materialize(segment_index(grid_segments(kept, cfg, profile), cfg), "grid")
     return (
         kept.withColumn("cell", int_floor_div("ts_us", cfg.window_us))
         .join(index, ["stream_id", "cell"])
         .filter(F.col("ts_us").between(F.col("from_us"), F.col("last_us")))
-        .select(*packets.columns, "anchor_us", "last_us")
+        .select(*(c.alias(n) for n, c in columns.items()), "anchor_us", "last_us")
     )
 
 

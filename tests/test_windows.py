@@ -80,6 +80,30 @@ def test_windows_match_brute_force(spark, window, slide, seed):
     packets.unpersist()
 
 
+@pytest.mark.parametrize("window,slide,split", [(4, 1, 1), (4, 1, 3), (3, 3, 5), (2, 0.75, 2)])
+def test_split_flows_match_brute_force(spark, window, slide, split):
+    """Flows of more packets than ``split`` in a chunk are built in blocks of arrivals."""
+    cfg = WindowConfig(window, slide, chunk_windows=3, split_packets=split)
+    rows = random_streams(60, 10 + split, 2 * window)
+    want = {
+        (name, e, f): v for name, ps in by_stream(rows).items()
+        for e, _, whole in brute.windows(ps, cfg.window_us, cfg.slide_us) for f, v in brute.flows(whole).items()
+    }
+    assert as_dict(build_flows(frame(spark, rows), cfg)) == want
+
+
+def test_a_hot_flow_is_spread(spark):
+    """All packets of one flow within one window: runs are made in many tasks, with one packet shuffle elsewhere."""
+    cfg = WindowConfig(10, 10, split_packets=500)
+    rows = [packet(i, 100 + i * 0.001, src="10.0.0.1:1000" if i % 3 else "10.0.0.9:9") for i in range(9000)]
+    packets = frame(spark, [*rows, packet(9000, 110.0)])
+    whole = as_dict(build_flows(packets, WindowConfig(10, 10)))
+    assert as_dict(build_flows(packets, cfg)) == whole and len(whole) == 2
+    plan = build_flows(packets, cfg)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("seq_block") > 0
+    assert "seq_block" not in build_flows(packets, WindowConfig(10, 10))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_partition_count_does_not_matter(spark):
     cfg, rows = WindowConfig(4, 1), random_streams(40, 9, 10)
     spread = as_dict(build_flows(frame(spark, rows).repartition(7), cfg))
