@@ -1,7 +1,7 @@
 """Packets to alerts as a Structured Streaming query.
 
-packets -> watermark -> flows of closed windows -> history per host pair -> verdicts and
-fusion per micro-batch -> sink. Windows close when the watermark passes them, and all
+packets -> watermark -> flows of closed windows -> memory of flows and host pairs ->
+verdicts and fusion per micro-batch -> sink. Windows close when the watermark passes them, and all
 flows of a window reach the sink in the same micro-batch, so source and destination
 context is complete there.
 
@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 from math import log2
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -142,16 +142,19 @@ def end_of_input(
 # Per-key state of any size needs the state store that keeps it on disk.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-# History columns added by ``PairHistory``.
-_HISTORY = [
+# History columns added by ``Memory``: those of flows, then those of host pairs.
+_FLOW_HISTORY = [
     ("windows_seen", T.LongType()), ("observed_us", T.LongType()),
     ("tls_windows", T.LongType()), ("hello_seen", T.IntegerType()), ("sni_seen", T.IntegerType()),
     ("flow_fwd_max", T.LongType()), ("flow_rev_max", T.LongType()),
+]
+_PAIR_HISTORY = [
     ("pair_fwd_max", T.LongType()), ("pair_rev_max", T.LongType()), ("windows_active", T.LongType()),
     ("name_count", T.LongType()), ("entropy_sum", T.DoubleType()), ("length_sum", T.LongType()),
     ("high_names", T.LongType()),
 ]
-HISTORY_COLUMNS = [name for name, _ in _HISTORY]
+HISTORY_COLUMNS = [name for name, _ in (*_FLOW_HISTORY, *_PAIR_HISTORY)]
+FLOW, PAIR = "flow", "pair"
 
 
 def entropy_bits(text: str) -> float:
@@ -160,63 +163,76 @@ def entropy_bits(text: str) -> float:
     return -sum((k := text.count(c) / size) * log2(k) for c in set(text)) if size else 0.0
 
 
-class PairHistory(StatefulProcessor):
-    """Keeps, per host pair, what the detectors remember across windows.
+class Memory(StatefulProcessor):
+    """Keeps what the detectors remember across windows, of one flow or of one host pair.
 
-    A flow id names its hosts, so per-flow memory lives under the pair as well. State of
-    a pair that has been idle longer than every detector remembers is dropped by timer.
+    Each flow is a key of its own, and so is each pair. A timer drops a key's state once it
+    has been idle for longer than any detector remembers it, so the flows of a busy pair go
+    one by one while the pair lives on. An idle limit counts in window ends, as in batch.
     """
 
     def __init__(self, cfg: DetectionConfig, columns: list[str]):
         self.cfg = cfg
         self.columns = columns
+        self.keep_us = {
+            FLOW: round(max(cfg.tls.idle_s, cfg.beacon.history_s) * MICROS),
+            PAIR: round(max(cfg.exfil.idle_s, cfg.dns.idle_s) * MICROS),
+        }
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.flow = handle.getValueState(
+            "flow", "last bigint, windows bigint, hello int, sni int, fwd bigint, rev bigint, ends array<bigint>"
+        )
         self.pair = handle.getValueState(
             "pair", "last bigint, fwd bigint, rev bigint, evals bigint, dns_last bigint, names bigint, "
             "entropy double, length bigint, high bigint"
         )
-        self.flows = handle.getMapState(
-            "flows", "flow string", "last bigint, windows bigint, hello int, sni int, fwd bigint, rev bigint, ends array<bigint>"
-        )
         self.names = handle.getMapState("names", "name string", "seen int")
-        c = self.cfg
-        self.forget_us = round(max(c.exfil.idle_s, c.dns.idle_s, c.tls.idle_s, c.beacon.history_s) * MICROS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["window_end_us", "first_seq"])
-        pair = self.pair.get() if self.pair.exists() else None
-        pair = list(pair) if pair is not None else [None, 0, 0, 0, None, 0, 0.0, 0, 0]
-        made = [self._row(pair, r) for r in pdf.itertuples(index=False)]
-        self.pair.update(tuple(pair))
+        if key[1] == FLOW:
+            known = self.flow.get() if self.flow.exists() else None
+            state = list(known) if known is not None else [None, 0, 0, 0, 0, 0, []]
+            made = [self._flow_row(state, r) for r in pdf.itertuples(index=False)]
+            self.flow.update(tuple(state))
+            names = [n for n, _ in _FLOW_HISTORY]
+        else:
+            known = self.pair.get() if self.pair.exists() else None
+            state = list(known) if known is not None else [None, 0, 0, 0, None, 0, 0.0, 0, 0]
+            made = [self._pair_row(state, r) for r in pdf.itertuples(index=False)]
+            self.pair.update(tuple(state))
+            names = [n for n, _ in _PAIR_HISTORY]
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer((pair[0] + self.forget_us) // 1000 + 1)
-        history = pd.DataFrame(made, columns=HISTORY_COLUMNS, index=pdf.index)
+        self.handle.registerTimer((state[0] + self.keep_us[key[1]]) // 1000 + 1)
+        history = pd.DataFrame(made, columns=names, index=pdf.index).reindex(columns=HISTORY_COLUMNS)
+        history = history.astype({n: "Int64" for n, t in (*_FLOW_HISTORY, *_PAIR_HISTORY) if t != T.DoubleType()})
         yield pd.concat([pdf[self.columns], history], axis=1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        for state in (self.pair, self.flows, self.names):
+        for state in (self.flow, self.pair, self.names):
             state.clear()
         yield pd.DataFrame(columns=[*self.columns, *HISTORY_COLUMNS])
 
-    def _row(self, pair: list, r) -> tuple:
+    def _flow_row(self, state: list, r) -> tuple:
         cfg, now = self.cfg, int(r.window_end_us)
-        if pair[0] is not None and now - pair[0] > cfg.exfil.idle_s * MICROS:
-            pair[1:4] = 0, 0, 0
-        pair[0], pair[3] = now, pair[3] + 1
-        pair[1], pair[2] = max(pair[1], int(r.fwd_byte_count)), max(pair[2], int(r.rev_byte_count))
-
-        known = self.flows.getValue((r.flow_id,)) if self.flows.containsKey((r.flow_id,)) else None
-        last, windows, hello, sni, fwd, rev, ends = known if known is not None else (None, 0, 0, 0, 0, 0, [])
+        last, windows, hello, sni, fwd, rev, ends = state
         if last is not None and now - last > cfg.tls.idle_s * MICROS:
             windows = hello = sni = fwd = rev = 0
         windows, hello, sni = windows + 1, max(hello, int(r.tls_client_hello)), max(sni, int(r.tls_has_sni))
         fwd, rev = max(fwd, int(r.fwd_byte_count)), max(rev, int(r.rev_byte_count))
         ends = [e for e in ends if now - e <= cfg.beacon.history_s * MICROS] + [now]
-        self.flows.updateValue((r.flow_id,), (now, windows, hello, sni, fwd, rev, ends))
+        state[:] = now, windows, hello, sni, fwd, rev, ends
+        return len(ends), now - ends[0], windows, hello, sni, fwd, rev
 
+    def _pair_row(self, pair: list, r) -> tuple:
+        cfg, now = self.cfg, int(r.window_end_us)
+        if pair[0] is not None and now - pair[0] > cfg.exfil.idle_s * MICROS:
+            pair[1:4] = 0, 0, 0
+        pair[0], pair[3] = now, pair[3] + 1
+        pair[1], pair[2] = max(pair[1], int(r.fwd_byte_count)), max(pair[2], int(r.rev_byte_count))
         if r.protocol == "UDP" and 53 in (r.src_port, r.dst_port):
             if pair[4] is not None and now - pair[4] > cfg.dns.idle_s * MICROS:
                 self.names.clear()
@@ -227,29 +243,40 @@ class PairHistory(StatefulProcessor):
                     self.names.updateValue((name,), (1,))
                     bits = entropy_bits(name)
                     pair[5:9] = pair[5] + 1, pair[6] + bits, pair[7] + len(name), pair[8] + (bits > cfg.dns.min_entropy)
-        return (
-            len(ends), now - ends[0], windows, hello, sni, fwd, rev, pair[1], pair[2], pair[3],
-            pair[5], pair[6], pair[7], pair[8],
-        )
+        return pair[1], pair[2], pair[3], pair[5], pair[6], pair[7], pair[8]
 
     def close(self) -> None:
         pass
 
 
+def _is_dns() -> Column:
+    return (F.col("protocol") == "UDP") & ((F.col("src_port") == 53) | (F.col("dst_port") == 53))
+
+
 def with_history(flows: DataFrame, cfg: DetectionConfig) -> DataFrame:
-    """Flow rows plus ``HISTORY_COLUMNS``. Needs the RocksDB state store."""
-    fields = [f for f in flows.schema.fields if f.name not in ("names", "ts")]
-    out = T.StructType([*fields, *[T.StructField(n, t) for n, t in _HISTORY]])
-    return flows.groupBy("stream_id", "src_ip", "dst_ip").transformWithStateInPandas(
-        PairHistory(cfg, [f.name for f in fields]), out, "Append", "EventTime"
+    """Flow rows plus ``kind`` and ``HISTORY_COLUMNS``. Needs the RocksDB state store.
+
+    Each flow row comes once as kind ``flow``, and once more as kind ``pair`` where a detector
+    looks at its host pair; each has the history of its kind, the other is null.
+    """
+    pair = F.concat_ws(">", "src_ip", "dst_ip")
+    of_flow = F.struct(F.lit(FLOW).alias("kind"), F.col("flow_id").alias("name"))
+    of_pair = F.struct(F.lit(PAIR).alias("kind"), pair.alias("name"))
+    both = F.when(_is_dns() | goes_outside(cfg.exfil), F.array(of_flow, of_pair)).otherwise(F.array(of_flow))
+    rows = flows.withColumn("memory", F.explode(both)).select("*", "memory.kind", "memory.name").drop("memory")
+    rows = rows.withColumn("names", F.when(F.col("kind") == PAIR, F.col("names")))
+    fields = [f for f in rows.schema.fields if f.name not in ("names", "ts", "name")]
+    out = T.StructType([*fields, *[T.StructField(n, t) for n, t in (*_FLOW_HISTORY, *_PAIR_HISTORY)]])
+    return rows.groupBy("stream_id", "kind", "name").transformWithStateInPandas(
+        Memory(cfg, [f.name for f in fields]), out, "Append", "EventTime"
     )
 
 
 def judge(rows: DataFrame, cfg: DetectionConfig, scorer: Callable | None = None) -> DataFrame:
     """Fused results of one micro-batch of closed windows."""
+    rows, pairs = rows.filter(F.col("kind") == FLOW), rows.filter(F.col("kind") == PAIR)
     tls = rows.filter((F.col("protocol") == "TCP") & (F.col("dst_port") == cfg.tls.port))
-    dns = rows.filter((F.col("protocol") == "UDP") & ((F.col("src_port") == 53) | (F.col("dst_port") == 53)))
-    out = rows.filter(goes_outside(cfg.exfil))
+    dns, out = pairs.filter(_is_dns()), pairs.filter(goes_outside(cfg.exfil))
     verdicts = [
         d.detect_ddos(rows.select(*FLOW_COLUMNS), cfg.ddos, scorer),
         judge_beacon(rows, cfg.beacon),

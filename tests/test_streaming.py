@@ -1,5 +1,8 @@
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
+from netloom.config import WindowConfig
 from netloom.operators.alerts import live_alerts
 from netloom.plans.detection import detect
 from netloom.plans.queries import DRIVER_DETECTION, WINDOW
@@ -7,6 +10,7 @@ from netloom.schema import PACKET_SCHEMA
 from netloom.sources.driver_tables import driver_packets
 from netloom.sources.packets import stream_packets
 from netloom.streaming.live import end_of_input, entropy_bits, start_detection, table_sink
+from tests.helpers import frame, packet
 
 SHOWN = ["flow_id", "timestamp", "threat_class", "confidence", "fusion_reason"]
 
@@ -38,3 +42,24 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_entropy_matches_column():
     assert entropy_bits("aabb") == 1.0 and entropy_bits("") == 0.0
+
+
+def test_flows_of_a_busy_pair_expire(spark, tmp_path):
+    """One pair that never rests and uses a new port all the time keeps few of its flows."""
+    window, n = WindowConfig(1, 1), 2000
+    cfg = replace(
+        DRIVER_DETECTION, beacon=replace(DRIVER_DETECTION.beacon, history_s=5.0),
+        tls=replace(DRIVER_DETECTION.tls, idle_s=5.0),
+    )
+    rows = [packet(i, 100 + i * 0.05, src=f"10.0.0.1:{20_000 + i}", dst="203.0.113.5:8080") for i in range(n)]
+    for part in range(4):
+        some = frame(spark, rows[part * n // 4 : (part + 1) * n // 4]).select(*[f.name for f in PACKET_SCHEMA.fields])
+        some.coalesce(1).write.parquet(str(tmp_path / "in" / str(part)))
+    query = start_detection(
+        stream_packets(spark, str(tmp_path / "in" / "*"), max_files=1), window, cfg,
+        str(tmp_path / "state"), table_sink(str(tmp_path / "out")),
+    )
+    assert query.awaitTermination(600) and query.exception() is None
+    memory = [o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"] if "ransformWithState" in o["operatorName"]]
+    # A flow has a state row and a timer in two orders; five seconds hold a hundred of them.
+    assert memory and max(memory) > 100 and memory[-1] < n
