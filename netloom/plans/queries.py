@@ -15,6 +15,7 @@ from netloom.config import (
     BeaconConfig, DdosConfig, DetectionConfig, DnsConfig, ExfilConfig, ReconConfig, TlsConfig, WindowConfig,
 )
 from netloom.functions.columns import char_entropy
+from netloom.ml.nodes import forest_nodes, predict_by_nodes
 from netloom.ml.score import flow_scorer
 from netloom.ml.train import FlowModel, fit, gradient_boosting, logistic_regression, random_forest, train_and_report
 from netloom.operators import alerts as al
@@ -22,6 +23,7 @@ from netloom.operators import datasets as ds
 from netloom.operators import detectors as dt
 from netloom.operators import features as ft
 from netloom.operators import flows as fl
+from netloom.operators import sketches as sk
 from netloom.operators import metrics as mt
 from netloom.operators import scaling as sc
 from netloom.operators import splits as sp
@@ -562,6 +564,70 @@ def latency_percentiles(spark, sf):
     return st.latency_percentiles(gaps)
 
 
+# --- sketches and several streams ----------------------------------------------------
+
+@query("sliding_hosts", o.over("""
+SELECT window_end_us, count(*) AS packets, count(DISTINCT src_ip) AS sources, count(DISTINCT dst_ip) AS destinations,
+  count(DISTINCT dst_ip || ':' || dst_port) AS services, 1 AS services_close FROM wp GROUP BY 1""", o.grid()))
+def sliding_hosts(spark, sf):
+    """Distinct hosts of sliding windows from pane sketches; few values are exact, many are checked for closeness."""
+    packets = materialize(
+        ingested_packets(spark, sf).withColumn("service", F.concat_ws(":", "dst_ip", F.col("dst_port").cast("string"))), "services"
+    )
+    made = sk.sliding_distinct(packets, WINDOW, {"sources": "src_ip", "destinations": "dst_ip", "estimate": "service"})
+    exact = fl.window_packets(flow_eligible(packets), WINDOW).groupBy("window_end_us").agg(F.count_distinct("service").alias("services"))
+    close = F.abs(F.col("estimate") - F.col("services")) <= F.greatest(F.lit(1.0), F.col("services") * 0.05)
+    return made.join(exact, "window_end_us").select(
+        "window_end_us", "packets", "sources", "destinations", "services", close.cast("int").alias("services_close")
+    )
+
+
+@query("sliding_fanout", o.over("""
+SELECT window_end_us, src_ip, count(*) AS packets, count(DISTINCT dst_ip) AS unique_dst_ips, count(DISTINCT dst_port) AS unique_dst_ports
+FROM wp GROUP BY 1, 2""", o.grid()))
+def sliding_fanout(spark, sf):
+    made = sk.sliding_distinct(
+        ingested_packets(spark, sf), WINDOW, {"unique_dst_ips": "dst_ip", "unique_dst_ports": "dst_port"}, by=["src_ip"], lg_k=14
+    )
+    return made.drop("stream_id")
+
+
+@query("latency_sketch", o.over("""
+SELECT count(*) AS n, 1 AS p50_ok, 1 AS p95_ok, 1 AS p99_ok FROM (SELECT lag(ts_us) OVER (ORDER BY seq) AS p FROM pk) x WHERE p IS NOT NULL"""))
+def latency_sketch(spark, sf):
+    """Percentiles from a sketch per ten seconds, merged; each value's rank is within 3 % of its share."""
+    packets = driver_packets(spark, sf)
+    follower = packets.select((F.col("seq") - 1).alias("seq"), F.col("ts_us").alias("next_us"))
+    gaps = packets.join(follower, "seq").select("ts_us", (F.col("next_us") - F.col("ts_us")).alias("latency_us"))
+    gaps = materialize(gaps, "latencies")
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    found = sk.merged_quantiles(sk.period_sketches(gaps, "latency_us", "ts_us", period_s=10.0), shares).first()
+    share = lambda cond: F.avg(cond.cast("double"))
+
+    def within(p: str) -> Column:
+        mark = F.lit(found[p])
+        below, upto = share(F.col("latency_us") < mark), share(F.col("latency_us") <= mark)
+        return F.coalesce(((below <= shares[p] + 0.03) & (upto >= shares[p] - 0.03)).cast("int"), F.lit(0)).alias(f"{p}_ok")
+
+    return gaps.agg(F.lit(found["n"]).cast("bigint").alias("n"), *[within(p) for p in shares])
+
+
+@query("two_streams", o.over("""
+SELECT stream_id, window_end_us, count(*) AS total_packets, CAST(sum(length) AS BIGINT) AS total_bytes, count(DISTINCT fk) AS flow_count FROM (
+  SELECT stream_id, length, a + k * 1000000 AS window_end_us,
+    least(src_ip || '|' || src_port, dst_ip || '|' || dst_port) || '~' || greatest(src_ip || '|' || src_port, dst_ip || '|' || dst_port) || protocol AS fk
+  FROM (SELECT p.*, g.a, unnest(range(greatest(1, (ts_us - a + 999999) // 1000000), least((ts_us - a + 10000000) // 1000000, (m - a) // 1000000) + 1)) AS k
+        FROM (SELECT * EXCLUDE (stream_id), 's' || (seq % 2) AS stream_id FROM pk) p
+        JOIN (SELECT 's' || (seq % 2) AS stream_id, arg_min(ts_us, seq) AS a, max(ts_us) AS m FROM pk GROUP BY 1) g USING (stream_id)) c) w
+GROUP BY 1, 2"""))
+def two_streams(spark, sf):
+    """Interleaved streams have grids, flows and windows of their own."""
+    packets = ingested_packets(spark, sf).withColumn("stream_id", F.concat(F.lit("s"), (F.col("seq") % 2).cast("string")))
+    return fl.window_totals(fl.build_flows(packets, WINDOW)).select(
+        "stream_id", "window_end_us", "total_packets", "total_bytes", "flow_count"
+    )
+
+
 # --- labelled rows -------------------------------------------------------------------
 
 _LINE_SQL = """(SELECT l_orderkey * 100 + l_linenumber AS row_idx, CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR) || ':' || CAST(l_suppkey AS VARCHAR) AS flow_id,
@@ -1154,6 +1220,43 @@ def train_and_predict(spark, sf):
     )
 
 
+@query("forest_by_nodes", o.over_flows(
+    f"SELECT window_end_us, flow_id, label, 1 AS same_prediction, 1 AS same_confidence FROM ({_FLOOD_SPLIT}) s WHERE split = 'test'"))
+def forest_by_nodes(spark, sf):
+    """Held-out rows scored twice: by the forest, and by descent over its node table."""
+    split = materialize(_flood_rows(spark, sf), "flood-split")
+    model = fit(split.filter("split = 'train'"), FEATURES_13, random_forest(20, 12, balanced=True))
+    test, key = split.filter("split = 'test'"), ["window_end_us", "flow_id"]
+    again = predict_by_nodes(test, model, forest_nodes(model, spark), key).toDF(*key, "again", "again_confidence")
+    return model.predict(test).join(again, key).select(
+        *key, "label", (F.col("prediction") == F.col("again")).cast("int").alias("same_prediction"),
+        (F.abs(F.col("confidence") - F.col("again_confidence")) < 1e-12).cast("int").alias("same_confidence"),
+    )
+
+
+# What two questions settle: an answered UDP flow is 1, all others 0.
+_ANSWERED = "CAST(protocol = 'UDP' AND fwd_byte_count > 0 AND rev_byte_count > 0 AS INT)"
+
+
+@query("tree_of_known_splits", o.over_flows(f"""
+SELECT window_end_us, flow_id, {_ANSWERED} AS prediction, 1.0 AS confidence, 3 AS leaves
+FROM fl WHERE window_end_us % 2000000 <> (SELECT min(window_end_us) FROM fl) % 2000000"""))
+def tree_of_known_splits(spark, sf):
+    """A tree that learns a rule of two splits from every other window predicts the windows between by its nodes."""
+    flows = materialize(_flows(spark, sf), "flows")
+    odd = F.col("window_end_us") % 2_000_000 != F.lit(flows.agg(F.min("window_end_us")).first()[0] or 0) % 2_000_000
+    rows = ft.features13(flows, keep=["window_end_us", "flow_id"]).join(
+        flows.select("window_end_us", "flow_id", F.expr(_ANSWERED).alias("label")), ["window_end_us", "flow_id"]
+    )
+    tree = random_forest(1, 2).setBootstrap(False).setFeatureSubsetStrategy("all")
+    used = ["is_udp", "is_unidirectional"]
+    model = fit(rows.filter(~odd), used, tree)
+    nodes = forest_nodes(model, spark)
+    leaves = F.lit(nodes.filter("feature IS NULL").count()).alias("leaves")
+    made = predict_by_nodes(rows.filter(odd), model, nodes, ["window_end_us", "flow_id"])
+    return made.select("window_end_us", "flow_id", "prediction", "confidence", leaves)
+
+
 @query("model_reports", o.over_flows(f"""
 SELECT model, count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives, 1 AS accuracy_ok, 1 AS precision_ok, 1 AS recall_ok, 1 AS fpr_ok
 FROM ({_FLOOD_SPLIT}) s, (SELECT unnest(['forest', 'logistic', 'boosted']) AS model) m WHERE split = 'test' GROUP BY 1"""))
