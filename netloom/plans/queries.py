@@ -504,15 +504,18 @@ def alerted_hosts(spark, sf):
     return al.flag_alerted_hosts(hosts, found.alerts()).select("ip", F.col("alerted").cast("int").alias("alerted"))
 
 
-def _detect_damaged(spark: SparkSession, sf: str) -> Detection:
+def _damaged_packets(spark: SparkSession, sf: str) -> DataFrame:
     """Packets of one host without lengths, those of another with negative ones."""
 
     def of(ip: str) -> Column:
         return (F.col("src_ip") == ip) | (F.col("dst_ip") == ip)
 
     length = F.when(of("192.168.1.14"), -F.col("length")).when(~of("192.168.1.13"), F.col("length"))
-    packets = materialize(driver_packets(spark, sf).withColumn("length", length), "packets")
-    return detect(packets, WINDOW, DRIVER_DETECTION)
+    return materialize(driver_packets(spark, sf).withColumn("length", length), "packets")
+
+
+def _detect_damaged(spark: SparkSession, sf: str) -> Detection:
+    return detect(_damaged_packets(spark, sf), WINDOW, DRIVER_DETECTION)
 
 
 _DAMAGED = """(SELECT *, CASE WHEN flow_id LIKE '%192.168.1.13:%' THEN 'byte_count is missing' WHEN flow_id LIKE '%192.168.1.14:%' THEN 'byte_count is negative' END AS bad FROM fu) d"""
@@ -1126,8 +1129,8 @@ def alerts_json(spark, sf):
 
 # --- streams -------------------------------------------------------------------------
 
-def _packet_stream(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
-    view = driver_packets(spark, sf).withColumn("ts", F.timestamp_micros("ts_us"))
+def _packet_stream(spark: SparkSession, sf: str, packets: DataFrame | None = None) -> tuple[DataFrame, int]:
+    view = (driver_packets(spark, sf) if packets is None else packets).withColumn("ts", F.timestamp_micros("ts_us"))
     cols = [
         (F.col(f.name) if f.name in view.columns else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in PACKET_SCHEMA.fields
@@ -1172,6 +1175,21 @@ def stream_alerts(spark, sf):
     )
 
 
+@query("stream_errors", o.over_fused(f"""
+SELECT window_end_us, flow_id, concat_ws('; ', bad, bad, bad, bad) AS error_message, '4 detector(s) raised exceptions' AS fusion_reason
+FROM {_DAMAGED} WHERE bad IS NOT NULL"""))
+def stream_errors(spark, sf):
+    """Flows that detectors cannot judge, reported by the stream beside its alerts."""
+    packets, anchor = _packet_stream(spark, sf, _damaged_packets(spark, sf))
+    out = fresh_path(spark, "stream-errors")
+    start_detection(
+        packets, WINDOW, DRIVER_DETECTION, fresh_path(spark, "stream-state"), table_sink(fresh_path(spark, "stream-alerts")),
+        anchor, on_errors=table_sink(out),
+    ).awaitTermination()
+    schema = "window_end_us bigint, flow_id string, error_message string, fusion_reason string"
+    return spark.read.schema(schema).parquet(out).select("window_end_us", "flow_id", "error_message", "fusion_reason")
+
+
 # --- models: their predictions have no SQL form, the rows and rules they must keep do ----
 
 _FLOOD_SPLIT = f"""

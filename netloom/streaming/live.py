@@ -25,6 +25,7 @@ from netloom.config import MICROS, DetectionConfig, WindowConfig
 from netloom.functions.columns import flow_id
 from netloom.operators import detectors as d
 from netloom.operators.alerts import live_alerts
+from netloom.operators.detectors.base import error_rows
 from netloom.operators.detectors.beacon import judge_beacon
 from netloom.operators.detectors.dns import judge_dns
 from netloom.operators.detectors.exfil import goes_outside, judge_exfil
@@ -32,6 +33,7 @@ from netloom.operators.detectors.tls import judge_tls
 from netloom.operators.flows import FLOW_COLUMNS
 from netloom.operators.fusion import fuse, gather
 from netloom.operators.prepare import FLOW_KEY, in_flow, scope_filter, with_flow_key
+from netloom.plans.detection import NEEDS
 from netloom.schema import DETECTORS, PACKET_SCHEMA
 
 
@@ -80,9 +82,14 @@ def stream_flows(
     rev = F.filter(p, lambda x: x["a_to_b"] != head["a_to_b"])
     rest = F.slice(p, 2, F.size(p))
 
-    def total(a):
-        return F.aggregate(a, F.lit(0).cast("bigint"), lambda acc, x: acc + x["length"])
+    def total(values):
+        """Sum of the known values; null where none is known."""
+        known = F.filter(values, lambda v: v.isNotNull())
+        return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0).cast("bigint"), lambda acc, v: acc + v))
 
+    bytes_all = total(F.transform(p, lambda x: x["length"]))
+    # A packet of the other direction adds nothing, as in batch.
+    bytes_ab = total(F.transform(p, lambda x: F.when(x["a_to_b"], x["length"]).otherwise(F.lit(0).cast("bigint"))))
     n, s, q = F.col("iat.n"), F.col("iat.s").cast("double"), F.col("iat.q")
     first_is_a = F.col("p")[0]["a_to_b"]
     ends = {
@@ -97,9 +104,8 @@ def stream_flows(
         head["seq"].alias("first_seq"),
         F.array_min(F.transform(p, lambda x: x["us"])).alias("first_seen_us"),
         F.array_max(F.transform(p, lambda x: x["us"])).alias("last_seen_us"),
-        F.size(p).cast("bigint").alias("packet_count"), total(p).alias("byte_count"),
+        F.size(p).cast("bigint").alias("packet_count"), bytes_all.alias("byte_count"), bytes_ab.alias("bytes_ab"), first_is_a.alias("first_is_a"),
         F.size(fwd).cast("bigint").alias("fwd_packet_count"), F.size(rev).cast("bigint").alias("rev_packet_count"),
-        total(fwd).alias("fwd_byte_count"), total(rev).alias("rev_byte_count"),
         F.aggregate(p, start, step).alias("iat"),
         F.exists(rest, lambda x: x["hello"]).alias("tls_client_hello"),
         F.exists(rest, lambda x: x["hello"] & x["sni"]).alias("tls_has_sni"),
@@ -108,6 +114,8 @@ def stream_flows(
         {
             "window_end_us": F.unix_micros("ts"),
             "window_start_us": F.unix_micros("ts") - window_us,
+            "fwd_byte_count": F.when(F.col("first_is_a"), F.col("bytes_ab")).otherwise(F.col("byte_count") - F.col("bytes_ab")),
+            "rev_byte_count": F.when(F.col("first_is_a"), F.col("byte_count") - F.col("bytes_ab")).otherwise(F.col("bytes_ab")),
             "iat_count": n,
             "iat_mean": F.when(n > 0, s / n / 1e6).otherwise(F.lit(0.0)),
             "iat_std": F.when(n > 1, F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0))) / 1e6),
@@ -163,6 +171,11 @@ def entropy_bits(text: str) -> float:
     return -sum((k := text.count(c) / size) * log2(k) for c in set(text)) if size else 0.0
 
 
+def _known(value) -> int:
+    """A byte count, 0 where it is missing; such a flow gets an error of its own."""
+    return 0 if pd.isna(value) else int(value)
+
+
 class Memory(StatefulProcessor):
     """Keeps what the detectors remember across windows, of one flow or of one host pair.
 
@@ -222,7 +235,7 @@ class Memory(StatefulProcessor):
         if last is not None and now - last > cfg.tls.idle_s * MICROS:
             windows = hello = sni = fwd = rev = 0
         windows, hello, sni = windows + 1, max(hello, int(r.tls_client_hello)), max(sni, int(r.tls_has_sni))
-        fwd, rev = max(fwd, int(r.fwd_byte_count)), max(rev, int(r.rev_byte_count))
+        fwd, rev = max(fwd, _known(r.fwd_byte_count)), max(rev, _known(r.rev_byte_count))
         ends = [e for e in ends if now - e <= cfg.beacon.history_s * MICROS] + [now]
         state[:] = now, windows, hello, sni, fwd, rev, ends
         return len(ends), now - ends[0], windows, hello, sni, fwd, rev
@@ -232,7 +245,7 @@ class Memory(StatefulProcessor):
         if pair[0] is not None and now - pair[0] > cfg.exfil.idle_s * MICROS:
             pair[1:4] = 0, 0, 0
         pair[0], pair[3] = now, pair[3] + 1
-        pair[1], pair[2] = max(pair[1], int(r.fwd_byte_count)), max(pair[2], int(r.rev_byte_count))
+        pair[1], pair[2] = max(pair[1], _known(r.fwd_byte_count)), max(pair[2], _known(r.rev_byte_count))
         if r.protocol == "UDP" and 53 in (r.src_port, r.dst_port):
             if pair[4] is not None and now - pair[4] > cfg.dns.idle_s * MICROS:
                 self.names.clear()
@@ -273,7 +286,7 @@ def with_history(flows: DataFrame, cfg: DetectionConfig) -> DataFrame:
 
 
 def judge(rows: DataFrame, cfg: DetectionConfig, scorer: Callable | None = None) -> DataFrame:
-    """Fused results of one micro-batch of closed windows."""
+    """Fused results of one micro-batch of closed windows, errors of detectors among them."""
     rows, pairs = rows.filter(F.col("kind") == FLOW), rows.filter(F.col("kind") == PAIR)
     tls = rows.filter((F.col("protocol") == "TCP") & (F.col("dst_port") == cfg.tls.port))
     dns, out = pairs.filter(_is_dns()), pairs.filter(goes_outside(cfg.exfil))
@@ -290,7 +303,7 @@ def judge(rows: DataFrame, cfg: DetectionConfig, scorer: Callable | None = None)
         d.detect_recon(rows.select(*FLOW_COLUMNS), cfg.recon),
         judge_exfil(out.withColumnsRenamed({"pair_fwd_max": "fwd_max", "pair_rev_max": "rev_max"}), cfg.exfil),
     ]
-    return fuse(None, gather(verdicts), cfg.fusion, DETECTORS)
+    return fuse(None, gather(verdicts, error_rows(rows.select(*FLOW_COLUMNS), NEEDS), DETECTORS), cfg.fusion, DETECTORS)
 
 
 def start_detection(
@@ -303,15 +316,22 @@ def start_detection(
     delay_s: float | None = None,
     scorer: Callable | None = None,
     trigger: dict | None = None,
+    on_errors: Callable[[DataFrame, int], None] | None = None,
 ):
-    """Start the query; ``sink(alerts, batch_id)`` gets each micro-batch's live alerts."""
+    """Start the query; ``sink(alerts, batch_id)`` gets each micro-batch's live alerts.
+
+    ``on_errors(results, batch_id)`` gets the results of flows that a detector could not judge.
+    """
     packets.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     rows = with_history(stream_flows(packets, window, anchor_us, delay_s), cfg)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            sink(live_alerts(judge(batch, cfg, scorer)), batch_id)
+            fused = judge(batch, cfg, scorer)
+            sink(live_alerts(fused), batch_id)
+            if on_errors is not None:
+                on_errors(fused.filter(F.col("status") == "error"), batch_id)
         finally:
             batch.unpersist()
 

@@ -40,6 +40,34 @@ def test_stream_equals_batch(spark, tmp_path):
     assert shown(streamed) == shown(batch)
 
 
+def test_stream_reports_flows_that_detectors_cannot_judge(spark, tmp_path):
+    """Missing and negative lengths: errors equal batch, alerts of the other flows go on."""
+    lengths = {"10.0.0.1": None, "10.0.0.2": -50, "10.0.0.3": 70}
+    rows = []
+    for i in range(90):
+        host = list(lengths)[i % 3]
+        src, dst = f"{host}:4000", "203.0.113.9:443"
+        if i % 5 == 4:
+            src, dst = dst, src
+        # One of many packets without a length leaves the flow's sum known.
+        rows.append(packet(i, 100 + i * 0.2, lengths[host] if i != 47 else None, src, dst, tls_is_client_hello=i % 7 == 0))
+    packets = frame(spark, rows).select(*[f.name for f in PACKET_SCHEMA.fields])
+    packets.coalesce(1).write.parquet(str(tmp_path / "in" / "a"))
+    window = WindowConfig(5, 1)
+    end_of_input(spark, rows[-1]["ts_us"], window, rows[0]["ts_us"]).coalesce(1).write.parquet(str(tmp_path / "in" / "end"))
+    query = start_detection(
+        stream_packets(spark, str(tmp_path / "in" / "*")), window, DRIVER_DETECTION, str(tmp_path / "state"),
+        table_sink(str(tmp_path / "out")), anchor_us=rows[0]["ts_us"], on_errors=table_sink(str(tmp_path / "errors")),
+    )
+    assert query.awaitTermination(400) and query.exception() is None
+    names = ["window_end_us", "flow_id", "error_message"]
+    fused = detect(packets, window, DRIVER_DETECTION).fused()
+    want = sorted(map(tuple, fused.filter("status = 'error'").select(*names).collect()))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "errors")).select(*names).collect())) == want
+    assert {w[2].split(" ")[2].rstrip(";") for w in want} == {"missing", "negative"}
+    assert shown(spark.read.parquet(str(tmp_path / "out"))) == shown(live_alerts(fused))
+
+
 def test_entropy_matches_column():
     assert entropy_bits("aabb") == 1.0 and entropy_bits("") == 0.0
 
