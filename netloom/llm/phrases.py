@@ -1,11 +1,11 @@
 """Phrase collocations from sorted streams of n-gram counts.
 
-1. *Count streams.* Texts are cut into pieces and words; words, pairs and triples are counted
-   per language in three passes (:func:`_ngrams`), combined inside tasks and then by one
-   shuffle each. A part of a phrase occurs at least as often as the phrase, so a pass skips
-   n-grams with a part below ``least``: a bitmap of the frequent parts, of at most
-   ``max_bits`` bits, lets all of them through and few others. It only saves work: counts
-   are made by the words themselves, and n-grams below ``least`` are dropped afterwards.
+1. *Count streams.* Texts are cut into pieces and words, which are counted per language.
+   A part of a phrase occurs at least as often as the phrase, so only n-grams of frequent
+   parts are looked at. Pairs, then triples, are first counted by 64-bit keys, which are a
+   quarter of the size of their words; those of frequent keys are then counted by the words
+   themselves, so no key decides a count. Tasks know what is frequent from bitmaps of at
+   most ``max_bits`` bits, which let everything frequent through and little else.
 2. *Two orders.* A stream holds its n-grams as words (``w1``, ``w2``, ``w3``). In prefix order
    (the first words lead) it is merge-joined with the stream of its prefixes, which gives
    the left counts; in suffix order with that of its suffixes, for the right counts. The
@@ -49,6 +49,8 @@ _KIND[[0x20, 0x09]] = 1
 _KIND[[ord(c) for c in SEPARATORS]] = 2
 #: A bitmap row of Spark's bitmap functions holds so many bits.
 _ROW_BITS = 32_768
+#: The second place of a key in a bitmap comes from its bits from here on.
+_SECOND = 32
 
 
 class Words:
@@ -94,46 +96,72 @@ def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _present(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & np.uint64(len(bitmap) * 8 - 1)
-    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    """Whether both places of each key are set."""
+    found = np.ones(len(keys), bool)
+    for part in (keys, keys >> np.uint64(_SECOND)):
+        at = part & np.uint64(len(bitmap) * 8 - 1)
+        found &= (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return found
+
+
+def _places(words: Words, known: np.ndarray, size: int, bitmaps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Where n-grams of ``size`` words start whose shorter parts are in ``bitmaps``, and their keys."""
+    n, at = words.number, np.flatnonzero(words.follows[size - 2])
+    alive = _present(bitmaps[0], known)
+    for k in range(size):
+        at = at[alive[n[at + k]]]
+    pair = lambda k: pair_keys(known[n[at + k]], known[n[at + k + 1]])
+    if size == 2:
+        return at, pair(0)
+    for k in range(2):
+        at = at[_present(bitmaps[1], pair(k))]
+    return at, pair_keys(pair(0), known[n[at + 2]])
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for words in _slices_of_words(batch):
+            counts = np.bincount(words.number, minlength=len(words.word))
+            yield pa.RecordBatch.from_arrays([words.lang, words.word, pa.array(counts)], names=["lang", "w1", "c"])
+
+
+def _key_counts(size: int, bitmaps_in):
+    """(k, c): how often each key of an n-gram occurs in a slice."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in _slices_of_words(batch):
+                key, count = np.unique(_places(words, words.keys(), size, bitmaps_in.value)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count.astype(np.int32))], names=["k", "c"])
+
+    return run
 
-def _ngrams(size: int, bitmaps_in):
-    """(lang, w1.., c) of the n-grams of each slice whose parts are in the bitmaps."""
-    names = ["lang", *(f"w{k + 1}" for k in range(size)), "c"]
+
+def _phrase_counts(bitmaps_in):
+    """(lang, w1, w2, w3, c) of the pairs (a null ``w3``) and triples of a slice that are in the bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmaps = bitmaps_in.value
         for batch in batches:
-            for texts, langs in _parts(batch):
-                words = Words(texts, langs)
-                n, total = words.number, len(words.word)
-                if not total:
-                    continue
-                if size == 1:
-                    cells, counts = [np.arange(total)], np.bincount(n, minlength=total)
-                else:
-                    at = np.flatnonzero(words.follows[size - 2])
-                    known = words.keys()
-                    alive = _present(bitmaps[0], known)
-                    for k in range(size):
-                        at = at[alive[n[at + k]]]
-                    if size == 3:
-                        for k in range(2):
-                            at = at[_present(bitmaps[1], pair_keys(known[n[at + k]], known[n[at + k + 1]]))]
-                    key = n[at].astype(np.uint64)
+            for words in _slices_of_words(batch):
+                known, total = words.keys(), np.uint64(len(words.word))
+                for size in (2, 3):
+                    at, key = _places(words, known, size, bitmaps)
+                    at = at[_present(bitmaps[size - 1], key)]
+                    # Three numbers of words of one slice fit 64 bits.
+                    whole = words.number[at].astype(np.uint64)
                     for k in range(1, size):
-                        key = key * np.uint64(total) + n[at + k].astype(np.uint64)
-                    key, counts = np.unique(key, return_counts=True)
+                        whole = whole * total + words.number[at + k].astype(np.uint64)
+                    whole, count = np.unique(whole, return_counts=True)
                     cells = []
                     for _ in range(size):
-                        cells.insert(0, (key % np.uint64(total)).astype(np.int64))
-                        key //= np.uint64(total)
-                where = [pa.array(c) for c in cells]
-                yield pa.RecordBatch.from_arrays(
-                    [words.lang.take(where[0]), *(words.word.take(w) for w in where), pa.array(counts.astype(np.int64))],
-                    names=names,
-                )
+                        cells.insert(0, pa.array((whole % total).astype(np.int64)))
+                        whole //= total
+                    texts = [words.word.take(c) for c in cells]
+                    texts += [pa.nulls(len(count), pa.string())] * (3 - size)
+                    yield pa.RecordBatch.from_arrays(
+                        [words.lang.take(cells[0]), *texts, pa.array(count)], names=["lang", "w1", "w2", "w3", "c"]
+                    )
 
     return run
 
@@ -142,6 +170,13 @@ def _ngrams(size: int, bitmaps_in):
 SLICE_BYTES = 2 << 20
 
 
+def _slices_of_words(batch: pa.RecordBatch) -> Iterator[Words]:
+    for texts, langs in _parts(batch):
+        words = Words(texts, langs)
+        if len(words.word):
+            yield words
+
+
 def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str]]]:
     for part in slices(batch, "body", SLICE_BYTES):
         langs = part.column("lang").to_pylist()
@@ -153,33 +188,27 @@ def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str]]]:
                 yield pa.array([piece], pa.string()), [lang]
 
 
-def _bit_places(size: int, bits: int):
-    """Places in the bitmap of rows (lang, w1..)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.column("lang").unique().to_pylist()
-            lang = pc.index_in(batch.column("lang"), pa.array(names, pa.string())).to_numpy()
-            keys = []
-            for k in range(size):
-                data, offsets = text_buffer(batch.column(f"w{k + 1}"))
-                keys.append(word_keys(data, offsets[:-1], offsets[1:], names, lang))
-            key = keys[0] if size == 1 else pair_keys(*keys)
-            yield pa.RecordBatch.from_arrays([pa.array((key & np.uint64(bits - 1)).astype(np.int64))], names=["bit"])
-
-    return run
+def _word_key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of rows (lang, w1)."""
+    for batch in batches:
+        names = batch.column("lang").unique().to_pylist()
+        lang = pc.index_in(batch.column("lang"), pa.array(names, pa.string())).to_numpy()
+        data, offsets = text_buffer(batch.column("w1"))
+        keys = word_keys(data, offsets[:-1], offsets[1:], names, lang)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["k"])
 
 
-def _bitmap(frequent: DataFrame, size: int, max_bits: int) -> np.ndarray:
-    """Bits of the frequent n-grams: eight to sixteen for each, ``max_bits`` at most."""
+def _bitmap(keys: DataFrame, max_bits: int) -> np.ndarray:
+    """Two bits for each ``k``, in eight to sixteen for each, ``max_bits`` at most."""
     bits = _ROW_BITS
-    while bits < min(max_bits, 8 * frequent.count()):
+    while bits < min(max_bits, 8 * keys.count()):
         bits *= 2
     # Spark counts bits from 1, in rows of _ROW_BITS.
+    place = lambda key: key.bitwiseAND(bits - 1) + 1
+    bit = keys.select(F.explode(F.array(place(F.col("k")), place(F.shiftrightunsigned("k", _SECOND)))).alias("bit"))
     rows = (
-        frequent.mapInArrow(_bit_places(size, bits), "bit bigint")
-        .groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("row"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("cell"))
+        bit.groupBy(F.bitmap_bucket_number("bit").alias("row"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("cell"))
         .collect()  # bits / 8 bytes
     )
     out = np.zeros((bits // _ROW_BITS, _ROW_BITS // 8), np.uint8)
@@ -188,14 +217,6 @@ def _bitmap(frequent: DataFrame, size: int, max_bits: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _counts(texts: DataFrame, size: int, least: int, bitmaps: list[np.ndarray]) -> DataFrame:
-    """(lang, w1.., f) of the n-grams that occur ``least`` times or more."""
-    keys = ["lang", *(f"w{k + 1}" for k in range(size))]
-    sent = texts.sparkSession.sparkContext.broadcast(bitmaps)
-    found = texts.mapInArrow(_ngrams(size, sent), ", ".join(f"{k} string" for k in keys) + ", c bigint")
-    return found.groupBy(*keys).agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
-
-
 def _merged(stream: DataFrame, keys: list[str], parts: DataFrame, name: str) -> DataFrame:
     """``stream``, in the order of ``keys``, with the counts of the parts that these words are."""
     return stream.join(parts.toDF("lang", *keys, name).hint("merge"), ["lang", *keys])
@@ -213,7 +234,7 @@ def collocations(
 ) -> DataFrame:
     """``lang``, ``rank``, ``phrase``, ``a``, ``l``, ``r``, ``n``, ``score`` of each language's best phrases.
 
-    ``max_bits`` (a power of two) bounds each of the two bitmaps that go to all tasks (32 MB at 1 << 28).
+    ``max_bits`` (a power of two) bounds each of the three bitmaps that go to all tasks (32 MB at 1 << 28).
     """
     if least < 1 or max_bits < _ROW_BITS:
         raise ValueError(f"least must be at least 1, max_bits at least {_ROW_BITS}")
@@ -222,12 +243,20 @@ def collocations(
         F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"),
     )
-    every = materialize(_counts(texts, 1, 1, []), "words")
+    send = docs.sparkSession.sparkContext.broadcast
+    every = materialize(
+        texts.mapInArrow(_word_counts, "lang string, w1 string, c bigint").groupBy("lang", "w1").agg(F.sum("c").alias("f")), "words"
+    )
     totals = every.groupBy("lang").agg(F.sum("f").alias("n"))
     words = materialize(every.filter(F.col("f") >= least), "frequent-words")
-    of_words = _bitmap(words, 1, max_bits)
-    pairs = materialize(_counts(texts, 2, least, [of_words]), "pairs")
-    triples = materialize(_counts(texts, 3, least, [of_words, _bitmap(pairs, 2, max_bits)]), "triples")
+    bitmaps = [_bitmap(materialize(words.mapInArrow(_word_key_rows, "k bigint"), "frequent-keys"), max_bits)]
+    for size in (2, 3):
+        keys = texts.mapInArrow(_key_counts(size, send(list(bitmaps))), "k bigint, c int").groupBy("k").agg(F.sum("c").alias("f"))
+        bitmaps.append(_bitmap(materialize(keys.filter(F.col("f") >= least).select("k"), "frequent-keys"), max_bits))
+    counted = texts.mapInArrow(_phrase_counts(send(bitmaps)), "lang string, w1 string, w2 string, w3 string, c bigint")
+    found = counted.groupBy("lang", "w1", "w2", "w3").agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
+    found = materialize(found, "phrase-counts")
+    pairs, triples = found.filter("w3 IS NULL").drop("w3"), found.filter("w3 IS NOT NULL")
 
     inside = F.col("f") * 100 >= F.col("a") * contained_percent
     longer = triples.groupBy("lang", "w1", "w2").agg(F.max("f").alias("f")).union(
@@ -262,7 +291,8 @@ WITH docs AS (
   SELECT coalesce(lang, 'und') AS lang,
          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?
--]')) AS p FROM docs),
+-
+]')) AS p FROM docs),
 words AS (SELECT lang, list_filter(regexp_split_to_array(p, '[ 	]+'), lambda x: x <> '') AS w FROM pieces),
 places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
 f1 AS (SELECT lang, w[i] AS w1, count(*) AS f FROM places GROUP BY ALL),
