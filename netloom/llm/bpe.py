@@ -2,12 +2,16 @@
 
 1. *Pre-tokens.* Each text is cut at the boundaries of the tokenizer's pattern, found over
    whole batches of code points with array operations (:func:`word_starts`).
-2. *Explode.* Texts are dealt into blocks of about ``block_bytes``. A block gives one row for
-   each of its distinct words, and one for each text with the word numbers by position;
-   both are written once to the shared folder. Within a block words are numbered by content
-   (:func:`~netloom.llm.common.distinct_spans`), so no fingerprint decides.
-3. *Distinct words.* One shuffle makes the words distinct over the corpus; each is merged by
-   rank once, and a join by the word itself brings the ids back to the blocks' words.
+2. *Explode.* Texts are dealt into blocks of about ``block_bytes``. A block gives the word
+   numbers of its texts by position, and its distinct words, dealt by hash of the word into
+   parts; both are packed (zstd) and shuffled once by block. Within a block words are numbered
+   by content (:func:`~netloom.llm.common.distinct_spans`), no fingerprint decides. If an
+   executor is lost, its blocks are made again from the same rows; should the input give other
+   rows then, the stamps of a block differ and the job stops instead of mixing them.
+3. *Distinct words.* One shuffle brings each part's words together from all blocks, so every
+   distinct word of the corpus meets one task, which merges it by rank once and sends the ids
+   back to each block that holds it (:func:`_encode_parts`). The number of parts follows the
+   size of the texts, so a part's table stays small.
 4. *Reassemble.* A cogroup by block puts ids at their positions. No table of words goes to
    the driver or to all tasks, at any size.
 5. *Decoding* joins ids to the token-byte table (fixed by the vocabulary) and concatenates.
@@ -22,17 +26,23 @@ from __future__ import annotations
 
 import base64
 import heapq
+import zlib
+from array import array
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import BATCH_BYTES, bounded_batches, distinct_spans, materialize, slices, text_pieces, with_fields
+from netloom.llm.common import BATCH_BYTES, bounded_batches, distinct_spans, slices, text_pieces, with_fields
 
 OTHER, LETTER, NUMBER, SPACE, EDGE = range(5)
+#: Pre-tokens that are put at their positions at a time.
+STRETCH = 1 << 18
 #: Stands between two texts; not a code point.
 _EDGE_CODE = 0x110000
 #: Fixed values of the pattern: an apostrophe and these letters are a word of their own.
@@ -173,46 +183,106 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
-def _explode(id_col: str, block_bytes: int):
-    """One row for each distinct word of a block, and one for each text with its word numbers."""
+def pack_cells(cells: np.ndarray) -> bytes:
+    """Small whole numbers, their bytes sorted by significance and compressed; the size leads."""
+    planes = np.ascontiguousarray(cells.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(cells).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpack_cells(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    planes = pa.decompress(packed[8:], 4 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view("<u4").reshape(-1)
+
+
+def pack_words(words: list[bytes]) -> tuple[bytes, bytes]:
+    """Lengths and bytes of words, both packed."""
+    joined = b"".join(words)
+    packed = len(joined).to_bytes(8, "little") + pa.compress(joined, codec="zstd", asbytes=True)
+    return pack_cells(np.fromiter(map(len, words), np.uint32, len(words))), packed
+
+
+def unpack_words(lengths: bytes, packed: bytes) -> list[bytes]:
+    stop = np.cumsum(unpack_cells(lengths).astype(np.int64)).tolist()
+    joined = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+    return [joined[a:b] for a, b in zip([0, *stop], stop)]
+
+
+#: A row of the exploded table is a block's texts (a null part) or its words of one part.
+_EXPLODED = "block bigint, part int, {ids} array<{kind}>, stamp binary, counts binary, cells binary, lengths binary, words binary"
+
+
+def _explode(id_col: str, block_bytes: int, parts: int):
     from pyspark import TaskContext
 
-    def rows_of(words: list[str], block: int, kind: pa.DataType) -> pa.RecordBatch:
-        n = len(words)
-        empty = [pa.nulls(n, kind), pa.nulls(n, pa.binary()), pa.array(words, pa.string())]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), *empty],
-            names=["block", "place", id_col, "numbers", "word"],
-        )
+    names = ["block", "part", id_col, "stamp", "counts", "cells", "lengths", "words"]
+
+    def rows_of(number: int, block: Block, ids: list, numbers: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        flat = np.concatenate(numbers)
+        # Frequent words get small numbers, which pack well.
+        order = np.argsort(-np.bincount(flat, minlength=len(block.words)), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        words = [w.encode() for w in block.words]
+        words = [words[k] for k in order.tolist()]
+        ids = pa.concat_arrays(ids)
+        whole = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+        counts = np.fromiter(map(len, numbers), np.uint32, len(numbers))
+        stamp = blake2b(b"\0".join(words), digest_size=8).digest()
+        packed = [stamp, pack_cells(counts), pack_cells(rank[flat]), None, None]
+        head = [pa.array([number]), pa.array([None], pa.int32()), whole]
+        yield pa.RecordBatch.from_arrays([*head, *(pa.array([c], pa.binary()) for c in packed)], names=names)
+        part = np.fromiter((zlib.crc32(w) % parts for w in words), np.int64, len(words))
+        by_part = np.argsort(part, kind="stable")
+        for own in np.split(by_part, np.flatnonzero(np.diff(part[by_part])) + 1) if len(words) else []:
+            packed = [stamp, None, pack_cells(own), *pack_words([words[k] for k in own.tolist()])]
+            head = [pa.array([number]), pa.array([int(part[own[0]])], pa.int32()), pa.nulls(1, whole.type)]
+            yield pa.RecordBatch.from_arrays([*head, *(pa.array([c], pa.binary()) for c in packed)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, block, kind, place = TaskContext.get().partitionId() << 32, Block(), None, 0
+        number, block, ids, numbers = TaskContext.get().partitionId() << 32, Block(), [], []
         for batch in batches:
             for part in slices(batch, "body"):
-                kind = part.column(id_col).type
-                cells = [c.tobytes() for c in block.add(part.column("body").to_pylist())]
-                n = part.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, number)), pa.array(np.arange(place, place + n, dtype=np.int32)),
-                     part.column(id_col), pa.array(cells, pa.binary()), pa.nulls(n, pa.string())],
-                    names=["block", "place", id_col, "numbers", "word"],
-                )
-                place += n
+                ids.append(part.column(id_col))
+                numbers += block.add(part.column("body").to_pylist())
                 if block.size >= block_bytes:
-                    yield rows_of(list(block.words), number, kind)
-                    number, block, place = number + 1, Block(), 0
-        if block.words:
-            yield rows_of(list(block.words), number, kind)
+                    yield from rows_of(number, block, ids, numbers)
+                    number, block, ids, numbers = number + 1, Block(), [], []
+        if numbers:
+            yield from rows_of(number, block, ids, numbers)
 
     return run
 
 
-def _merge_words(ranks_in):
+def _words_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["block", "part", "stamp", "cells", "lengths", "words"]
+    for batch in batches:
+        yield batch.filter(pc.is_valid(batch.column("part"))).select(names)
+
+
+def _encode_parts(ranks_in):
+    """Ids of the words of each row; rows come sorted by part, and a word of a part is merged once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = ranks_in.value
+        ranks, known, current = ranks_in.value, {}, None
         for batch in batches:
-            ids = [np.array(merge(w.encode(), ranks), np.uint32).tobytes() for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.binary())], names=["word", "code"])
+            out = []
+            for row in batch.to_pylist():
+                if row["part"] != current:
+                    known, current = {}, row["part"]
+                codes = []
+                for word in unpack_words(row["lengths"], row["words"]):
+                    code = known.get(word)
+                    if code is None:
+                        code = known[word] = array("I", merge(word, ranks)).tobytes()
+                    codes.append(code)
+                sizes = np.fromiter((len(c) // 4 for c in codes), np.uint32, len(codes))
+                out.append((row["block"], row["stamp"], row["cells"], pack_cells(sizes), pack_cells(np.frombuffer(b"".join(codes), np.uint32))))
+            columns = list(zip(*out)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])],
+                names=["of_block", "stamp", "cells", "sizes", "ids"],
+            )
 
     return run
 
@@ -221,19 +291,36 @@ def _reassemble(id_col: str):
     """Ids of each text of a block: those of its words, by position."""
 
     def run(key, texts: pa.Table, words: pa.Table) -> pa.Table:
-        order = np.argsort(words.column("place").to_numpy())
-        codes = words.column("code").to_pylist()
-        lengths = np.fromiter((len(codes[i]) // 4 for i in order), np.int64, len(order))
-        begin = np.cumsum(lengths) - lengths
-        ids = np.frombuffer(b"".join([codes[i] for i in order]), np.uint32).astype(np.int32)
-        found = []
-        for cell in texts.column("numbers").to_pylist():
-            number = np.frombuffer(cell, np.uint32)
-            size = lengths[number]
-            stop = np.cumsum(size)
-            at = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(begin[number] - (stop - size), size)
-            found.append(ids[at])
-        return pa.table({id_col: texts.column(id_col), "ids": pa.array(found, pa.list_(pa.int32()))})
+        places, sizes, codes = (
+            [unpack_cells(c) for c in words.column(n).to_pylist()] for n in ("cells", "sizes", "ids")
+        )
+        flat = np.concatenate([np.zeros(0, np.uint32), *codes]).astype(np.int32)
+        size = np.concatenate([np.zeros(0, np.uint32), *sizes]).astype(np.int64)
+        # Words stand in the order of their parts: begin and length by word number.
+        order = np.concatenate([np.zeros(0, np.uint32), *places]).astype(np.int64)
+        begin, length = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        begin[order], length[order] = np.cumsum(size) - size, size
+        texts = texts.filter(pc.is_null(texts.column("part")))
+        row = texts.select(["stamp", "counts", "cells"]).to_pylist()[0]
+        if any(stamp != row["stamp"] for stamp in words.column("stamp").to_pylist()):
+            raise RuntimeError("a block was made twice from different rows: the input gives other rows when it is read again")
+        number = unpack_cells(row["cells"])
+        edges = np.concatenate([[0], np.cumsum(unpack_cells(row["counts"]).astype(np.int64))])
+        found, stops = [], [np.zeros(1, np.int64)]
+        for k in range(0, len(number), STRETCH):
+            some = number[k : k + STRETCH]
+            long = length[some]
+            stop = np.cumsum(long)
+            at = np.arange(int(stop[-1])) + np.repeat(begin[some] - (stop - long), long)
+            found.append(flat[at])
+            stops.append(stop + stops[-1][-1])
+        ends = np.concatenate(stops)[edges]
+        ids = texts.column(id_col).combine_chunks()
+        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+        return pa.table({
+            id_col: ids.flatten(),
+            "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([flat[:0], *found]), pa.int32())),
+        })
 
     return run
 
@@ -243,25 +330,27 @@ def encode(
     ranks_path: str,
     id_col: str = "doc_id",
     text_col: str = "text",
-    block_bytes: int = 4 << 20,
+    block_bytes: int = 16 << 20,
+    part_bytes: int = 8 << 20,
 ) -> DataFrame:
-    """``id_col`` and ``ids`` (array of int) of each row's whole text."""
+    """``id_col`` and ``ids`` (array of int) of each row's whole text.
+
+    ``part_bytes``: texts of this size give one part of the distinct words.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
-    kind = rows.schema[id_col].dataType.simpleString()
-    exploded = materialize(
-        rows.mapInArrow(
-            _explode(id_col, block_bytes), f"block bigint, place int, `{id_col}` {kind}, numbers binary, word string"
-        ),
-        "exploded-words",
+    parts = max(16, (rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0) // part_bytes)
+    schema = _EXPLODED.format(ids=f"`{id_col}`", kind=rows.schema[id_col].dataType.simpleString())
+    # One shuffle by block carries both kinds of rows, and both readers share it. They pick
+    # their rows themselves: a filter would be pushed below the shuffle and part it in two.
+    exploded = rows.mapInArrow(_explode(id_col, block_bytes, parts), schema).repartition("block")
+    words = exploded.mapInArrow(_words_only, "block bigint, part int, stamp binary, cells binary, lengths binary, words binary")
+    coded = words.repartition("part").sortWithinPartitions("part").mapInArrow(
+        _encode_parts(ranks), "of_block bigint, stamp binary, cells binary, sizes binary, ids binary"
     )
-    own = exploded.filter("word IS NOT NULL").select("block", "place", "word")
-    coded = materialize(own.select("word").distinct().mapInArrow(_merge_words(ranks), "word string, code binary"), "word-ids")
-    joined = own.join(coded.hint("merge"), "word").select(F.col("block").alias("of_block"), "place", "code")
-    texts = exploded.filter("word IS NULL").select("block", id_col, "numbers")
-    return texts.groupBy("block").cogroup(joined.groupBy("of_block")).applyInArrow(
+    return exploded.groupBy("block").cogroup(coded.groupBy("of_block")).applyInArrow(
         _reassemble(id_col), with_fields(rows, [id_col], "ids array<int>")
     )
 
