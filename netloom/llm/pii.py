@@ -5,7 +5,7 @@
 *Model.* Characters are embedded and read by a bidirectional LSTM; a linear-chain CRF over
 begin/inside labels of the four kinds scores label sequences. It is trained here, in numpy,
 on labelled windows: base spans of a bounded sample of windows (the ``max_fit_windows`` of
-smallest hash), half of them rewritten into forms that the patterns do not know (a phone
+smallest hash), each also rewritten, several times, into forms that the patterns do not know (a phone
 without a plus sign, spelt-out at signs, bracketed dots, other card separators), and digit
 strings that are no personal data.
 
@@ -292,8 +292,8 @@ def _noise(rng) -> str:
     ][n(9)]
 
 
-def training_windows(rows: list[str], seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and labels of windows: as they are, rewritten, and with noise."""
+def training_windows(rows: list[str], seed: int = 3, variants: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols and labels of windows: as they are, rewritten in ``variants`` ways and places, and with noise."""
     rng = np.random.default_rng(seed)
     texts, labels = [], []
 
@@ -305,7 +305,7 @@ def training_windows(rows: list[str], seed: int = 3) -> tuple[np.ndarray, np.nda
         spans = [s for s in base_spans(text)]
         clear = [s for i, s in enumerate(spans) if all(s[1] <= o[0] or o[1] <= s[0] for j, o in enumerate(spans) if j != i)]
         add(text, clear)
-        if clear:
+        for _ in range(variants if clear else 0):
             out, made, at = "", [], 0
             for a, b, kind in clear:
                 new = rewritten(kind, text[a:b], rng)
@@ -313,7 +313,9 @@ def training_windows(rows: list[str], seed: int = 3) -> tuple[np.ndarray, np.nda
                 made.append((len(out), len(out) + len(new), kind))
                 out += new
                 at = b
-            add(out + text[at:], made)
+            # Cut off some of what stands before, so that spans occur at every place of a window.
+            cut = min(int(rng.integers(0, 40)), made[0][0])
+            add((out + text[at:])[cut:], [(a - cut, b - cut, kind) for a, b, kind in made])
         place = int(rng.integers(0, 32))
         plain = re.sub(r"[0-9@+]+", "", text) or " "
         noise = _noise(rng)
@@ -368,7 +370,7 @@ def added_spans(text: str, starts: list[int], chances: np.ndarray, base, min_con
     return out
 
 
-def train(docs: DataFrame, max_fit_windows: int = 4000, steps: int = 300, text_col: str = "text") -> dict | None:
+def train(docs: DataFrame, max_fit_windows: int = 4000, steps: int = 700, text_col: str = "text") -> dict | None:
     """Parameters fitted on the windows of smallest hash, a third of them at most without base spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,7 +398,7 @@ def train(docs: DataFrame, max_fit_windows: int = 4000, steps: int = 300, text_c
     return tagger.p
 
 
-def find(docs: DataFrame, params: dict | None, min_confidence: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, params: dict | None, min_confidence: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``base`` and ``spans`` (array of start, end, kind) of each row."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
