@@ -171,15 +171,20 @@ exfil AS (
   FROM xh WHERE regexp_matches(src_ip, '^(10\\.|192\\.168\\.|172\\.)') AND NOT regexp_matches(dst_ip, '^(10\\.|192\\.168\\.|172\\.)')
     AND fwd >= 400 AND fwd / greatest(rev, 1) >= 2 AND n >= 2)"""
 
-# The fold over verdicts is unrolled: six steps, each comparing one more detector.
-_VERDICTS = """
+# The fold over verdicts is unrolled: a step for each detector, comparing one more.
+PRIORITIES = {"DDOS": 100, "C2": 70, "DNS": 60, "TLS": 50, "RECON": 80, "EXFIL": 90}
+
+
+def _verdicts(priorities: dict[str, int], extra: str) -> str:
+    p = priorities
+    return f"""
 vd AS (
-  SELECT window_end_us, flow_id, 1 AS pos, 'DDoSDetector' AS det, 'DDoS' AS threat, 100 AS prio, confidence AS conf, CAST(NULL AS DOUBLE) AS sc FROM ddos
-  UNION ALL SELECT window_end_us, flow_id, 2, 'C2BeaconingDetector', 'C2_BEACONING', 70, confidence, NULL FROM c2
-  UNION ALL SELECT window_end_us, flow_id, 3, 'DNSTunnelDetector', 'DNS_DGA_TUNNEL', 60, NULL, score FROM dns WHERE status = 'DETECTED'
-  UNION ALL SELECT window_end_us, flow_id, 4, 'EncryptedMalwareDetector', 'ENCRYPTED_MALWARE', 50, confidence, NULL FROM tls
-  UNION ALL SELECT window_end_us, flow_id, 5, 'ReconnaissanceDetector', 'RECONNAISSANCE', 80, NULL, score FROM recon
-  UNION ALL SELECT window_end_us, flow_id, 6, 'ExfiltrationDetector', 'DATA_EXFILTRATION', 90, confidence, NULL FROM exfil),
+  SELECT window_end_us, flow_id, 1 AS pos, 'DDoSDetector' AS det, 'DDoS' AS threat, {p["DDOS"]} AS prio, confidence AS conf, CAST(NULL AS DOUBLE) AS sc FROM ddos
+  UNION ALL SELECT window_end_us, flow_id, 2, 'C2BeaconingDetector', 'C2_BEACONING', {p["C2"]}, confidence, NULL FROM c2
+  UNION ALL SELECT window_end_us, flow_id, 3, 'DNSTunnelDetector', 'DNS_DGA_TUNNEL', {p["DNS"]}, NULL, score FROM dns WHERE status = 'DETECTED'
+  UNION ALL SELECT window_end_us, flow_id, 4, 'EncryptedMalwareDetector', 'ENCRYPTED_MALWARE', {p["TLS"]}, confidence, NULL FROM tls
+  UNION ALL SELECT window_end_us, flow_id, 5, 'ReconnaissanceDetector', 'RECONNAISSANCE', {p["RECON"]}, NULL, score FROM recon
+  UNION ALL SELECT window_end_us, flow_id, 6, 'ExfiltrationDetector', 'DATA_EXFILTRATION', {p["EXFIL"]}, confidence, NULL FROM exfil{extra}),
 vn AS (SELECT *, coalesce(nullif(conf, 0), nullif(sc, 0), 0) AS val, row_number() OVER (PARTITION BY window_end_us, flow_id ORDER BY pos) AS i,
          count(*) OVER (PARTITION BY window_end_us, flow_id) AS cnt FROM vd),
 s1 AS (SELECT window_end_us, flow_id, det, threat, prio, conf, sc, val, cnt,
@@ -198,16 +203,20 @@ def _step(n: int) -> str:
   FROM {prev} LEFT JOIN vn v ON v.window_end_us = {prev}.window_end_us AND v.flow_id = {prev}.flow_id AND v.i = {n})"""
 
 
-FUSED = ",".join([_VERDICTS, *[_step(n) for n in range(2, 7)]]) + """,
+def fused(priorities: dict[str, int] = PRIORITIES, extra: str = "", detectors: int = 6) -> str:
+    """Results of all flow windows; ``extra`` adds verdicts of detectors after the sixth."""
+    end = f"s{detectors}"
+    return ",".join([_verdicts(priorities, extra), *[_step(n) for n in range(2, detectors + 1)]]) + f""",
 fu AS MATERIALIZED (
-  SELECT fl.window_end_us, fl.flow_id, CASE WHEN s6.det IS NULL THEN 'BENIGN' ELSE 'DETECTED' END AS status,
-    coalesce(threat, 'BENIGN') AS threat_type, CASE WHEN s6.det IS NULL THEN NULL ELSE 'HIGH' END AS severity,
-    CASE WHEN s6.det IS NULL THEN 1.0 ELSE conf END AS confidence, sc AS score, coalesce(det, 'FusionEngine') AS detector_name,
+  SELECT fl.window_end_us, fl.flow_id, CASE WHEN {end}.det IS NULL THEN 'BENIGN' ELSE 'DETECTED' END AS status,
+    coalesce(threat, 'BENIGN') AS threat_type, CASE WHEN {end}.det IS NULL THEN NULL ELSE 'HIGH' END AS severity,
+    CASE WHEN {end}.det IS NULL THEN 1.0 ELSE conf END AS confidence, sc AS score, coalesce(det, 'FusionEngine') AS detector_name,
     coalesce(reason, 'No detector fired') AS fusion_reason, coalesce(cnt, 0) AS detectors_fired
-  FROM fl LEFT JOIN s6 ON s6.window_end_us = fl.window_end_us AND s6.flow_id = fl.flow_id),
+  FROM fl LEFT JOIN {end} ON {end}.window_end_us = fl.window_end_us AND {end}.flow_id = fl.flow_id),
 al AS (SELECT window_end_us AS "timestamp", flow_id, threat_type AS threat_class, coalesce(confidence, score, 0) AS confidence, severity
        FROM fu WHERE status = 'DETECTED')"""
 
+
 ALL_DETECTORS = ",".join([DDOS, BEACON, DNS, TLS, RECON, EXFIL])
 
 
@@ -220,5 +229,5 @@ def over_flows(select: str, *parts: str, window: int = W, slide: int = S) -> str
     return over(select, flows(window, slide), *parts)
 
 
-def over_fused(select: str) -> str:
-    return over_flows(select, ALL_DETECTORS, FUSED)
+def over_fused(select: str, **settings) -> str:
+    return over_flows(select, ALL_DETECTORS, fused(**settings))

@@ -7,12 +7,13 @@ detector; the rules are the same.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.config import (
-    BeaconConfig, DdosConfig, DetectionConfig, DnsConfig, ExfilConfig, ReconConfig, TlsConfig, WindowConfig,
+    BeaconConfig, DdosConfig, DetectionConfig, DnsConfig, ExfilConfig, FusionConfig, ReconConfig, TlsConfig, WindowConfig,
 )
 from netloom.functions.columns import char_entropy
 from netloom.ml.nodes import forest_nodes, predict_by_nodes
@@ -28,6 +29,7 @@ from netloom.operators import metrics as mt
 from netloom.operators import scaling as sc
 from netloom.operators import splits as sp
 from netloom.operators import stats as st
+from netloom.operators.detectors.base import evidence, verdict, verdict_rows
 from netloom.operators.grid import drop_late, grid_segments, on_grid, window_ends
 from netloom.operators.prepare import (
     flow_eligible, packet_range, replay, scope_filter, validate_packets, with_flow_key, with_packet_flow_id,
@@ -528,6 +530,33 @@ def run_counters(spark, sf):
     return st.run_counters(_detect_damaged(spark, sf).fused())
 
 
+# Changed ranks of threats, and a detector of our own after the six.
+_RANKS = {"DDOS": 10, "C2": 75, "DNS": 60, "TLS": 50, "RECON": 200, "EXFIL": 90}
+_CHATTY_RANK = 95
+
+
+@query("custom_detection", o.over_fused("""
+SELECT window_end_us, flow_id, status, threat_type, detector_name, round(confidence, 6) AS confidence, round(score, 6) AS score, fusion_reason
+FROM fu""", priorities=_RANKS, detectors=7, extra=f"""
+  UNION ALL SELECT window_end_us, flow_id, 7, 'ChattyDetector', 'CHATTY', {_CHATTY_RANK}, least(1.0, packet_count / 9.0), NULL FROM fl WHERE packet_count >= 4"""))
+def custom_detection(spark, sf):
+    """All results with a custom detector registered and other threat priorities."""
+
+    def chatty(flows: DataFrame) -> DataFrame:
+        rows = flows.filter(F.col("packet_count") >= 4)
+        sure = F.least(F.lit(1.0), F.col("packet_count") / 9.0)
+        seen = evidence(packet_count=F.col("packet_count"))
+        return verdict_rows(rows, verdict("ChattyDetector", "DETECTED", "CHATTY", "HIGH", confidence=sure, evidence=seen))
+
+    names = {"DDOS": "DDoS", "C2": "C2_BEACONING", "DNS": "DNS_DGA_TUNNEL", "TLS": "ENCRYPTED_MALWARE", "RECON": "RECONNAISSANCE", "EXFIL": "DATA_EXFILTRATION"}
+    ranks = {names[k]: v for k, v in _RANKS.items()} | {"CHATTY": _CHATTY_RANK}
+    cfg = replace(DRIVER_DETECTION, fusion=FusionConfig(threat_priority=ranks))
+    found = detect(ingested_packets(spark, sf), WINDOW, cfg, custom={"ChattyDetector": chatty}).fused()
+    return found.select(
+        "window_end_us", "flow_id", "status", "threat_type", "detector_name", r6("confidence"), r6("score"), "fusion_reason"
+    )
+
+
 @query("errors_fused", o.over_fused(f"""
 SELECT window_end_us, flow_id, CASE WHEN bad IS NULL THEN status ELSE 'error' END AS status, CASE WHEN bad IS NULL THEN threat_type END AS threat_type,
   CASE WHEN bad IS NULL THEN round(confidence, 6) END AS confidence, concat_ws('; ', bad, bad, bad, bad) AS error_message,
