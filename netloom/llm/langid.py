@@ -18,7 +18,8 @@ context, context and byte give the costs under all languages.
 Defined cases: text that is null or has no letter is ``und`` with score 0; texts or
 languages that are null do not train; ties go to the language first in alphabet; with no
 training text every text is ``und``; repeated rows count each; an empty table gives an empty
-result. Other columns do not matter.
+result. A very long text is scored whole by one task, in about forty times its size of memory.
+Other columns do not matter.
 """
 
 from __future__ import annotations

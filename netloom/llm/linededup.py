@@ -10,7 +10,8 @@ stretches between its dropped lines. DataFrame functions only.
 Defined cases: a null or empty text is one empty line. Documents are told apart by id, so
 repeated rows count once, and a null id is one document. All rows of the largest id that
 holds a line keep it; null is smaller than any id. Keys shorter than ``min_chars`` are
-never dropped. An empty table gives an empty result. Other columns do not matter.
+never dropped. An empty table gives an empty result. The lines of a very long text are rows of
+their own until it is put together. Other columns do not matter.
 """
 
 from __future__ import annotations

@@ -21,8 +21,11 @@ The chance that a pair of similarity s shares no band is (1 - s**rows)**bands: b
 at 0.75 for 32 bands of 4 rows.
 
 Defined cases: a null, empty or white-space text has no shingles, is its own class and is
-kept; a text of fewer words than ``words`` is one shingle; each row is a document, rows that
-repeat an id too; rows with a null id are left out of grouping and come back with a null
+kept; a text of fewer words than ``words`` is one shingle; rows that repeat an id
+are documents of their own as long as they are exact copies, and count as linked where the id
+is the smallest of both their texts (number rows first to tell such rows apart, as the
+pipeline's stage does); ties of priority go to the smaller id; a very long text is shingled
+whole by one task, in about seventy times its size of memory; rows with a null id are left out of grouping and come back with a null
 component and kept true; an empty table gives an empty result. Other columns do not matter.
 """
 
@@ -332,7 +335,7 @@ def near_duplicates(
     linked = components(near, "components")
     final = classes.join(linked, "v", "left").select("s1", "s2", "n_shingles", F.coalesce("label", "v").alias("cid"))
     shown = known.join(final, ["s1", "s2", "n_shingles"])
-    # Rows that repeat an id belong to the smallest component any of them has.
+    # Rows of one class share a component; see the docstring on repeated ids.
     rest = signed.filter("id IS NULL OR n_shingles = 0").withColumn("cid", F.col("id"))
     return shown.select("id", "n_shingles", "cid").union(rest.select("id", "n_shingles", "cid")).select(
         F.col("id").alias(id_col), "n_shingles", F.col("cid").alias("component_id"),

@@ -18,7 +18,8 @@ form of its kind and it touches no base span, so base spans always stay.
 
 Defined cases: a null or empty text has no spans; with too few windows to fit there are only
 base spans; repeated rows give repeated results; null ids are kept; an empty table gives an
-empty result. Other columns do not matter.
+empty result. Other columns do not matter. Of a very long text only windows
+around triggers are decoded; where two windows are as near, the earlier one counts.
 """
 
 from __future__ import annotations

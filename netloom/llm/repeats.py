@@ -13,15 +13,17 @@ settles its phrases too (everything in them repeats): both by map-side combined
 Only entries that share their trigger with another entry are left.
 
 *Order.* The suffixes of those entries are sorted to depth ``length`` by prefix doubling (a
-suffix array, so equality is by bytes, not by hashes), bucket by bucket of triggers; the
+suffix array, so equality there is by bytes), bucket by bucket of triggers; the
 order of dictionary suffixes with the counts of the parse is the corpus order, and its runs
 of equal windows are the repeats. As phrases overlap by a window, no suffix needs the parse
 to go on. Triggers with more than ``max_bucket`` entries are not sorted in one task: their
-windows are counted by a 128-bit key in a shuffle instead, with the same result.
+windows are counted by a 128-bit key in a shuffle instead, with the same result. How often a
+trigger and an entry occur is counted by 64-bit keys as well.
 
 Defined cases: a null or empty text, or one shorter than ``length``, loses nothing; rows
 with the same id and text are repeats of each other (all their windows go); null ids are
-kept; an empty table gives an empty result. Other columns do not matter.
+kept; an empty table gives an empty result; ties do not arise. A very long text is parsed whole by
+one task, which takes about a hundred times its size of memory. Other columns do not matter.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ Defined cases: a null or empty text has no words and fails the base rules; a mea
 divisor is zero is 0; rows without a label do not train, and of several labels of an id the
 lowest counts; without labelled rows of both kinds the list is empty and only the base rules
 decide; a null id is kept; repeated rows give repeated results; an empty table gives an
-empty result. Other columns do not matter.
+empty result. The words of a very long text are arrays of one row. Other columns do not matter.
 """
 
 from __future__ import annotations

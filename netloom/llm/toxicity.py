@@ -23,7 +23,8 @@ counts whole texts in every task and combines them by a shuffle. Scoring is one
 Defined cases: a null or empty text has no word and gets the score of a text without votes;
 without labelled rows of both classes every score is the share of toxic labels, or 0;
 labels that are null do not train, and of several labels of an id the highest counts;
-repeated rows give repeated results; an empty table gives an empty result. Other columns do
+repeated rows give repeated results; an empty table gives an empty result. A score of 0.5 is a
+toxic one; a very long text is read whole by one task. Other columns do
 not matter.
 """
 
