@@ -1,3 +1,5 @@
+import hashlib
+import math
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +135,40 @@ def test_flood_with_model(spark):
 
 def test_labels_table_is_readable(spark):
     assert table(spark, "/root/testdata/sf0.001", "labels").count() > 0
+
+
+def test_shuffled_splits_order_only_the_rows_beside_a_cut(spark, monkeypatch):
+    ordered = []
+
+    def counted(rows, order, name):
+        ordered.append(rows.count())
+        return with_position(rows, order, name)
+
+    from netloom.operators import splits
+
+    monkeypatch.setattr(splits, "with_position", counted)
+    monkeypatch.setattr(splits, "_DIGITS", 2)
+    rows = spark.range(3000).selectExpr(
+        "IF(id < 20, NULL, IF(id < 40, 'twice', concat('k', id))) AS flow_id", "CAST(id % 3 = 0 AS INT) AS label",
+        "IF(id % 10 = 7, 'DoS slowhttptest', 'x') AS original_label",
+    )
+    held = split_holdout(rows, "slowhttptest").collect()
+    strat = split_stratified(rows, "label", "flow_id").collect()
+    assert max(ordered) < 300
+
+    def order(r, seed):
+        return (r["flow_id"] is not None, hashlib.md5(f"{r['flow_id']}:{seed}".encode()).hexdigest() if r["flow_id"] else "")
+
+    for label in (0, 1):
+        own = sorted((r for r in strat if r["label"] == label), key=lambda r: order(r, 42))
+        n = len(own)
+        first, second = int(n * 0.7), int(n * 0.7) + int(n * 0.15)
+        want = ["train"] * first + ["val"] * (second - first) + ["test"] * (n - second)
+        assert sorted(r["split"] for r in own) == sorted(want)
+        alone = [(r["split"], w) for r, w in zip(own, want) if r["flow_id"] not in (None, "twice")]
+        assert all(a == b for a, b in alone)
+    benign = sum(r["label"] == 0 and r["original_label"] == "x" for r in held)
+    slow = sum(r["original_label"] != "x" for r in held)
+    test = sum(r["split"] == "test" for r in held)
+    assert len(held) == 3000 and test == slow + math.ceil(benign * 0.2)
+    assert sum(r["split"] == "val" for r in held) == math.ceil((3000 - test) * 0.15)
