@@ -35,6 +35,7 @@ from netloom.operators.fusion import fuse, gather
 from netloom.operators.prepare import FLOW_KEY, in_flow, scope_filter, with_flow_key
 from netloom.plans.detection import NEEDS
 from netloom.schema import DETECTORS, PACKET_SCHEMA
+from netloom.session import fresh_path
 
 
 def stream_flows(
@@ -204,25 +205,29 @@ class Memory(StatefulProcessor):
         self.names = handle.getMapState("names", "name string", "seen int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["window_end_us", "first_seq"])
+        chunks = list(rows)
+        pdf = pd.concat(chunks) if len(chunks) > 1 else chunks[0]
+        if len(pdf) > 1:
+            pdf = pdf.sort_values(["window_end_us", "first_seq"])
+        memory, fields = (self.flow, _FLOW_HISTORY) if key[1] == FLOW else (self.pair, _PAIR_HISTORY)
+        known = memory.get() if memory.exists() else None
         if key[1] == FLOW:
-            known = self.flow.get() if self.flow.exists() else None
             state = list(known) if known is not None else [None, 0, 0, 0, 0, 0, []]
             made = [self._flow_row(state, r) for r in pdf.itertuples(index=False)]
-            self.flow.update(tuple(state))
-            names = [n for n, _ in _FLOW_HISTORY]
         else:
-            known = self.pair.get() if self.pair.exists() else None
             state = list(known) if known is not None else [None, 0, 0, 0, None, 0, 0.0, 0, 0]
-            made = [self._pair_row(state, r) for r in pdf.itertuples(index=False)]
-            self.pair.update(tuple(state))
-            names = [n for n, _ in _PAIR_HISTORY]
-        for timer in list(self.handle.listTimers()):
+            met: set[str] = set()
+            made = [self._pair_row(state, r, met) for r in pdf.itertuples(index=False)]
+        memory.update(tuple(state))
+        # A key has a timer from the first time it is met.
+        for timer in list(self.handle.listTimers()) if known is not None else []:
             self.handle.deleteTimer(timer)
         self.handle.registerTimer((state[0] + self.keep_us[key[1]]) // 1000 + 1)
-        history = pd.DataFrame(made, columns=names, index=pdf.index).reindex(columns=HISTORY_COLUMNS)
-        history = history.astype({n: "Int64" for n, t in (*_FLOW_HISTORY, *_PAIR_HISTORY) if t != T.DoubleType()})
-        yield pd.concat([pdf[self.columns], history], axis=1)
+        values = dict(zip([n for n, _ in fields], zip(*made)))
+        out = {c: pdf[c].array for c in self.columns}
+        for n, t in (*_FLOW_HISTORY, *_PAIR_HISTORY):
+            out[n] = pd.array(values.get(n, [None] * len(pdf)), "Float64" if t == T.DoubleType() else "Int64")
+        yield pd.DataFrame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         for state in (self.flow, self.pair, self.names):
@@ -240,7 +245,9 @@ class Memory(StatefulProcessor):
         state[:] = now, windows, hello, sni, fwd, rev, ends
         return len(ends), now - ends[0], windows, hello, sni, fwd, rev
 
-    def _pair_row(self, pair: list, r) -> tuple:
+    def _pair_row(self, pair: list, r, met: set[str]) -> tuple:
+        """``met`` holds the names known from earlier rows of this call, so each is looked up once:
+        a name comes again in every window that overlaps its packet's."""
         cfg, now = self.cfg, int(r.window_end_us)
         if pair[0] is not None and now - pair[0] > cfg.exfil.idle_s * MICROS:
             pair[1:4] = 0, 0, 0
@@ -249,9 +256,13 @@ class Memory(StatefulProcessor):
         if r.protocol == "UDP" and 53 in (r.src_port, r.dst_port):
             if pair[4] is not None and now - pair[4] > cfg.dns.idle_s * MICROS:
                 self.names.clear()
+                met.clear()
                 pair[5:9] = 0, 0.0, 0, 0
             pair[4] = now
             for name in r.names:
+                if name in met:
+                    continue
+                met.add(name)
                 if not self.names.containsKey((name,)):
                     self.names.updateValue((name,), (1,))
                     bits = entropy_bits(name)
@@ -322,18 +333,21 @@ def start_detection(
 
     ``on_errors(results, batch_id)`` gets the results of flows that a detector could not judge.
     """
-    packets.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    spark = packets.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     rows = with_history(stream_flows(packets, window, anchor_us, delay_s), cfg)
 
+    copy = fresh_path(spark, "stream-batch")
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            fused = judge(batch, cfg, scorer)
-            sink(live_alerts(fused), batch_id)
-            if on_errors is not None:
-                on_errors(fused.filter(F.col("status") == "error"), batch_id)
-        finally:
-            batch.unpersist()
+        # Written once: a cached batch is computed by all stages and broadcasts that read it at
+        # the same time, and two tasks of one partition then commit the same state. The copy is
+        # read in the caller's session, as the stream's own does without adaptive execution.
+        batch.write.mode("overwrite").parquet(copy)
+        fused = judge(spark.read.schema(batch.schema).parquet(copy), cfg, scorer)
+        sink(live_alerts(fused), batch_id)
+        if on_errors is not None:
+            on_errors(fused.filter(F.col("status") == "error"), batch_id)
 
     writer = rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(handle)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

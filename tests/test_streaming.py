@@ -1,15 +1,16 @@
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from netloom.config import WindowConfig
+from netloom.config import DetectionConfig, WindowConfig
 from netloom.operators.alerts import live_alerts
 from netloom.plans.detection import detect
 from netloom.plans.queries import DRIVER_DETECTION, WINDOW
 from netloom.schema import PACKET_SCHEMA
 from netloom.sources.driver_tables import driver_packets
 from netloom.sources.packets import stream_packets
-from netloom.streaming.live import end_of_input, entropy_bits, start_detection, table_sink
+from netloom.streaming.live import Memory, end_of_input, entropy_bits, start_detection, table_sink
 from tests.helpers import frame, packet
 
 SHOWN = ["flow_id", "timestamp", "threat_class", "confidence", "fusion_reason"]
@@ -91,3 +92,46 @@ def test_flows_of_a_busy_pair_expire(spark, tmp_path):
     memory = [o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"] if "ransformWithState" in o["operatorName"]]
     # A flow has a state row and a timer in two orders; five seconds hold a hundred of them.
     assert memory and max(memory) > 100 and memory[-1] < n
+
+
+def test_memory_looks_a_name_up_once_for_all_windows_of_a_call():
+    """A packet's name comes in every window over it; each lookup is a call to the state server."""
+    from types import SimpleNamespace
+
+    class Names(dict):
+        looked = 0
+
+        def containsKey(self, key):
+            self.looked += 1
+            return key in self
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    timers = []
+    memory = Memory(DetectionConfig(), ["flow_id"])
+    memory.pair, memory.names = Value(), Names()
+    memory.handle = SimpleNamespace(listTimers=lambda: list(timers), deleteTimer=timers.remove, registerTimer=timers.append)
+    rows = pd.DataFrame([
+        {"flow_id": "f", "window_end_us": k * 1_000_000, "first_seq": k, "protocol": "UDP", "src_port": 4000, "dst_port": 53,
+         "fwd_byte_count": 10 * k, "rev_byte_count": None, "names": ["a.b", "c.d", "a.b"]}
+        for k in (3, 1, 2)
+    ])
+    made = next(memory.handleInputRows(("s", "pair", "x>y"), iter([rows]), None))
+    assert memory.names.looked == 2
+    assert made["windows_active"].tolist() == [1, 2, 3] and made["pair_fwd_max"].tolist() == [10, 20, 30]
+    assert made["name_count"].tolist() == [2, 2, 2] and made["windows_seen"].isna().all()
+    next(memory.handleInputRows(("s", "pair", "x>y"), iter([rows.assign(window_end_us=4_000_000)]), None))
+    assert memory.names.looked == 4 and len(timers) == 1 and memory.pair.held[5] == 2
