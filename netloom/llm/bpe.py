@@ -38,7 +38,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import BATCH_BYTES, bounded_batches, distinct_spans, slices, text_pieces, with_fields
+from netloom.llm.common import BATCH_BYTES, bounded_batches, distinct_spans, free_memory, slices, text_pieces, with_fields
 
 OTHER, LETTER, NUMBER, SPACE, EDGE = range(5)
 #: Pre-tokens that are put at their positions at a time.
@@ -250,6 +250,8 @@ def _explode(id_col: str, block_bytes: int, parts: int):
                     number, block, ids, numbers = number + 1, Block(), [], []
         if numbers:
             yield from rows_of(number, block, ids, numbers)
+        block, ids, numbers = None, [], []
+        free_memory()
 
     return run
 
@@ -283,6 +285,8 @@ def _encode_parts(ranks_in):
                 [pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])],
                 names=["of_block", "stamp", "cells", "sizes", "ids"],
             )
+        known = None
+        free_memory()
 
     return run
 
@@ -306,20 +310,20 @@ def _reassemble(id_col: str):
             raise RuntimeError("a block was made twice from different rows: the input gives other rows when it is read again")
         number = unpack_cells(row["cells"])
         edges = np.concatenate([[0], np.cumsum(unpack_cells(row["counts"]).astype(np.int64))])
-        found, stops = [], [np.zeros(1, np.int64)]
+        stops = np.zeros(len(number) + 1, np.int64)
+        np.cumsum(length[number], out=stops[1:])
+        found = np.empty(int(stops[-1]), np.int32)
         for k in range(0, len(number), STRETCH):
             some = number[k : k + STRETCH]
-            long = length[some]
-            stop = np.cumsum(long)
-            at = np.arange(int(stop[-1])) + np.repeat(begin[some] - (stop - long), long)
-            found.append(flat[at])
-            stops.append(stop + stops[-1][-1])
-        ends = np.concatenate(stops)[edges]
+            long, stop = length[some], stops[k + 1 : k + 1 + STRETCH]
+            at = np.arange(int(stops[k]), int(stop[-1])) + np.repeat(begin[some] - (stop - long), long)
+            found[stops[k] : stop[-1]] = flat[at]
+        ends = stops[edges]
         ids = texts.column(id_col).combine_chunks()
         ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
         return pa.table({
             id_col: ids.flatten(),
-            "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([flat[:0], *found]), pa.int32())),
+            "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found, pa.int32())),
         })
 
     return run
@@ -330,7 +334,7 @@ def encode(
     ranks_path: str,
     id_col: str = "doc_id",
     text_col: str = "text",
-    block_bytes: int = 16 << 20,
+    block_bytes: int = 8 << 20,
     part_bytes: int = 8 << 20,
 ) -> DataFrame:
     """``id_col`` and ``ids`` (array of int) of each row's whole text.

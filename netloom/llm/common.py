@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from hashlib import blake2b
 from re import Pattern
@@ -55,6 +56,14 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") ->
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def free_memory() -> None:
+    """Give what a task has freed back to the system: a Python worker lives on, idle or in another task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece holds about ``limit`` bytes of text; one text is never cut."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

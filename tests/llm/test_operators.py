@@ -556,3 +556,12 @@ def test_digests_of_registered_queries(spark, tmp_path):
         want[i] = (i, len(w), len({p for _, k, n in spans for p in range(k, k + n)}), len(who), digest(",".join(who).encode()), bool(who))
     assert {r.doc_id: tuple(r) for r in queries.op9_decontaminate(spark, at).collect()} == want
     assert {r[0]: r for r in con.execute(queries.oracle_sql()["op9_decontaminate"]).fetchall()} == want
+
+
+def test_bpe_tasks_return_their_memory(monkeypatch):
+    """Workers live on between stages; what they keep counts against the executor."""
+    from types import SimpleNamespace
+
+    done = []
+    monkeypatch.setattr(bpe, "free_memory", lambda: done.append(common.free_memory()))
+    assert list(bpe._encode_parts(SimpleNamespace(value={}))(iter([]))) == [] and len(done) == 1
