@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from netloom.ml.train import FlowModel
 from netloom.session import fresh_path, materialize
 
-#: Levels between two writes; a plan holds so many joins at most.
-LEVELS = 10
+#: Levels between two writes; a plan holds so many joins at most. A stage's joins become one method,
+#: and the JVM never compiles one of more than 8,000 bytes of code (nine levels had 8,526).
+LEVELS = 5
 
 
 def forest_nodes(model: FlowModel, spark) -> DataFrame:
@@ -53,13 +54,13 @@ def descend(rows: DataFrame, model: FlowModel, nodes: DataFrame, keys: list[str]
     state = rows.select(*keys, F.array(*scaled).alias("_z"), F.explode(trees).alias("tree"), F.lit(0).alias("node"))
     steps = nodes.select("tree", "node", "place", "threshold", "left", "right")
     for level in range(max(t.depth for t in forest.trees)):
+        if level and level % LEVELS == 0:
+            state = materialize(state, "descent")
         # A leaf has no place: the comparison is null and both children are itself.
         goes_left = F.element_at("_z", F.col("place") + 1) <= F.col("threshold")
         state = state.join(steps, ["tree", "node"]).select(
             *keys, "_z", "tree", F.when(goes_left, F.col("left")).otherwise(F.col("right")).alias("node")
         )
-        if level % LEVELS == LEVELS - 1:
-            state = materialize(state, "descent")
     return state.drop("_z")
 
 

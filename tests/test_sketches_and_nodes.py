@@ -87,6 +87,14 @@ def test_descent_equals_the_forest(spark, labelled, trees, depth):
     assert leaves.filter("left <> node OR feature IS NOT NULL").isEmpty() and leaves.count() == 1200 * trees
 
 
+def test_descent_joins_few_levels_between_writes(spark, labelled):
+    # The joins of a stage are one generated method, and the JVM interprets one that is too large.
+    model = fit(labelled, ["a", "b", "c"], random_forest(4, 9))
+    depth = max(t.depth for t in model.pipeline.stages[-1].trees)
+    plan = descend(labelled, model, forest_nodes(model, spark), ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert depth > 6 and 1 <= plan.count("Join Inner") <= 5
+
+
 def test_only_forests_have_node_tables(spark, labelled):
     binary = labelled.withColumn("label", (F.col("label") > 0).cast("int"))
     with pytest.raises(ValueError):
