@@ -53,9 +53,9 @@ _ROW_BITS = 32_768
 _SECOND = 32
 
 
-class Words:
-    """Words of some texts in order: ``number`` of each among the distinct (lang, word), and
-    whether the next one or two words follow in the same piece."""
+class Places:
+    """Where the words of some texts begin and end, in order, and whether the next one or two
+    words follow in the same piece."""
 
     def __init__(self, texts: pa.Array, langs: list[str]):
         data, offsets = text_buffer(texts)
@@ -68,22 +68,30 @@ class Words:
         names = sorted(set(langs))
         place = {name: i for i, name in enumerate(names)}
         lang = np.fromiter((place[x] for x in langs), np.int64, len(langs))[owner]
-        one, number = distinct_spans(data, begin, end)
-        _, at, number = np.unique(number * len(names) + lang, return_index=True, return_inverse=True)
-        self.number, self.begin, self.end = number.reshape(-1), begin[at], end[at]
-        self.lang = pa.array(names, pa.string()).take(pa.array(lang[at]))
-        raw = data.tobytes()
-        self.word = pa.array([raw[a:b].decode() for a, b in zip(self.begin.tolist(), self.end.tolist())], pa.string())
         self.follows = [np.zeros(len(begin), bool), np.zeros(len(begin), bool)]
         for k in (1, 2):
             self.follows[k - 1][: max(len(begin) - k, 0)] = piece[k:] == piece[: max(len(begin) - k, 0)]
-        self.data, self.names, self.lang_of = data, names, lang[at]
+        self.data, self.begin, self.end, self.names, self.lang_of = data, begin, end, names, lang
 
     def keys(self) -> np.ndarray:
-        """A fingerprint of each distinct (lang, word), the same in every task."""
+        """A fingerprint of each (lang, word), the same in every task."""
         return word_keys(self.data, self.begin, self.end, self.names, self.lang_of)
 
 
+class Words(Places):
+    """The distinct (lang, word) of some texts, and the ``number`` of each word among them."""
+
+    def __init__(self, texts: pa.Array, langs: list[str]):
+        super().__init__(texts, langs)
+        one, number = distinct_spans(self.data, self.begin, self.end)
+        number = number * len(self.names) + self.lang_of
+        _, at, number = np.unique(number, return_index=True, return_inverse=True)
+        self.number, self.begin, self.end, self.lang_of = number.reshape(-1), self.begin[at], self.end[at], self.lang_of[at]
+        self.lang = pa.array(self.names, pa.string()).take(pa.array(self.lang_of))
+        raw = self.data.tobytes()
+        self.word = pa.array([raw[a:b].decode() for a, b in zip(self.begin.tolist(), self.end.tolist())], pa.string())
+
+
 def word_keys(data: np.ndarray, begin: np.ndarray, end: np.ndarray, names: list[str], lang: np.ndarray) -> np.ndarray:
     raw = np.frombuffer("\0".join([*names, ""]).encode(), np.uint8)
     stop = np.flatnonzero(raw == 0)
@@ -104,18 +112,24 @@ def _present(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return found
 
 
-def _places(words: Words, known: np.ndarray, size: int, bitmaps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Where n-grams of ``size`` words start whose shorter parts are in ``bitmaps``, and their keys."""
-    n, at = words.number, np.flatnonzero(words.follows[size - 2])
-    alive = _present(bitmaps[0], known)
+def _places(
+    follows: list[np.ndarray], known: np.ndarray, size: int, bitmaps: list[np.ndarray], number: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Where n-grams of ``size`` words start whose shorter parts are in ``bitmaps``, and their keys.
+
+    ``known`` are the keys of the words in order, or of distinct words that ``number`` names in order.
+    """
+    alive, at = _present(bitmaps[0], known), np.flatnonzero(follows[size - 2])
+    if number is not None:
+        alive, known = alive[number], known[number]
     for k in range(size):
-        at = at[alive[n[at + k]]]
-    pair = lambda k: pair_keys(known[n[at + k]], known[n[at + k + 1]])
+        at = at[alive[at + k]]
+    pair = lambda k: pair_keys(known[at + k], known[at + k + 1])
     if size == 2:
         return at, pair(0)
     for k in range(2):
         at = at[_present(bitmaps[1], pair(k))]
-    return at, pair_keys(pair(0), known[n[at + 2]])
+    return at, pair_keys(pair(0), known[at + 2])
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,14 +139,37 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([words.lang, words.word, pa.array(counts)], names=["lang", "w1", "c"])
 
 
+#: Keys of so many n-grams are counted together before they leave a task.
+POOL = 1 << 20
+#: A batch of counts holds so many rows at most.
+_ROWS = 1 << 17
+
+
 def _key_counts(size: int, bitmaps_in):
-    """(k, c): how often each key of an n-gram occurs in a slice."""
+    """(k, c): how often each key of an n-gram occurs in some slices.
+
+    Keys are made of the words where they stand: a key bounds a count from above, so words that
+    share one need not be told apart, and no slice has to find its distinct words.
+    """
+
+    def counted(pool: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, count = np.unique(np.concatenate(pool), return_counts=True)
+        rows = [pa.array(key.view(np.int64)), pa.array(count.astype(np.int32))]
+        for a in range(0, len(key), _ROWS):
+            yield pa.RecordBatch.from_arrays([c.slice(a, _ROWS) for c in rows], names=["k", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmaps, pool, held = bitmaps_in.value, [], 0
         for batch in batches:
-            for words in _slices_of_words(batch):
-                key, count = np.unique(_places(words, words.keys(), size, bitmaps_in.value)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count.astype(np.int32))], names=["k", "c"])
+            for texts, langs in _parts(batch):
+                words = Places(texts, langs)
+                pool.append(_places(words.follows, words.keys(), size, bitmaps)[1])
+                held += len(pool[-1])
+                if held >= POOL:
+                    yield from counted(pool)
+                    pool, held = [], 0
+        if held:
+            yield from counted(pool)
 
     return run
 
@@ -146,7 +183,7 @@ def _phrase_counts(bitmaps_in):
             for words in _slices_of_words(batch):
                 known, total = words.keys(), np.uint64(len(words.word))
                 for size in (2, 3):
-                    at, key = _places(words, known, size, bitmaps)
+                    at, key = _places(words.follows, known, size, bitmaps, words.number)
                     at = at[_present(bitmaps[size - 1], key)]
                     # Three numbers of words of one slice fit 64 bits.
                     whole = words.number[at].astype(np.uint64)

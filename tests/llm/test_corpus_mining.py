@@ -4,10 +4,12 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -74,6 +76,21 @@ def test_phrase_bitmap_lets_frequent_parts_through(spark):
     assert found.count() == 30_000 - 10 * 2  # triples, as each pair lies within one
 
 
+def test_keys_of_ngrams_are_counted_over_slices_and_without_distinct_words(monkeypatch):
+    def no(*_):
+        raise AssertionError("distinct words of a slice were asked for")
+
+    monkeypatch.setattr(phrases, "distinct_spans", no)
+    monkeypatch.setattr(phrases, "POOL", 12)
+    monkeypatch.setattr(phrases, "_ROWS", 2)
+    everything = SimpleNamespace(value=[np.full(4096, 255, np.uint8)] * 2)
+    batch = pa.record_batch([pa.array(["a", "a", "b"]), pa.array(["X y z, x y", "x Y z", "x y z"])], names=["lang", "body"])
+    for size, want in ((2, [1, 1, 2, 3]), (3, [1, 2])):
+        made = list(phrases._key_counts(size, everything)(iter([batch.slice(0, 1), batch.slice(1, 2), batch.slice(0, 0)])))
+        assert sorted(c for b in made for c in b.column("c").to_pylist()) == want and max(b.num_rows for b in made) <= 2
+    assert not list(phrases._key_counts(2, everything)(iter([])))
+
+
 def test_phrases_of_a_long_text(spark, monkeypatch):
     monkeypatch.setattr(phrases, "SLICE_BYTES", 256)
     texts, langs = phrase_texts(random.Random(22))
