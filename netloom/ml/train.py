@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -39,6 +40,23 @@ def gradient_boosting(rounds: int = 100, balanced: bool = True, seed: int = 42):
     return kind.setWeightCol("weight") if balanced else kind
 
 
+#: Training rows from which they are dealt out evenly, the tasks each core gets then, and the most rows of one.
+DEAL_FROM, TASKS, ROWS = 500_000, 3, 500_000
+
+
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    """``n`` rows in even partitions, on the executors' disks until ``unpersist``; few rows as they are.
+
+    A classifier passes over its rows once for each level or step, and a pass lasts as long as its longest
+    task. As files, rows come in fewer and unlike parts, and those past the cores wait for a second turn.
+    Kept, they are dealt once: training reads them four times before its passes and plans them again after.
+    """
+    if n < DEAL_FROM:
+        return rows
+    tasks = max(TASKS * rows.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS))
+    return rows.repartition(tasks).persist(StorageLevel.DISK_ONLY)
+
+
 @dataclass
 class FlowModel:
     """Scaler and classifier that belong together, so training and scoring cannot differ."""
@@ -95,7 +113,14 @@ def fit(train: DataFrame, features: list[str], classifier, name: str = "RandomFo
         for c, m, s in zip(scaler.columns, scaler.center, scaler.scale)
     ]
     assembler = VectorAssembler(inputCols=[f"_z_{c}" for c in features], outputCol="features", handleInvalid="error")
-    pipeline = Pipeline(stages=[assembler, classifier]).fit(train.select("*", *scaled))
+    named = [p for p in classifier.params if p.name.endswith("Col") and classifier.isDefined(p)]
+    used = {classifier.getOrDefault(p).lower() for p in named}
+    rows = train.select(*[F.col(f"`{c}`") for c in train.columns if c.lower() in used], *scaled)
+    rows = _dealt(rows, train.count())
+    try:
+        pipeline = Pipeline(stages=[assembler, classifier]).fit(rows)
+    finally:
+        rows.unpersist()
     return FlowModel(name, list(features), scaler, pipeline)
 
 

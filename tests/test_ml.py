@@ -1,9 +1,11 @@
 import hashlib
 import math
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 from netloom.config import DdosConfig, WindowConfig
+from netloom.ml import train as training
 from netloom.ml.score import flow_scorer
 from netloom.ml.train import FlowModel, evaluate, fit, gradient_boosting, logistic_regression, random_forest, train_and_report
 from netloom.operators import detectors as dt
@@ -118,6 +120,40 @@ def test_training_round_trip(spark, rows, tmp_path):
         loaded.predict(rows.drop("x"))
 
 
+class Watched(RandomForestClassifier):
+    """Notes the columns and the partitions' sizes of the rows it is given."""
+
+    def _fit(self, dataset):
+        sizes = [r["count"] for r in dataset.groupBy(F.spark_partition_id()).count().collect()]
+        type(self).met = (set(dataset.columns), sorted(sizes))
+        return super()._fit(dataset)
+
+
+def test_many_training_rows_are_dealt_evenly(spark, rows, monkeypatch):
+    monkeypatch.setattr(training, "DEAL_FROM", 200, raising=False)
+    monkeypatch.setattr(training, "ROWS", 10, raising=False)
+    forest = Watched(labelCol="label", featuresCol="features", weightCol="weight", numTrees=5, maxDepth=5, seed=42)
+    kept = spark.sparkContext._jsc.getPersistentRDDs().size
+    before = kept()
+
+    def made(part):
+        model = fit(part, ["x", "flat"], forest)
+        right = model.predict(part).filter("prediction = label").count()
+        return *Watched.met, right
+
+    cols, sizes, right = made(rows.coalesce(1))
+    assert sum(sizes) == 200 and len(sizes) >= 20 and sizes[-1] <= 10 and right == 200
+    assert {"label", "weight", "_z_x", "_z_flat"} <= cols and not {"flow_id", "row_idx"} & cols
+    _, few, right = made(rows.filter("row_idx > 0").coalesce(1))
+    assert few == [199] and right == 199
+    # A caller's own weights are used, whatever the case of their name; a failed training keeps no rows.
+    cols, _, _ = made(rows.selectExpr("*", "1.0D AS weight"))
+    assert "weight" in cols
+    with pytest.raises(Exception):
+        fit(rows.selectExpr("*", "IF(row_idx = 7, NULL, x) AS gap"), ["gap"], forest)
+    assert kept() == before
+
+
 def test_flood_with_model(spark):
     packets = [packet(i, 100 + i / 40, 60, f"10.1.0.{i % 30}:{2000 + i % 30}", "10.0.0.80:80") for i in range(200)]
     flows = build_flows(frame(spark, packets), WindowConfig(2, 1))
