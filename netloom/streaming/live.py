@@ -12,8 +12,10 @@ up to the last windows once ``end_of_input`` has been appended to the source.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from math import log2
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -164,6 +166,11 @@ _PAIR_HISTORY = [
 ]
 HISTORY_COLUMNS = [name for name, _ in (*_FLOW_HISTORY, *_PAIR_HISTORY)]
 FLOW, PAIR = "flow", "pair"
+# Flows are dealt into so many keys of the stateful operator, and each flow is an entry of its key's map.
+# A call for a key makes data frames and Arrow batches of its own, however few rows it brings.
+FLOW_BUCKETS = 1024
+NAME_GROUPS = 1024
+_FLOW_INPUT = ["flow_id", "window_end_us", "tls_client_hello", "tls_has_sni", "fwd_byte_count", "rev_byte_count"]
 
 
 def entropy_bits(text: str) -> float:
@@ -177,17 +184,61 @@ def _known(value) -> int:
     return 0 if pd.isna(value) else int(value)
 
 
+class NameGroups:
+    """The names a pair has asked for, kept in groups by hash.
+
+    Each state call is a message to the JVM, so a call for a pair reads and writes a group once at most.
+    """
+
+    def __init__(self, groups):
+        self.groups = groups
+        self._forget()
+
+    def _forget(self) -> None:
+        self.held: dict[int, set[str]] = {}
+        self.changed: set[int] = set()
+        self.emptied = False
+
+    def _group(self, name: str) -> tuple[int, set[str]]:
+        at = crc32(name.encode()) % NAME_GROUPS
+        if at not in self.held:
+            kept = None if self.emptied else self.groups.getValue((at,))
+            self.held[at] = set(kept[0]) if kept is not None else set()
+        return at, self.held[at]
+
+    def containsKey(self, key: tuple) -> bool:
+        return key[0] in self._group(key[0])[1]
+
+    def updateValue(self, key: tuple, value: tuple) -> None:
+        at, names = self._group(key[0])
+        names.add(key[0])
+        self.changed.add(at)
+
+    def clear(self) -> None:
+        self.groups.clear()
+        self._forget()
+        self.emptied = True
+
+    def save(self) -> None:
+        """Ends a call: the next one may be for another pair."""
+        for at in self.changed:
+            self.groups.updateValue((at,), (sorted(self.held[at]),))
+        self._forget()
+
+
 class Memory(StatefulProcessor):
-    """Keeps what the detectors remember across windows, of one flow or of one host pair.
+    """Keeps what the detectors remember across windows, of one bucket of flows or of one host pair.
 
-    Each flow is a key of its own, and so is each pair. A timer drops a key's state once it
-    has been idle for longer than any detector remembers it, so the flows of a busy pair go
-    one by one while the pair lives on. An idle limit counts in window ends, as in batch.
+    Each pair is a key of its own. A timer drops its state once it has been idle for longer than
+    any detector remembers it. Each flow is an entry of its bucket's map, and a timer of the bucket
+    drops the entries that have been idle for so long, so the flows of a busy pair go one by one
+    while the pair lives on. An idle limit counts in window ends, as in batch.
     """
 
     def __init__(self, cfg: DetectionConfig, columns: list[str]):
         self.cfg = cfg
         self.columns = columns
+        self.name_groups: NameGroups | None = None
         self.keep_us = {
             FLOW: round(max(cfg.tls.idle_s, cfg.beacon.history_s) * MICROS),
             PAIR: round(max(cfg.exfil.idle_s, cfg.dns.idle_s) * MICROS),
@@ -195,34 +246,25 @@ class Memory(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.flow = handle.getValueState(
-            "flow", "last bigint, windows bigint, hello int, sni int, fwd bigint, rev bigint, ends array<bigint>"
+        self.flows = handle.getMapState(
+            "flows", "flow_id string",
+            "last bigint, windows bigint, hello int, sni int, fwd bigint, rev bigint, ends array<bigint>",
         )
         self.pair = handle.getValueState(
             "pair", "last bigint, fwd bigint, rev bigint, evals bigint, dns_last bigint, names bigint, "
             "entropy double, length bigint, high bigint"
         )
-        self.names = handle.getMapState("names", "name string", "seen int")
+        self.names = self.name_groups = NameGroups(handle.getMapState("names", "part int", "names array<string>"))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         chunks = list(rows)
         pdf = pd.concat(chunks) if len(chunks) > 1 else chunks[0]
         if len(pdf) > 1:
             pdf = pdf.sort_values(["window_end_us", "first_seq"])
-        memory, fields = (self.flow, _FLOW_HISTORY) if key[1] == FLOW else (self.pair, _PAIR_HISTORY)
-        known = memory.get() if memory.exists() else None
         if key[1] == FLOW:
-            state = list(known) if known is not None else [None, 0, 0, 0, 0, 0, []]
-            made = [self._flow_row(state, r) for r in pdf.itertuples(index=False)]
+            made, fields = self._flow_rows(pdf), _FLOW_HISTORY
         else:
-            state = list(known) if known is not None else [None, 0, 0, 0, None, 0, 0.0, 0, 0]
-            met: set[str] = set()
-            made = [self._pair_row(state, r, met) for r in pdf.itertuples(index=False)]
-        memory.update(tuple(state))
-        # A key has a timer from the first time it is met.
-        for timer in list(self.handle.listTimers()) if known is not None else []:
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer((state[0] + self.keep_us[key[1]]) // 1000 + 1)
+            made, fields = self._pair_rows(pdf), _PAIR_HISTORY
         values = dict(zip([n for n, _ in fields], zip(*made)))
         out = {c: pdf[c].array for c in self.columns}
         for n, t in (*_FLOW_HISTORY, *_PAIR_HISTORY):
@@ -230,9 +272,59 @@ class Memory(StatefulProcessor):
         yield pd.DataFrame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        for state in (self.flow, self.pair, self.names):
-            state.clear()
-        yield pd.DataFrame(columns=[*self.columns, *HISTORY_COLUMNS])
+        if key[1] == FLOW:
+            self._drop_idle_flows(timerValues.getCurrentWatermarkInMs())
+        else:
+            self.pair.clear()
+            self.names.clear()
+            self.name_groups.save()
+        return iter([])
+
+    def _drop_idle_flows(self, watermark_ms: int) -> None:
+        """Entries idle for too long go; while others stay, the bucket is looked through once per idle limit."""
+        keep_us = self.keep_us[FLOW]
+        idle, left = [], False
+        for name, state in self.flows.iterator():
+            if (state[0] + keep_us) // 1000 < watermark_ms:
+                idle.append(name)
+            else:
+                left = True
+        for name in idle:
+            self.flows.removeKey(name)
+        if left:
+            self.handle.registerTimer(watermark_ms + keep_us // 1000 + 1)
+
+    def _flow_rows(self, pdf: pd.DataFrame) -> list[tuple]:
+        """Each flow's entry is read once and written once a call."""
+        met: dict[str, list] = {}
+        made = []
+        for r in pdf[_FLOW_INPUT].itertuples(index=False):
+            state = met.get(r.flow_id)
+            if state is None:
+                known = self.flows.getValue((r.flow_id,))
+                state = [*known[:6], list(known[6])] if known is not None else [None, 0, 0, 0, 0, 0, []]
+                met[r.flow_id] = state
+            made.append(self._flow_row(state, r))
+        for name, state in met.items():
+            self.flows.updateValue((name,), tuple(state))
+        # The timer stays until it expires; entries met later are looked at by the one that follows.
+        if not any(True for _ in self.handle.listTimers()):
+            self.handle.registerTimer((int(pdf["window_end_us"].max()) + self.keep_us[FLOW]) // 1000 + 1)
+        return made
+
+    def _pair_rows(self, pdf: pd.DataFrame) -> list[tuple]:
+        known = self.pair.get() if self.pair.exists() else None
+        state = list(known) if known is not None else [None, 0, 0, 0, None, 0, 0.0, 0, 0]
+        met: set[str] = set()
+        made = [self._pair_row(state, r, met) for r in pdf.itertuples(index=False)]
+        self.pair.update(tuple(state))
+        if self.name_groups is not None:
+            self.name_groups.save()
+        # A pair has a timer from the first time it is met.
+        for timer in list(self.handle.listTimers()) if known is not None else []:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer((state[0] + self.keep_us[PAIR]) // 1000 + 1)
+        return made
 
     def _flow_row(self, state: list, r) -> tuple:
         cfg, now = self.cfg, int(r.window_end_us)
@@ -241,7 +333,8 @@ class Memory(StatefulProcessor):
             windows = hello = sni = fwd = rev = 0
         windows, hello, sni = windows + 1, max(hello, int(r.tls_client_hello)), max(sni, int(r.tls_has_sni))
         fwd, rev = max(fwd, _known(r.fwd_byte_count)), max(rev, _known(r.rev_byte_count))
-        ends = [e for e in ends if now - e <= cfg.beacon.history_s * MICROS] + [now]
+        # Windows come in the order of their ends.
+        ends = ends[bisect_left(ends, now - cfg.beacon.history_s * MICROS):] + [now]
         state[:] = now, windows, hello, sni, fwd, rev, ends
         return len(ends), now - ends[0], windows, hello, sni, fwd, rev
 
@@ -284,7 +377,8 @@ def with_history(flows: DataFrame, cfg: DetectionConfig) -> DataFrame:
     looks at its host pair; each has the history of its kind, the other is null.
     """
     pair = F.concat_ws(">", "src_ip", "dst_ip")
-    of_flow = F.struct(F.lit(FLOW).alias("kind"), F.col("flow_id").alias("name"))
+    bucket = F.pmod(F.xxhash64("flow_id"), F.lit(FLOW_BUCKETS)).cast("string")
+    of_flow = F.struct(F.lit(FLOW).alias("kind"), bucket.alias("name"))
     of_pair = F.struct(F.lit(PAIR).alias("kind"), pair.alias("name"))
     both = F.when(_is_dns() | goes_outside(cfg.exfil), F.array(of_flow, of_pair)).otherwise(F.array(of_flow))
     rows = flows.withColumn("memory", F.explode(both)).select("*", "memory.kind", "memory.name").drop("memory")
@@ -337,7 +431,7 @@ def start_detection(
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     rows = with_history(stream_flows(packets, window, anchor_us, delay_s), cfg)
 
-    copy = fresh_path(spark, "stream-batch")
+    copy, results = fresh_path(spark, "stream-batch"), fresh_path(spark, "stream-results")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         # Written once: a cached batch is computed by all stages and broadcasts that read it at
@@ -345,6 +439,10 @@ def start_detection(
         # read in the caller's session, as the stream's own does without adaptive execution.
         batch.write.mode("overwrite").parquet(copy)
         fused = judge(spark.read.schema(batch.schema).parquet(copy), cfg, scorer)
+        if on_errors is not None:
+            # Written as well, so that the second sink does not judge the batch again.
+            fused.write.mode("overwrite").parquet(results)
+            fused = spark.read.schema(fused.schema).parquet(results)
         sink(live_alerts(fused), batch_id)
         if on_errors is not None:
             on_errors(fused.filter(F.col("status") == "error"), batch_id)

@@ -10,7 +10,7 @@ from netloom.plans.queries import DRIVER_DETECTION, WINDOW
 from netloom.schema import PACKET_SCHEMA
 from netloom.sources.driver_tables import driver_packets
 from netloom.sources.packets import stream_packets
-from netloom.streaming.live import Memory, end_of_input, entropy_bits, start_detection, table_sink
+from netloom.streaming.live import NAME_GROUPS, Memory, NameGroups, end_of_input, entropy_bits, start_detection, table_sink
 from tests.helpers import frame, packet
 
 SHOWN = ["flow_id", "timestamp", "threat_class", "confidence", "fusion_reason"]
@@ -135,3 +135,72 @@ def test_memory_looks_a_name_up_once_for_all_windows_of_a_call():
     assert made["name_count"].tolist() == [2, 2, 2] and made["windows_seen"].isna().all()
     next(memory.handleInputRows(("s", "pair", "x>y"), iter([rows.assign(window_end_us=4_000_000)]), None))
     assert memory.names.looked == 4 and len(timers) == 1 and memory.pair.held[5] == 2
+
+
+class _Map(dict):
+    """A map state that counts the calls to the state server."""
+
+    calls = 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+    def removeKey(self, key):
+        del self[key]
+
+
+def test_memory_takes_many_flows_in_one_call():
+    """A call per flow takes milliseconds in the worker, so flows share keys, each with an entry of its own."""
+    from types import SimpleNamespace
+
+    timers = []
+    memory = Memory(DetectionConfig(), ["flow_id", "window_end_us"])
+    memory.flows = _Map()
+    memory.handle = SimpleNamespace(listTimers=lambda: iter(timers), registerTimer=timers.append)
+
+    def rows(*found):
+        return pd.DataFrame([
+            {"flow_id": f, "window_end_us": end * 1_000_000, "first_seq": end, "tls_client_hello": f == "a", "tls_has_sni": False,
+             "fwd_byte_count": size, "rev_byte_count": None}
+            for f, end, size in found
+        ])
+
+    made = next(memory.handleInputRows(("s", "flow", "7"), iter([rows(("a", 3, 5), ("b", 3, 9)), rows(("a", 2, 7), ("a", 4, 6))]), None))
+    assert memory.flows.calls == 4 and len(timers) == 1
+    assert made["flow_id"].tolist() == ["a", "a", "b", "a"] or made["flow_id"].tolist() == ["a", "b", "a", "a"]
+    of_a = made[made["flow_id"] == "a"]
+    assert of_a["windows_seen"].tolist() == [1, 2, 3] and of_a["observed_us"].tolist() == [0, 1_000_000, 2_000_000]
+    assert of_a["flow_fwd_max"].tolist() == [7, 7, 7] and of_a["hello_seen"].tolist() == [1, 1, 1]
+    assert made[made["flow_id"] == "b"][["windows_seen", "flow_fwd_max", "hello_seen"]].values.tolist() == [[1, 9, 0]]
+    again = next(memory.handleInputRows(("s", "flow", "7"), iter([rows(("b", 500, 1))]), None))
+    # Idle for longer than TLS and beacons are remembered: counted anew.
+    assert again[["windows_seen", "tls_windows", "flow_fwd_max"]].values.tolist() == [[1, 1, 1]]
+    late = SimpleNamespace(getCurrentWatermarkInMs=lambda: 400_000)
+    assert list(memory.handleExpiredTimer(("s", "flow", "7"), late, None)) == []
+    assert list(memory.flows) == [("b",)] and len(timers) == 2 and timers[1] > 400_000
+
+
+def test_names_are_read_and_written_in_groups():
+    """Ten thousand names of a pair take a call for each group, not two for each name."""
+    kept = _Map()
+    names = NameGroups(kept)
+    first = [(f"n{i}.example.com",) for i in range(10_000)]
+    for name in first:
+        assert not names.containsKey(name)
+        names.updateValue(name, (1,))
+    names.save()
+    assert kept.calls <= 2 * NAME_GROUPS and sum(len(v[0]) for v in kept.values()) == 10_000
+    assert all(names.containsKey(name) for name in first) and not names.containsKey(("other",))
+    names.clear()
+    assert not names.containsKey(first[0])
+    names.updateValue(first[0], (1,))
+    names.save()
+    assert list(kept.values()) == [([first[0][0]],)]
